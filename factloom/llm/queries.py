@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, urls
+from factloom.llm import chat, quality, secrets, urls
 from factloom.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -51,5 +51,34 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_chat": op4_chat, "op7_urls": op7_urls}
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a person has labelled as good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, score and verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit_weights(docs, trusted_ids(spark, sf_dir))
+    return quality.judge(docs, weights).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of secrets."""
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    of = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secrets.render(F.filter("secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secrets.render(F.col("secrets")).alias("spans"),
+    )
+
+
+QUERIES = {"op4_chat": op4_chat, "op7_urls": op7_urls, "op8_quality": op8_quality, "op9_secrets": op9_secrets}
 SQL = {"op4_chat": OP4_SQL}
