@@ -55,11 +55,19 @@ def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
     )
     word = lambda k: F.get(F.array(*map(F.lit, WORDS)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int"))
     a, b, c = word(1), word(2), word(3)
+    k = F.col("id") % 10
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(F.xxhash64("id"), F.lit(15_000)).cast("int")).cast("string")
     ordinary = (
-        F.when(F.col("id") % 4 == 0, F.concat_ws("_", a, b, c))
-        .when(F.col("id") % 4 == 1, F.concat(a, F.initcap(b), F.initcap(c)))
-        .when(F.col("id") % 4 == 2, F.concat(a, b, c))
-        .otherwise(F.concat(F.lit("/"), a, F.lit("/"), b, F.lit("-"), c, (F.col("id") % 10).cast("string")))
+        F.when(k == 0, F.concat_ws("_", a, b, c))
+        .when(k == 1, F.concat(a, F.initcap(b), F.initcap(c)))
+        .when(k == 2, F.concat(a, b, c))
+        .when(k == 3, F.concat(F.lit("/"), a, F.lit("/"), b, F.lit("-"), c, (F.col("id") % 10).cast("string")))
+        .when(k == 4, F.upper(F.concat(a, b, c)))
+        .when(k == 5, F.upper(F.concat_ws("_", a, b, c)))
+        .when(k == 6, F.repeat(F.get(F.array(*map(F.lit, "=-_+/")), (F.col("id") / 10 % 5).cast("int")), 30))
+        .when(k == 7, F.repeat(day, 2))
+        .when(k == 8, F.pmod(F.xxhash64("id"), F.lit(10**17)).cast("string"))
+        .otherwise(F.repeat(F.substring(F.concat(a, b), 1, 1), 20))
     )
     return ids.select(random.alias("text"), F.lit(True).alias("random")).unionByName(
         ids.select(ordinary.alias("text"), F.lit(False).alias("random"))
@@ -131,10 +139,11 @@ def scan(docs: DataFrame, model: list[int], *, threshold: float = 0.35, text: st
     every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
     found = docs.withColumns({"_assign": every(ASSIGN), "_access": every(ACCESS), "_hex": every(HEX), "_run": every(RUN)})
     long_enough = F.transform("_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
-    code = lambda s, i: F.instr(F.lit(ALPHABET), s.substr(i, F.lit(1))) - 1
-    ratio = lambda s: F.aggregate(
-        F.sequence(F.lit(1), F.length(s) - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.get(weights, code(s, i) * n + code(s, i + 1))
-    ) / (F.length(s) - 1)
+    codes = lambda s: F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = lambda s: F.zip_with(
+        F.slice(codes(s), F.lit(1), F.length(s) - 1), F.slice(codes(s), F.lit(2), F.length(s) - 1), lambda a, b: F.get(weights, a * n + b)
+    )
+    ratio = lambda s: F.aggregate(steps(s), F.lit(0).cast("long"), lambda acc, x: acc + x) / (F.length(s) - 1)
     random = F.transform("_run", lambda s: ratio(s) > 1000 * threshold)
     flagged = lambda spans, flags: F.transform(
         F.filter(F.zip_with(spans, flags, lambda s, f: F.struct(s.alias("s"), f.alias("f"))), lambda x: x["f"]), lambda x: x["s"]
