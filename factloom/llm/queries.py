@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, quality, secrets, urls
+from factloom.llm import chat, dedup, quality, secrets, urls
 from factloom.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -29,6 +29,29 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near-duplicates, by shingles of four words."""
+    return dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
+
+
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
+"""
+
 _ESC = r"replace(replace(text, '\', '\\'), '<|', '<\|')"
 OP4_SQL = f"""
 WITH rows AS (
@@ -80,5 +103,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_chat": op4_chat, "op7_urls": op7_urls, "op8_quality": op8_quality, "op9_secrets": op9_secrets}
-SQL = {"op4_chat": OP4_SQL}
+QUERIES = {"op3_minhash": op3_minhash, "op4_chat": op4_chat, "op7_urls": op7_urls, "op8_quality": op8_quality, "op9_secrets": op9_secrets}
+SQL = {"op3_minhash": OP3_SQL, "op4_chat": OP4_SQL}
