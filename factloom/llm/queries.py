@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, dedup, quality, secrets, urls
+from factloom.llm import chat, dedup, mixing, packing, quality, secrets, token_counts, urls
 from factloom.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -103,5 +103,37 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op4_chat": op4_chat, "op7_urls": op7_urls, "op8_quality": op8_quality, "op9_secrets": op9_secrets}
+def tokenizer_file(name: str) -> str:
+    """Where an installed public tokenizer lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by the best unigram segmentation."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every time that a document is seen in the mixture in which no source is seen more than twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, max_repetition=2.0).withColumn("n_tokens", mixing.tokens()).drop("text")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_tokens": op1_tokens,
+    "op3_minhash": op3_minhash,
+    "op4_chat": op4_chat,
+    "op5_mixing": op5_mixing,
+    "op7_urls": op7_urls,
+    "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
+    "op10_packing": op10_packing,
+}
 SQL = {"op3_minhash": OP3_SQL, "op4_chat": OP4_SQL}
