@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, dedup, mixing, packing, quality, secrets, token_counts, urls
+from factloom.llm import chat, dedup, knn, langid, mixing, packing, quality, secrets, token_counts, urls
 from factloom.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -126,14 +126,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best others for every vector whose id is divisible by 100."""
+    return knn.top_k(knn.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, predicted from its text by a model of the documents not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.is_held_out(F.col("doc_id"))))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES = {
     "op1_tokens": op1_tokens,
+    "op2_knn": op2_knn,
     "op3_minhash": op3_minhash,
     "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,
+    "op6_langid": op6_langid,
     "op7_urls": op7_urls,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
-SQL = {"op3_minhash": OP3_SQL, "op4_chat": OP4_SQL}
+SQL = {"op2_knn": OP2_SQL, "op3_minhash": OP3_SQL, "op4_chat": OP4_SQL}
