@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 
 from factloom.llm.common import durable
 from factloom.llm.packing_plan import plan
-from factloom.llm.pretokens import Encoder
+from factloom.llm.pretokens import encoder
 
 #: Pieces of one length that are ranked in one group, about.
 GROUP = 20_000
@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int = 0) -
     """doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

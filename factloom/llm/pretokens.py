@@ -24,6 +24,12 @@ def pretokens(text: str) -> list[str]:
     return (FAST if LATIN.fullmatch(text) else _full()).findall(text)
 
 
+@functools.cache
+def encoder(path: str) -> "Encoder":
+    """One for all tasks that a Python worker runs."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, as little-endian 32-bit bytes.
 
@@ -31,7 +37,7 @@ class Encoder:
     holds one of the tokenizer's own control strings is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,10 +53,10 @@ class Encoder:
             self.seen.clear()
         whole = [any(c in t for c in self.control) for t in texts]
         parts = [[] if w else pretokens(t) for w, t in zip(whole, texts)]
-        new = list({p for ps in parts for p in ps if p not in self.seen})
+        new = list(set().union(*parts).difference(self.seen))
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.seen[p] = self._pack(e.ids)
         return [
             self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join(map(self.seen.__getitem__, ps))
