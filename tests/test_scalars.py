@@ -98,7 +98,7 @@ def test_intervals(spark):
     schema = "struct<low:double,high:double,low_closed:boolean,high_closed:boolean>"
     out = column(spark, [(got[a], got[b]) for a, b, _ in pairs], f"a {schema}, b {schema}", comparators.overlaps(F.col("a"), F.col("b")))
     assert out == [p[2] for p in pairs]
-    assert column(spark, [(got[4], 6.9), (got[4], 7.5), (got[5], 33277.6)], f"i {schema}, x double", comparators.contains_point(F.col("i"), F.col("x"))) == [True, False, True]
+    assert column(spark, [(got[4], 6.9), (got[4], 7.5), (got[5], 33277.6)], f"v {schema}, p double", comparators.contains_point(F.col("v"), F.col("p"))) == [True, False, True]
 
 
 def test_phrases(spark):
