@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.binding import let
+
 #: Phrases of comparators, in the order in which they are tried.
 PHRASES = (
     ("lte", r"\bno more than\b|\bnot more than\b|\bat most\b|\bup to\b"),
@@ -51,20 +53,29 @@ def _interval(low: Column, high: Column, low_closed: bool, high_closed: bool) ->
 
 def value_interval(comparator: Column, number: Column, number_high: Column) -> Column:
     """The values that a figure stands for; null without a figure."""
-    n, top = F.coalesce(number, number_high), F.coalesce(number_high, number)
     inf = F.lit(float("inf"))
-    wide = F.greatest(F.abs(n) * APPROX_SHARE, F.lit(APPROX_LEAST), half_step(n))
-    low, high = F.least(n, top), F.greatest(n, top)
-    return F.when(
-        n.isNotNull(),
-        F.when(comparator == "gt", _interval(n, inf, False, False))
-        .when(comparator == "gte", _interval(n, inf, True, False))
-        .when(comparator == "lt", _interval(-inf, n, False, False))
-        .when(comparator == "lte", _interval(-inf, n, False, True))
-        .when(comparator == "approx", _interval(n - wide, n + wide, True, True))
-        .when(comparator == "range", _interval(low - half_step(low), high + half_step(high), True, False))
-        .otherwise(_interval(n - half_step(n), n + half_step(n), True, False)),
-    )
+    given = F.struct(F.coalesce(number, number_high).alias("n"), F.coalesce(number_high, number).alias("top"))
+    steps = lambda g: F.struct(
+        g["n"].alias("n"), F.least(g["n"], g["top"]).alias("low"), F.greatest(g["n"], g["top"]).alias("high"), half_step(g["n"]).alias("half"), half_step(g["top"]).alias("top_half"),
+        (g["n"] <= g["top"]).alias("rising"),
+    )
+
+    def read(x: Column) -> Column:
+        n, half = x["n"], x["half"]
+        wide = F.greatest(F.abs(n) * APPROX_SHARE, F.lit(APPROX_LEAST), half)
+        low_half, high_half = F.when(x["rising"], half).otherwise(x["top_half"]), F.when(x["rising"], x["top_half"]).otherwise(half)
+        return F.when(
+            n.isNotNull(),
+            F.when(comparator == "gt", _interval(n, inf, False, False))
+            .when(comparator == "gte", _interval(n, inf, True, False))
+            .when(comparator == "lt", _interval(-inf, n, False, False))
+            .when(comparator == "lte", _interval(-inf, n, False, True))
+            .when(comparator == "approx", _interval(n - wide, n + wide, True, True))
+            .when(comparator == "range", _interval(x["low"] - low_half, x["high"] + high_half, True, False))
+            .otherwise(_interval(n - half, n + half, True, False)),
+        )
+
+    return let(given, lambda g: let(steps(g), read))
 
 
 def is_empty(i: Column) -> Column:

@@ -5,6 +5,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.binding import let
 from factloom.functions.text import strip
 
 #: Fixed value: the month in which a fiscal year begins if a document does not say.
@@ -61,81 +62,92 @@ def period(raw_label: Column, fy_start_month: int | None = None) -> Column:
     A date comes first, then two years joined by a word, a fiscal year (with a quarter or a half),
     a calendar year, and a year alone. A date that the calendar does not have is unknown.
     """
-    label = strip(F.coalesce(raw_label, F.lit("")))
-    lower = F.lower(label)
     assumed, month = F.lit(fy_start_month is None), fy_start_month or FY_START
-    none_int = F.lit(None).cast("int")
-
-    def result(kind, start, end, fy=none_int, flag=F.lit(False)) -> Column:
-        return F.struct(
-            label.alias("raw_label"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), start.cast("date").alias("start_date"),
-            end.cast("date").alias("end_date"), fy.cast("int").alias("fy_start_month"), flag.alias("convention_assumed"),
-        )
+    return let(strip(F.coalesce(raw_label, F.lit(""))), lambda label: let(_parts(label), lambda g: let(_dates(g, month), lambda x: _resolved(label, g, x, month, assumed))))
 
-    nothing = F.lit(None).cast("date")
-    unknown = result("unknown", nothing, nothing)
-
-    def dated(day: Column) -> Column:
-        """A day, or the span that is said to end on it."""
-        months = (
-            F.when(_group(lower, STUB, 2).isNotNull(), 3)
-            .when(_group(lower, STUB, 3).isNotNull(), 6)
-            .when(_group(lower, STUB, 4).isNotNull(), 12)
-            .otherwise(F.coalesce(F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in NUMBERS.items())), F.regexp_extract(lower, STUB, 1)), F.regexp_extract(lower, STUB, 1).try_cast("int")))
-        )
-        months = F.when(months.between(1, 24), months)
-        kind = F.when(months == 3, "quarter").when(months == 6, "half").when(months == 12, "fiscal_year").otherwise("partial_year")
-        year_ended = F.lit(False)
-        for phrase in ("year ended", "year ending", "fy ended", "for the year"):
-            year_ended = year_ended | F.contains(lower, F.lit(phrase))
-        start, end = _fiscal(F.year(day), month)
-        return (
-            F.when(day.isNull(), unknown)
-            .when(year_ended & (F.month(day) == (month - 1 or 12)), result("fiscal_year", start, end, F.lit(month), assumed))
-            .when(months.isNotNull(), result(kind, F.add_months(F.trunc(day, "month"), 1 - months), day, F.when(kind == "fiscal_year", month), assumed))
-            .otherwise(result("date", day, day))
-        )
 
-    month_of = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in MONTHS.items()))
+def _parts(label: Column) -> Column:
+    """What the grammar finds in a label, as texts."""
+    lower = F.lower(label)
     month_first = _group(label, MONTH_DAY, 0).isNotNull()
-    name = F.lower(F.when(month_first, F.regexp_extract(label, MONTH_DAY, 1)).otherwise(F.regexp_extract(label, DAY_MONTH, 2)))
-    number = F.when(month_first, F.regexp_extract(label, MONTH_DAY, 2)).otherwise(F.regexp_extract(label, DAY_MONTH, 1))
-    of_year = F.when(month_first, F.regexp_extract(label, MONTH_DAY, 3)).otherwise(F.regexp_extract(label, DAY_MONTH, 3))
-    named = F.try_element_at(month_of, name)
+    either = lambda i, j: F.when(month_first, _group(label, MONTH_DAY, i)).otherwise(_group(label, DAY_MONTH, j))
+    fiscal = _group(label, FISCAL, 0).isNotNull()
 
-    def pick(i: int) -> Column:
+    def span(i: int) -> Column:
         """Group i of the first of SPANS that matches."""
         out = F.lit(None).cast("string")
         for pattern in reversed(SPANS):
             out = F.when(_group(label, pattern, 0).isNotNull(), _group(label, pattern, i)).otherwise(out)
         return out
 
-    a, b = _year(pick(2)), _year(pick(4))
-    of_fiscal = F.coalesce(F.lower(strip(pick(1))).startswith("f"), F.lit(False)) | F.coalesce(F.lower(strip(pick(3))).startswith("f"), F.lit(False))
-    first, last = F.least(a, b), F.greatest(a, b)
-    is_fiscal = _group(label, FISCAL, 0).isNotNull()
-    y1 = F.when(is_fiscal, _group(label, FISCAL, 1)).otherwise(_group(label, BARE_SPAN, 1))
-    y2 = F.when(is_fiscal, _group(label, FISCAL, 2)).otherwise(_group(label, BARE_SPAN, 2))
-    start, end = _fiscal(F.greatest(_year(y1), F.coalesce(_year(y2), _year(y1))), month)
-    quarter = F.coalesce(_group(label, QUARTER, 1), _group(label, QUARTER, 2)).cast("int")
-    half = F.coalesce(_group(label, HALF, 1), _group(label, HALF, 2)).cast("int")
-    q_start = F.add_months(start, 3 * (quarter - 1))
-    whole = lambda y: (F.make_date(y, F.lit(1), F.lit(1)), F.make_date(y, F.lit(12), F.lit(31)))
-    cy, bare = _group(label, CALENDAR, 1).cast("int"), _group(label, BARE_YEAR, 1).cast("int")
+    ended = F.lit(False)
+    for phrase in ("year ended", "year ending", "fy ended", "for the year"):
+        ended = ended | F.contains(lower, F.lit(phrase))
+    number = _group(lower, STUB, 1)
+    words = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in NUMBERS.items()))
+    months = (
+        F.when(_group(lower, STUB, 2).isNotNull(), 3)
+        .when(_group(lower, STUB, 3).isNotNull(), 6)
+        .when(_group(lower, STUB, 4).isNotNull(), 12)
+        .otherwise(F.coalesce(F.try_element_at(words, number), number.try_cast("int")))
+    )
+    prefix = lambda i: F.coalesce(F.lower(strip(span(i))).startswith("f"), F.lit(False))
+    found = {
+        "y": _group(label, ISO, 1), "m": _group(label, ISO, 2), "d": _group(label, ISO, 3),
+        "name": F.lower(either(1, 2)), "day": either(2, 1), "year": either(3, 3),
+        "from": span(2), "to": span(4), "fiscal_span": prefix(1) | prefix(3),
+        "y1": F.when(fiscal, _group(label, FISCAL, 1)).otherwise(_group(label, BARE_SPAN, 1)), "y2": F.when(fiscal, _group(label, FISCAL, 2)).otherwise(_group(label, BARE_SPAN, 2)),
+        "quarter": F.coalesce(_group(label, QUARTER, 1), _group(label, QUARTER, 2)).cast("int"), "half": F.coalesce(_group(label, HALF, 1), _group(label, HALF, 2)).cast("int"),
+        "cy": _group(label, CALENDAR, 1).cast("int"), "bare": _group(label, BARE_YEAR, 1).cast("int"), "ended": ended, "months": months,
+    }
+    return F.struct(*[c.alias(n) for n, c in found.items()])
+
+
+def _dates(g: Column, month: int) -> Column:
+    """Days and years of the parts."""
+    month_of = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in MONTHS.items()))
+    named = F.try_element_at(month_of, g["name"])
+    a, b = _year(g["from"]), _year(g["to"])
+    y1 = _year(g["y1"])
+    start, end = _fiscal(F.greatest(y1, F.coalesce(_year(g["y2"]), y1)), month)
+    found = {
+        "is_day": g["y"].isNotNull() | named.isNotNull(), "day": F.when(g["y"].isNotNull(), _day(g["y"], g["m"], g["d"])).otherwise(_day(g["year"], named, g["day"])),
+        "first": F.least(a, b), "last": F.greatest(a, b), "start": start, "end": end, "months": F.when(g["months"].between(1, 24), g["months"]),
+    }
+    return F.struct(*[c.alias(n) for n, c in found.items()])
+
+
+def _resolved(label: Column, g: Column, x: Column, month: int, assumed: Column) -> Column:
+    """The period of the parts, by the first rule that holds."""
+
+    def result(kind, start, end, fy=F.lit(None), flag=F.lit(False)) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.struct(
+            label.alias("raw_label"), kind.alias("kind"), start.cast("date").alias("start_date"), end.cast("date").alias("end_date"),
+            fy.cast("int").alias("fy_start_month"), flag.alias("convention_assumed"),
+        )
+
+    unknown = result("unknown", F.lit(None), F.lit(None))
+    of_year = lambda y: (F.make_date(y, F.lit(1), F.lit(1)), F.make_date(y, F.lit(12), F.lit(31)))
+    day, months, start, end, fy = x["day"], x["months"], x["start"], x["end"], F.lit(month)
+    stub = F.when(months == 3, "quarter").when(months == 6, "half").when(months == 12, "fiscal_year").otherwise("partial_year")
+    q_start = F.add_months(start, 3 * (g["quarter"] - 1))
+    joined, is_year = x["first"] != x["last"], g["y1"].isNotNull()
     return (
-        F.when(label == "", unknown)
-        .when(_group(label, ISO, 0).isNotNull(), dated(_day(_group(label, ISO, 1), _group(label, ISO, 2), _group(label, ISO, 3))))
-        .when(named.isNotNull(), dated(_day(of_year, named, number)))
-        .when((a != b) & of_fiscal, result("multi_year", _fiscal(first, month)[0], _fiscal(last, month)[1], F.lit(month), assumed))
-        .when(a != b, result("multi_year", whole(first)[0], whole(last)[1], F.lit(1)))
-        .when(y1.isNotNull() & quarter.isNotNull(), result("quarter", q_start, F.last_day(F.add_months(q_start, 2)), F.lit(month), assumed))
+        F.when((label == "") | (x["is_day"] & day.isNull()), unknown)
+        .when(x["is_day"] & g["ended"] & (F.month(day) == (month - 1 or 12)), result("fiscal_year", *_fiscal(F.year(day), month), fy, assumed))
+        .when(x["is_day"] & months.isNotNull(), result(stub, F.add_months(F.trunc(day, "month"), 1 - months), day, F.when(months == 12, fy), assumed))
+        .when(x["is_day"], result("date", day, day))
+        .when(joined & g["fiscal_span"], result("multi_year", _fiscal(x["first"], month)[0], _fiscal(x["last"], month)[1], fy, assumed))
+        .when(joined, result("multi_year", of_year(x["first"])[0], of_year(x["last"])[1], F.lit(1)))
+        .when(is_year & g["quarter"].isNotNull(), result("quarter", q_start, F.last_day(F.add_months(q_start, 2)), fy, assumed))
         .when(
-            y1.isNotNull() & half.isNotNull(),
-            result("half", F.add_months(start, 6 * (half - 1)), F.when(half == 1, F.last_day(F.add_months(start, 5))).otherwise(end), F.lit(month), assumed),
+            is_year & g["half"].isNotNull(),
+            result("half", F.add_months(start, 6 * (g["half"] - 1)), F.when(g["half"] == 1, F.last_day(F.add_months(start, 5))).otherwise(end), fy, assumed),
         )
-        .when(y1.isNotNull(), result("fiscal_year", start, end, F.lit(month), assumed))
-        .when(cy.isNotNull(), result("calendar_year", *whole(cy), F.lit(1)))
-        .when(bare.isNotNull(), result("calendar_year", *whole(bare), F.lit(1), F.lit(True)))
+        .when(is_year, result("fiscal_year", start, end, fy, assumed))
+        .when(g["cy"].isNotNull(), result("calendar_year", *of_year(g["cy"]), F.lit(1)))
+        .when(g["bare"].isNotNull(), result("calendar_year", *of_year(g["bare"]), F.lit(1), F.lit(True)))
         .otherwise(unknown)
     )
 

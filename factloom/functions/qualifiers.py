@@ -5,7 +5,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.periods import period
+from factloom.functions.binding import let
 from factloom.functions.text import strip
 
 #: Significant qualifiers and the keys that state them, in order.
@@ -38,17 +38,18 @@ def significant(qualifiers: Column) -> Column:
     )
     synonyms = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in SYNONYMS.items()))
 
-    def of(key: str) -> Column:
-        found = F.filter(entries, lambda e: e["key"] == key)
-        value = F.get(found, F.size(found) - 1)["value"]  # of keys that differ in case the last counts
-        return F.when(value != "", value)
+    def read(e: Column) -> Column:
+        def of(key: str) -> Column:
+            found = F.filter(e, lambda x: x["key"] == key)
+            return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(found, lambda x: F.when(x["value"] != "", x["value"]))), -1)  # of keys that differ in case the last counts
 
-    def stated(keys: tuple[str, ...]) -> Column:
-        first = F.coalesce(*map(of, keys))
-        return F.coalesce(F.try_element_at(synonyms, first), first)
+        def stated(keys: tuple[str, ...]) -> Column:
+            return let(F.coalesce(*map(of, keys)), lambda first: F.coalesce(F.try_element_at(synonyms, first), first))
 
-    pairs = F.array(*[F.struct(F.lit(name).alias("key"), stated(keys).alias("value")) for name, keys in SIGNIFICANT.items()])
-    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+        pairs = F.array(*[F.struct(F.lit(name).alias("key"), stated(keys).alias("value")) for name, keys in SIGNIFICANT.items()])
+        return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+    return let(entries, read)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -57,9 +58,8 @@ def differing(a: Column, b: Column) -> Column:
     return F.filter(names, lambda n: F.coalesce(F.try_element_at(a, n) != F.try_element_at(b, n), F.lit(False)))
 
 
-def assumptions(fact_kind: Column, entity_resolved: Column, comparator: Column, label: Column) -> Column:
-    """Flags of a fact, in a fixed order."""
-    p = period(label)
+def assumptions(fact_kind: Column, entity_resolved: Column, comparator: Column, p: Column) -> Column:
+    """Flags of a fact, in a fixed order; p is what `period` gives of its label."""
     return F.array_compact(
         F.array(
             F.when(~F.coalesce(entity_resolved, F.lit(False)), "entity_inferred"),

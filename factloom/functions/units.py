@@ -80,8 +80,8 @@ def unit_tokens(unit: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
-def quantity(number: Column, unit: Column) -> Column:
-    """A struct: magnitude, dimension, currency, base_unit, scale_word, raw_unit.
+def unit_info(unit: Column) -> Column:
+    """A struct: scale, factor, dimension, currency, base_unit, scale_word, raw_unit.
 
     Tokens are read from left to right. The first currency wins and a physical unit behind it is a
     denominator; scale words multiply; a percent sign sets the dimension; a physical unit or a
@@ -113,7 +113,8 @@ def quantity(number: Column, unit: Column) -> Column:
         dim = F.when((acc["dim"] == "unknown") & acc["scale_word"].isNotNull(), "count").otherwise(acc["dim"])
         base = F.when(dim == "currency", F.coalesce(acc["currency"], F.lit(""))).otherwise(F.coalesce(F.try_element_at(_map(BASES), dim), F.lit("")))
         return F.struct(
-            (number * acc["scale"] * acc["factor"]).alias("magnitude"),
+            acc["scale"].alias("scale"),
+            acc["factor"].alias("factor"),
             dim.alias("dimension"),
             acc["currency"].alias("currency"),
             base.alias("base_unit"),
@@ -122,3 +123,15 @@ def quantity(number: Column, unit: Column) -> Column:
         )
 
     return F.aggregate(unit_tokens(unit), start, read, finish)
+
+
+def magnitude(number: Column, info: Column) -> Column:
+    """A figure on the base unit of its dimension."""
+    return number * info["scale"] * info["factor"]
+
+
+def quantity(number: Column, unit: Column) -> Column:
+    """A struct: magnitude and the fields of unit_info."""
+    info = unit_info(unit)
+    fields = ("dimension", "currency", "base_unit", "scale_word", "raw_unit")
+    return F.struct(magnitude(number, info).alias("magnitude"), *[info[f].alias(f) for f in fields])

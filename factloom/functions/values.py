@@ -5,21 +5,23 @@ from pyspark.sql import functions as F
 
 from factloom.functions.comparators import is_empty, value_interval
 from factloom.functions.text import norm, strip
-from factloom.functions.units import quantity
+from factloom.functions.units import magnitude, unit_info
 
 COMPARATORS = ("eq", "approx", "gt", "gte", "lt", "lte", "range")
 
 
-def normalise_value(kind: Column, value: Column) -> Column:
+def normalise_value(kind: Column, value: Column, unit: Column | None = None, raw: Column | None = None) -> Column:
     """A struct: kind, dimension, currency, interval (on the base unit), state, text, scale_word, comparable.
 
     value is a struct of comparator, number, number_high, unit, state and text. A figure of 0 is not scaled.
+    unit and raw are what unit_info and value_interval give, if they are columns already.
     """
     number, high = value["number"].cast("double"), value["number_high"].cast("double")
     base = F.coalesce(number, high)
-    q = quantity(base, value["unit"])
-    factor = F.when(base == 0, F.lit(1.0)).otherwise(F.try_divide(q["magnitude"], base))
-    raw = value_interval(F.when(value["comparator"].isin(*COMPARATORS), value["comparator"]), number, high)
+    q = unit_info(value["unit"]) if unit is None else unit
+    factor = F.when(base == 0, F.lit(1.0)).otherwise(F.try_divide(magnitude(base, q), base))
+    if raw is None:
+        raw = value_interval(F.when(value["comparator"].isin(*COMPARATORS), value["comparator"]), number, high)
     inf = float("inf")
     scaled = lambda x: F.when(F.abs(x) == inf, x).otherwise(x * factor)
     interval = F.when(

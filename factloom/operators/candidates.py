@@ -35,6 +35,7 @@ def nearest(facts: DataFrame, *, k: int = NEAREST, most: float | None = MOST_DIS
     left = dealt.where("asks").withColumn("row", F.col("block")).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = dealt.where("found").withColumn("col", F.col("block")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     kind, keys = dict(rows.dtypes), [*group, "row", "col"]
+    left, right = (side.select(*[F.col(c).alias(c) for c in (*keys, "id", "embedding")]) for side in (left, right))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.comparators import overlaps
-from factloom.functions.periods import period, relation
+from factloom.functions.periods import relation
 from factloom.functions.qualifiers import differing, significant
 from factloom.functions.text import norm
-from factloom.functions.values import normalise_value
+from factloom.operators.normalise import by_dictionary, with_period, with_value
 
 CONCRETE = ("currency", "percent", "mass", "length", "area", "duration", "ratio")
 
@@ -24,19 +24,22 @@ def comparable(facts: DataFrame) -> DataFrame:
     has = set(facts.columns)
     name = lambda c: norm(F.coalesce(F.col(f"canonical_{c}"), F.col(c)) if f"canonical_{c}" in has else F.col(c))
     label = F.col("period.raw_label")
-    return facts.withColumn(
+    staged = with_value(with_period(facts, label, "_period"), F.col("fact_kind"), "value", "_value")
+    stated = F.array_sort(F.map_entries("qualifiers"))
+    staged = by_dictionary(staged, stated, lambda e: significant(F.map_from_entries(e)), "_stated")
+    return staged.withColumn(
         "cmp",
         F.struct(
             F.col("fact_kind").alias("kind"),
             name("entity").alias("entity"),
             name("attribute").alias("attribute"),
-            period(label).alias("period"),
+            F.col("_period").alias("period"),
             norm(label).alias("label"),
-            significant(F.col("qualifiers")).alias("qualifiers"),
-            normalise_value(F.col("fact_kind"), F.col("value")).alias("value"),
+            F.col("_stated").alias("qualifiers"),
+            F.col("_value").alias("value"),
             F.coalesce(F.col("entity_resolved"), F.lit(True)).alias("resolved"),
         ),
-    )
+    ).drop("_period", "_value", "_stated")
 
 
 def decide(a: Column, b: Column) -> Column:
@@ -85,5 +88,6 @@ def pairs_in_blocks(facts: DataFrame, key: str = "fact_id") -> DataFrame:
     side = lambda s: comparable(facts).select(
         F.col(key).alias(f"{key}_{s}"), F.col("cmp").alias(f"cmp_{s}"), "project_id", F.col("cmp.kind").alias("kind"), F.col("cmp.entity").alias("e"), F.col("cmp.attribute").alias("t")
     )
+    # The conditions are computed once, so that the rules read columns.
     joined = side("a").join(side("b"), ["project_id", "kind", "e", "t"]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
     return joined.withColumn("check", decide(F.col("cmp_a"), F.col("cmp_b"))).select("project_id", f"{key}_a", f"{key}_b", "check.*")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.functions.qualifiers import assumptions
+from factloom.operators.normalise import with_period
 from factloom.operators.precheck import comparable, decide
 
 #: The least confidence of a verdict; the scores of a second reading; how many are read twice.
@@ -72,17 +73,18 @@ def corroborate(primary: DataFrame, blind: DataFrame) -> DataFrame:
         .groupBy("fact_id")
         .agg(F.max(decide(F.col("cmp"), F.col("_other"))["outcome"] == "corroborates").alias("agrees"), F.count(F.lit(1)).alias("blind_facts"))
     )
-    flags = assumptions(F.col("fact_kind"), F.col("entity_resolved"), F.col("value.comparator"), F.col("period.raw_label"))
+    flags = assumptions(F.col("fact_kind"), F.col("entity_resolved"), F.col("value.comparator"), F.col("_period"))
     agrees = F.coalesce("agrees", F.lit(False))
     demoted = ~agrees & F.col("verification_status").isin("verified", "auto_corrected")
-    return primary.join(seen, "fact_id", "left").withColumns(
+    known = with_period(primary, F.col("period.raw_label"), "_period")
+    return known.join(seen, "fact_id", "left").withColumns(
         {
             "agrees": agrees,
             "blind_facts": F.coalesce("blind_facts", F.lit(0)),
             "confidence": dual_score(agrees, flags),
             "status": F.when(demoted, "needs_review").otherwise(F.col("verification_status")),
         }
-    )
+    ).drop("_period")
 
 
 def read_twice(facts: DataFrame, *, terms: tuple[str, ...] = (), limit: int = READ_TWICE, every: bool = False) -> DataFrame:

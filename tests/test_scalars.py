@@ -112,7 +112,7 @@ def test_assumptions(spark):
         *[("quantitative", True, "eq", p, []) for p in ("2024", "calendar year 2024", "March 31, 2024", " ")], ("quantitative", False, "eq", "", ["entity_inferred"]),
         ("quantitative", True, None, "", ["comparator_unspecified"]), ("status", True, None, "", []), ("quantitative", False, None, "FY24", ["entity_inferred", "comparator_unspecified", "fy_convention_assumed"]),
     ]
-    flags = qualifiers.assumptions(F.col("k"), F.col("r"), F.col("c"), F.col("p"))
+    flags = qualifiers.assumptions(F.col("k"), F.col("r"), F.col("c"), periods.period(F.col("p")))
     assert column(spark, [r[:4] for r in rows], "k string, r boolean, c string, p string", flags) == [r[4] for r in rows]
     pen = column(spark, [(0.9, ["a"]), (0.9, ["a"] * 3), (0.1, ["a"] * 2), (0.03, [])], "c double, f array<string>", qualifiers.penalised(F.col("c"), F.col("f")))
     assert pen == pytest.approx([0.8, 0.6, 0.05, 0.03])
