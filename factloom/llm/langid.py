@@ -54,7 +54,10 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    """Log frequencies: scores[kind][item] is an array over languages; kind 0 is words, 1..4 n-grams."""
+    """Log frequencies over languages: a row of `rows` for each word and n-gram, and for an unknown character.
+
+    What it has worked out for words is remembered in a worker and not sent along.
+    """
 
     def __init__(self, langs: list[str], counts: list[tuple[int, str, str, int]], totals: dict[tuple[int, str], int]):
         self.langs = langs
@@ -63,25 +66,62 @@ class Model:
         found: list[dict[str, np.ndarray]] = [{} for _ in range(5)]
         for kind, item, lang, n in counts:
             found[kind].setdefault(item, np.zeros(len(langs)))[at[lang]] = n
-        self.scores = [
-            {item: np.log((n + 0.5) / (total[k] + 0.5 * (len(items) + 1))) for item, n in items.items()} for k, items in enumerate(found)
-        ]
-        self.unknown = [np.log(0.5 / (total[k] + 0.5 * (len(items) + 1))) for k, items in enumerate(found)]
-
-    def word(self, w: str) -> np.ndarray:
-        known = self.scores[0].get(w)
+        rows = [np.log(0.5 / (total[1] + 0.5 * (len(found[1]) + 1)))]
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        for k, items in enumerate(found):
+            for item, n in items.items():
+                (self.grams if k else self.words)[item] = len(rows)
+                rows.append(np.log((n + 0.5) / (total[k] + 0.5 * (len(items) + 1))))
+        self.rows = np.array(rows)
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.langs)))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "table")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def places(self, w: str) -> list[int]:
+        """Rows whose mean is the word's score: its own, or the longest known n-gram at each place."""
+        known = self.words.get(w)
         if known is not None:
-            return known
-        marked, places = f"^{w}$", []
+            return [known]
+        marked, get, out = f"^{w}$", self.grams.get, []
         for i in range(1, len(marked) - 1):
             for n in SIZES:
-                got = self.scores[n].get(marked[i : i + n]) if i + n <= len(marked) else None
-                if got is not None:
-                    places.append(got)
+                row = get(marked[i : i + n])
+                if row is not None:
+                    out.append(row)
                     break
             else:
-                places.append(self.unknown[1])
-        return np.mean(places, axis=0)
+                out.append(0)
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Remembers the scores of new words."""
+        parts = [self.places(w) for w in new]
+        sizes = np.array([len(p) for p in parts])
+        flat = np.fromiter((r for p in parts for r in p), np.int64, sizes.sum())
+        means = np.add.reduceat(self.rows[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        while len(self.seen) + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[len(self.seen) : len(self.seen) + len(new)] = means
+        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
+
+    def totals(self, texts: list[list[str]], most: int) -> list[np.ndarray]:
+        """The sums over each text's words (one at least)."""
+        if len(self.seen) > most:
+            self.forget()
+        new = list(set().union(*texts).difference(self.seen))
+        if new:
+            self.learn(new)
+        return [self.table[np.fromiter(map(self.seen.__getitem__, ws), np.int64, len(ws))].sum(axis=0) for ws in texts]
 
 
 def train(docs: DataFrame, *, per_language: int = 3000, most_words: int = 20_000, most_grams: int = 5_000, seed: int = 11) -> Model | None:
@@ -127,34 +167,24 @@ def train(docs: DataFrame, *, per_language: int = 3000, most_words: int = 20_000
     return Model(sorted(many), rows, totals)
 
 
-def predict(docs: DataFrame, model: Model | None, *, most: int = 300_000) -> DataFrame:
-    """doc_id, lang_pred and score for each of docs (doc_id, text)."""
+def predict(docs: DataFrame, model: Model | None, *, most: int = 600_000) -> DataFrame:
+    """doc_id, lang_pred and score for each of docs (doc_id, text); a worker remembers about `most` words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        seen: dict[str, int] = {}
-        table = np.zeros((1024, len(m.langs) if m else 0))
-        for batch in batches:
-            langs, scores = [], []
-            for value in batch.column("text"):
-                ws = words_of(value.as_py()) if m else []
-                if not ws:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                if len(seen) > most:
-                    seen.clear()
-                for w in set(ws).difference(seen):
-                    if len(seen) == len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[len(seen)] = m.word(w)
-                    seen[w] = len(seen)
-                total = table[np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-                best = int(total.argmax())
-                langs.append(m.langs[best])
-                scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [words_of(t) if m else [] for t in batch.column("text").to_pylist()]
+                sums = iter(m.totals([ws for ws in texts if ws], most) if m else [])
+                langs, scores = [], []
+                for ws in texts:
+                    total = next(sums) if ws else None
+                    best = None if total is None else int(total.argmax())
+                    langs.append("und" if best is None else m.langs[best])
+                    scores.append(0.0 if best is None else float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
