@@ -9,13 +9,14 @@ The vocabulary is a public one of byte pieces in order of rank; every single byt
 every text can be cut. A piece's cost is -ln of its chance by Zipf's law, ln((rank + 1) * H), in
 whole millionths of a nat; ties are for fewer pieces. Nothing is trained.
 
-Each task keeps a trie of its own, and starts a new one when it is full. No rows are shuffled.
+Each Python worker keeps a trie of its own, and starts a new one when it is full. No rows are shuffled.
 
 Defined results: a null or empty text has no tokens; repeated rows are counted each; a very long
 pre-token is cut like any other; other columns are left out.
 """
 
 import base64
+import functools
 import math
 from collections.abc import Iterator
 
@@ -71,15 +72,21 @@ class Trie:
         return known
 
 
+@functools.cache
+def trie(path: str) -> Trie:
+    """One for all tasks that a Python worker runs."""
+    return Trie(costs(path))
+
+
 def token_counts(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_pretokens, n_tokens and score (the log chance of the best segmentation, in nats)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(costs(vocabulary))
+        count = trie(vocabulary).count
         for batch in batches:
             out: list[list] = [[], [], []]
             for value in batch.column("text"):
-                found = [trie.count(t) for t in pretokens(value.as_py() or "")]
+                found = list(map(count, pretokens(value.as_py() or "")))
                 out[0].append(len(found))
                 out[1].append(sum(n for n, _ in found))
                 out[2].append(-sum(c for _, c in found) / 1e6)
