@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import comparators, numbers, qualifiers, text
 from factloom.functions.periods import period, relation
+from factloom.functions.repair import repair_comparators
 from factloom.functions.units import magnitude, unit_info
-from factloom.operators import candidates, chunking, clusters, concepts, evaluation, grounding, precheck, relationships, routing, search, tables, verification
+from factloom.operators import candidates, chunking, clusters, concepts, evaluation, extraction, grounding, precheck, relationships, routing, search, tables, verification
 from factloom.operators.normalise import by_dictionary, with_period, with_value
 from factloom.plans.derived import document_pages, event_logs, line_facts, table, vector_facts
 from factloom.streaming.ingest import drain, log_windows, read_stream, state_folder, take_new
@@ -333,4 +334,22 @@ def stream_new_documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(store).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES |= {f.__name__: f for f in (stream_log_windows, stream_new_documents)}
+def comparator_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Comparators of quantities after the words before them are read."""
+    words = F.array(*map(F.lit, ("over ", "at least ", "fewer than ", "up to ", "roughly ", "between ", "no more than ", "", "north of ", "shy of ")))
+    said = F.concat(F.lit("more than all; "), F.get(words, (F.col("l_partkey") % 10).cast("int")), F.col("l_quantity").cast("int").cast("string"), F.lit(" units sent"))
+    facts = table(spark, d, "lineitem").select(
+        F.lit("quantitative").alias("fact_kind"), said.alias("evidence_text"), F.struct(F.lit("eq").alias("comparator"), F.col("l_quantity").alias("number")).alias("value")
+    )
+    return repair_comparators(facts).groupBy(F.col("value.comparator").alias("comparator"), "repaired").agg(F.count(F.lit(1)).alias("n"))
+
+
+def finalise_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of lines proposed for the chunks of documents, by what becomes of them."""
+    facts = line_facts(spark, d).withColumns({"document_id": F.col("value.number").cast("long") % 50, "chunk_index": F.lit(0), "evidence_text": F.concat_ws(" ", "entity", "attribute")})
+    chunks = chunking.build_chunks(classified(spark, d)).where("chunk_index = 0").withColumns({"confidence_ceiling": F.lit(1.0), "table_markdown": F.when(F.col("document_id") % 9 == 0, "| t |")})
+    kept, dropped = extraction.finalise(facts, chunks)
+    return extraction.statistics(kept, dropped)
+
+
+QUERIES |= {f.__name__: f for f in (stream_log_windows, stream_new_documents, comparator_repair, finalise_candidates)}

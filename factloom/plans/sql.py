@@ -200,6 +200,9 @@ SELECT answer_id, CASE WHEN answer_id % 5 = 0 THEN k WHEN (k >= 2)::INTEGER + (a
   ELSE (k >= 2)::INTEGER + (answer_id % 4 <> 1 AND k >= answer_id % 4 + 1)::INTEGER END::BIGINT AS n_cited
 FROM c WHERE answer_id IN (SELECT o_orderkey FROM orders)""",
 }
+SQL["comparator_repair"] = """
+WITH r AS (SELECT ['gt', 'gte', 'lt', 'lte', 'approx', 'eq', 'lte', 'eq', 'eq', 'eq'][l_partkey % 10 + 1] AS c FROM lineitem)
+SELECT c AS comparator, c <> 'eq' AS repaired, count(*)::BIGINT AS n FROM r GROUP BY ALL"""
 SQL["stream_log_windows"] = """
 SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, count(*) FILTER (value > 0)::BIGINT AS n_positive FROM events GROUP BY ALL"""
 SQL["stream_new_documents"] = "SELECT lang, count(*)::BIGINT AS n FROM (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1) JOIN documents USING (doc_id) GROUP BY 1"
