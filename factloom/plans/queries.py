@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import comparators, numbers, qualifiers, text
 from factloom.functions.periods import period, relation
+from factloom.functions.render import fact_line
 from factloom.functions.repair import repair_comparators
 from factloom.functions.units import magnitude, unit_info
-from factloom.operators import candidates, chunking, clusters, concepts, evaluation, extraction, grounding, precheck, relationships, routing, search, tables, verification
+from factloom.operators import candidates, chunking, clusters, compare, concepts, evaluation, extraction, grounding, precheck, relationships, routing, search, tables, verification
 from factloom.operators.normalise import by_dictionary, with_period, with_value
 from factloom.plans.derived import document_pages, event_logs, line_facts, table, vector_facts
 from factloom.streaming.ingest import drain, log_windows, read_stream, state_folder, take_new
@@ -352,4 +353,25 @@ def finalise_candidates(spark: SparkSession, d: str) -> DataFrame:
     return extraction.statistics(kept, dropped)
 
 
-QUERIES |= {f.__name__: f for f in (stream_log_windows, stream_new_documents, comparator_repair, finalise_candidates)}
+def fact_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of lines as they are shown."""
+    line = fact_line(F.col("fact_kind"), F.col("entity"), F.col("attribute"), F.col("value"), F.col("period.raw_label"), F.col("document_id"))
+    return line_facts(spark, d).select("fact_id", line.alias("line"))
+
+
+def compare_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as facts of twenty documents, compared, by what the rules make of the pairs."""
+    facts = vector_facts(spark, d).withColumns(
+        {
+            "fact_kind": F.lit("quantitative"), "verification_status": F.lit("verified"), "entity": F.concat(F.lit("e"), F.col("fact_kind") % 3), "attribute": F.concat(F.lit("a"), F.col("fact_kind") % 2), "entity_resolved": F.lit(True),
+            "value": F.struct(F.lit("eq").alias("comparator"), (F.col("fact_id") % 3).cast("double").alias("number"), F.lit(None).cast("double").alias("number_high"), F.lit("units").alias("unit"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("text")),
+            "period": F.struct(F.lit("FY24").alias("raw_label")), "qualifiers": F.create_map(F.lit("basis"), F.lit("actual")),
+        }
+    )
+    concepts_ = spark.createDataFrame([("p", "entity", "e0", ["e0", "e1"])], "project_id string, kind string, canonical_name string, raw_aliases array<string>")
+    none = spark.createDataFrame([], "fact_id_a long, fact_id_b long")
+    decided, _ = compare.compare(facts, none, concepts_, most=KNN_MOST)
+    return decided.groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (stream_log_windows, stream_new_documents, comparator_repair, finalise_candidates, fact_lines, compare_vectors)}

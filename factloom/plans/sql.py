@@ -200,6 +200,21 @@ SELECT answer_id, CASE WHEN answer_id % 5 = 0 THEN k WHEN (k >= 2)::INTEGER + (a
   ELSE (k >= 2)::INTEGER + (answer_id % 4 <> 1 AND k >= answer_id % 4 + 1)::INTEGER END::BIGINT AS n_cited
 FROM c WHERE answer_id IN (SELECT o_orderkey FROM orders)""",
 }
+SQL["fact_lines"] = f"""
+WITH {LINE_FACTS}, w AS (
+  SELECT *, CASE WHEN comparator = 'eq' THEN '' WHEN comparator IS NULL THEN '~' ELSE comparator || ' ' END
+    || CASE WHEN n = floor(n) THEN n::BIGINT::VARCHAR ELSE rtrim(printf('%.2f', n), '0') END || ' ' || unit AS figure FROM facts)
+SELECT fact_id, entity || ' | ' || attribute || ' | ' || CASE fact_kind WHEN 'quantitative' THEN figure WHEN 'status' THEN CASE state WHEN 'sent back' THEN ' Sent  back' WHEN 'accepted' THEN 'Accepted' ELSE state END
+  ELSE 'as stated' END || ' | ' || label || ' [' || document_id || ']' AS line FROM w"""
+SQL["compare_vectors"] = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % 3 AS x, label % 2 AS y FROM embeddings),
+near AS (SELECT a.vec_id AS f, b.vec_id AS o, list_cosine_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY d, o) AS k FROM near),
+p AS (SELECT DISTINCT least(f, o) AS a, greatest(f, o) AS b FROM r WHERE k <= 8 AND d <= 0.75),
+c AS (
+  SELECT CASE WHEN greatest(s.x, 1) <> greatest(t.x, 1) THEN 'not_comparable/different entities' WHEN s.y <> t.y THEN 'not_comparable/different attributes'
+    WHEN a % 3 = b % 3 THEN 'corroborates/intervals overlap' ELSE 'needs_adjudication/intervals do not overlap' END AS z FROM p JOIN v s ON s.vec_id = a JOIN v t ON t.vec_id = b)
+SELECT split_part(z, '/', 1) AS outcome, split_part(z, '/', 2) AS reason, count(*)::BIGINT AS n FROM c GROUP BY ALL"""
 SQL["comparator_repair"] = """
 WITH r AS (SELECT ['gt', 'gte', 'lt', 'lte', 'approx', 'eq', 'lte', 'eq', 'eq', 'eq'][l_partkey % 10 + 1] AS c FROM lineitem)
 SELECT c AS comparator, c <> 'eq' AS repaired, count(*)::BIGINT AS n FROM r GROUP BY ALL"""
