@@ -15,6 +15,17 @@ TOOLS = ("powerpoint", "keynote", "impress", "google slides")
 #: Limits of tables and of the gate before the table finder.
 MIN_ROWS, MIN_COLS, MIN_FILLED, MAX_EMPTY = 2, 2, 4, 0.6
 GATE_DIGITS, GATE_LINES, NUMERIC_SHARE = 0.10, 3, 0.2
+#: The notes of pages.
+NOTES = {
+    "empty": "no extractable content",
+    "image": "no usable text layer; routed to OCR",
+    "tables": " data table(s); structured parse",
+    "small": " small table(s) kept alongside prose",
+    "skipped": "high numeric density; structured parse skipped (time budget)",
+    "incomplete": "high numeric density; structured parse incomplete on this layout",
+    "partial": "high numeric density with partial table structure",
+    "rich": "image-rich page; text layer still present",
+}
 NUMERIC = r"[-+]?[\d,]*\.?\d"
 WIDE_PAGE = 900
 
@@ -101,14 +112,14 @@ def classify_page(page: DataFrame) -> DataFrame:
     is_table = (n > 0) & ((covered / area >= TABLE_AREA) | ((largest["rows"] >= TABLE_ROWS) & (largest["cols"] >= TABLE_COLS)))
     is_dense = (c("digit_ratio") >= DIGITS) & (c("numeric_line_count") >= NUMERIC_LINES)
     kind = F.when(is_empty, "empty").when(is_image, "image_only").when(is_table | is_dense, "table_heavy").otherwise("text_native")
-    small = F.when(n > 0, F.concat(n.cast("string"), F.lit(" small table(s) kept alongside prose")))
-    dense = F.when(c("table_scan_skipped"), "high numeric density; structured parse skipped (time budget)").when(n == 0, "high numeric density; structured parse incomplete on this layout").otherwise("high numeric density with partial table structure")
+    small = F.when(n > 0, F.concat(n.cast("string"), F.lit(NOTES["small"])))
+    dense = F.when(c("table_scan_skipped"), NOTES["skipped"]).when(n == 0, NOTES["incomplete"]).otherwise(NOTES["partial"])
     notes = (
-        F.when(is_empty, F.array(F.lit("no extractable content")))
-        .when(is_image, F.array(F.lit("no usable text layer; routed to OCR")))
-        .when(is_table, F.array(F.concat(n.cast("string"), F.lit(" data table(s); structured parse"))))
+        F.when(is_empty, F.array(F.lit(NOTES["empty"])))
+        .when(is_image, F.array(F.lit(NOTES["image"])))
+        .when(is_table, F.array(F.concat(n.cast("string"), F.lit(NOTES["tables"]))))
         .when(is_dense, F.array(small, dense))
-        .otherwise(F.array(small, F.when(c("image_area_ratio") >= RICH_AREA, "image-rich page; text layer still present")))
+        .otherwise(F.array(small, F.when(c("image_area_ratio") >= RICH_AREA, NOTES["rich"])))
     )
     return page.withColumns({"content_type": kind, "notes": F.array_compact(notes)})
 
