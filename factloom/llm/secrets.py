@@ -2,9 +2,13 @@
 
 Two models of order one are trained from labelled samples: random strings and ordinary
 identifiers. The chance of a character after another mixes their bigram with that of their
-classes (upper, lower, digit, sign), so that unseen words of letters stay ordinary. A run of 20
-or more token characters is a secret by the models if the mean log ratio of its transitions is
-over the threshold and no base span overlaps it.
+classes (upper, lower, digit, sign), so that unseen words of letters stay ordinary. Base spans are
+cut out of a run of token characters; each piece of 20 or more that is left is judged:
+
+1. The piece is a secret if the mean log ratio of its transitions is over the threshold.
+2. If not, ordinary text may be joined to a secret: each part of 20 or more between / = _ - is
+   judged as if it stood alone; and a running sum of the log ratios over the threshold gives the
+   stretches whose excess reaches LEAST_EXCESS, which are widened to whole parts.
 
 Spans are in code points, end exclusive. Spark has no positions for matches, so they are
 summed up from the lengths of the matches and of the pieces between them.
@@ -18,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.binding import let
 from factloom.llm.common import text_of
 
 #: The base patterns of the contract. Those of access and hex hold their least
@@ -29,6 +34,8 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Least length of a secret by the models; the signs that part a run; and the excess (thousandths) that a stretch needs.
+LEAST, SEPARATORS, LEAST_EXCESS = 20, "/_=-", 16_000
 #: Words of the ordinary identifiers that the default samples are built from.
 WORDS = (
     "account address amount archive author balance batch buffer cache channel client column config counter "
@@ -131,20 +138,77 @@ def _found(text: Column, pattern: str, matches: Column, kind: int) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(both, start, add, lambda acc: acc["spans"])).otherwise(F.array().cast(SPANS))
 
 
+def _pieces(run: Column, base: Column) -> Column:
+    """What sorted base spans leave of a run, in pieces of LEAST characters or more."""
+    span = lambda start, end: F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end")))
+    start = F.struct(run["start"].alias("at"), F.array().cast(SPANS).alias("out"))
+
+    def cut(acc: Column, b: Column) -> Column:
+        out = F.when(b["start"] > acc["at"], F.concat(acc["out"], span(acc["at"], b["start"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.cast(SPANS).alias("out"))
+
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    left = F.aggregate(over, start, cut, lambda acc: F.concat(acc["out"], span(acc["at"], run["end"])))
+    return F.filter(left, lambda p: p["end"] - p["start"] >= LEAST)
+
+
+def _stretches(steps: Column, begin: Column, s: Column) -> Column:
+    """Spans of the stretches of a piece s whose excess reaches LEAST_EXCESS, widened to whole parts.
+
+    A stretch ends at its highest sum once the sum has fallen by LEAST_EXCESS from there, so no
+    stretch with that much is passed over.
+    """
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    zero = F.lit(0)
+    start = F.struct(
+        zero.alias("at"), zero.alias("part"), zero.cast("long").alias("sum"), zero.cast("long").alias("best"),
+        zero.alias("from"), zero.alias("to"), none.alias("out"),
+    )
+    stretch = lambda acc: F.array(F.struct(acc["from"].alias("from"), acc["to"].alias("to"))).cast("array<struct<from:int,to:int>>")
+    closed = lambda acc: F.when(acc["best"] >= LEAST_EXCESS, F.concat(acc["out"], stretch(acc))).otherwise(acc["out"])
+
+    def add(acc: Column, step: Column) -> Column:
+        # at is the place of the step's first character, part the start of the part that it is in
+        part = F.when(step["sign"], acc["at"] + 1).otherwise(acc["part"])
+        now = acc["sum"] + step["excess"]
+        stop = now <= F.greatest(zero.cast("long"), acc["best"] - LEAST_EXCESS)
+        higher = now > acc["best"]
+        return F.struct(
+            (acc["at"] + 1).alias("at"), part.alias("part"), F.when(stop, 0).otherwise(now).cast("long").alias("sum"),
+            F.when(stop, 0).when(higher, now).otherwise(acc["best"]).cast("long").alias("best"),
+            F.when(acc["sum"] > 0, acc["from"]).otherwise(part).cast("int").alias("from"),
+            F.when(higher, acc["at"] + 2).otherwise(acc["to"]).cast("int").alias("to"),
+            F.when(stop, closed(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    def widened(x: Column) -> Column:
+        end = F.greatest(x["to"], x["to"] - 1 + F.length(F.regexp_extract(s.substr(x["to"], F.length(s)), f"^[^{SEPARATORS}]*", 0)))
+        return F.struct((begin + x["from"]).alias("start"), F.lit(3).alias("kind"), (begin + end).alias("end"))
+
+    wide = F.transform(F.aggregate(steps, start, add, closed), widened)
+    return F.array_distinct(F.filter(wide, lambda x: x["end"] - x["start"] >= LEAST)).cast(SPANS)
+
+
 def scan(docs: DataFrame, model: list[int], *, threshold: float = 0.35, text: str = "text") -> DataFrame:
     """docs with secrets: an array of (start, kind, end), kind being an index of KINDS, by start, then kind."""
     t = text_of(text)
     n = len(ALPHABET)
+    limit = round(1000 * threshold)
     weights = F.from_json(F.lit(str(model)), "array<int>")
     every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
     found = docs.withColumns({"_assign": every(ASSIGN), "_access": every(ACCESS), "_hex": every(HEX), "_run": every(RUN)})
     long_enough = F.transform("_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
     codes = lambda s: F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    steps = lambda s: F.zip_with(
-        F.slice(codes(s), F.lit(1), F.length(s) - 1), F.slice(codes(s), F.lit(2), F.length(s) - 1), lambda a, b: F.get(weights, a * n + b)
-    )
-    ratio = lambda s: F.aggregate(steps(s), F.lit(0).cast("long"), lambda acc, x: acc + x) / (F.length(s) - 1)
-    random = F.transform("_run", lambda s: ratio(s) > 1000 * threshold)
+    # excess of each transition over the threshold, and whether its first character parts the run
+    steps = lambda s: let(
+        codes(s),
+        lambda k: F.zip_with(
+            F.slice(k, F.lit(1), F.length(s) - 1), F.slice(k, F.lit(2), F.length(s) - 1),
+            lambda a, b: F.struct((F.get(weights, a * n + b) - limit).alias("excess"), F.get(signs, a).alias("sign")),
+        ),
+    )
+    signs = F.array(*[F.lit(c in SEPARATORS) for c in ALPHABET])
+    random = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, step: acc + step["excess"]) > 0
     flagged = lambda spans, flags: F.transform(
         F.filter(F.zip_with(spans, flags, lambda s, f: F.struct(s.alias("s"), f.alias("f"))), lambda x: x["f"]), lambda x: x["s"]
     )
@@ -153,11 +217,32 @@ def scan(docs: DataFrame, model: list[int], *, threshold: float = 0.35, text: st
         _found(t, ACCESS, F.col("_access"), 1),
         _found(t, HEX, F.col("_hex"), 2),
     )
-    apart = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    of = lambda x: t.substr(x["start"] + 1, x["end"] - x["start"])
+
+    def judged(piece: Column) -> Column:
+        def by_steps(s: Column, x: Column) -> Column:
+            pattern = f"[^{SEPARATORS}]{{{LEAST},}}"
+            parts = F.transform(
+                _found(s, pattern, F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), 3),
+                lambda p: F.struct((piece["start"] + p["start"]).alias("start"), p["kind"].alias("kind"), (piece["start"] + p["end"]).alias("end")),
+            )
+            return F.when(random(x), F.array(piece).cast(SPANS)).otherwise(
+                let(
+                    _stretches(x, piece["start"], s),
+                    lambda wide: F.concat(
+                        wide,
+                        F.filter(parts, lambda p: ~F.exists(wide, lambda w: (w["start"] <= p["start"]) & (p["end"] <= w["end"])) & random(steps(of(p)))),
+                    ).cast(SPANS),
+                )
+            )
+
+        return let(of(piece), lambda s: let(steps(s), lambda x: by_steps(s, x)))
+
+    runs = F.flatten(F.transform(_found(t, RUN, F.col("_run"), 3), lambda r: _pieces(r, F.col("_base"))))
     return (
-        found.withColumn("_base", base)
-        .withColumn("_runs", F.when(F.exists(random, lambda f: f), flagged(_found(t, RUN, F.col("_run"), 3), random)).otherwise(F.array().cast(SPANS)))
-        .withColumn("secrets", F.sort_array(F.concat("_base", F.filter("_runs", apart))))
+        found.withColumn("_base", F.sort_array(base))
+        .withColumn("_runs", F.when(F.size("_run") > 0, F.flatten(F.transform(runs, judged))).otherwise(F.array().cast(SPANS)))
+        .withColumn("secrets", F.sort_array(F.concat("_base", "_runs")))
         .drop("_assign", "_access", "_hex", "_run", "_base", "_runs")
     )
 

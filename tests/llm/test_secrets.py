@@ -1,7 +1,9 @@
 """Secret scans against Python's regular expressions."""
 
 import hashlib
+import random
 import re
+import string
 
 from factloom.llm import secrets
 from factloom.llm.common import table
@@ -64,3 +66,36 @@ def test_redact_is_exact(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     out = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan(df, model)).collect()}
     assert out == {0: "a <secret> b <secret>", 1: "none", 2: None, 3: "<secret>"}
+
+
+def test_ordinary_text_does_not_hide_a_joined_secret(spark):
+    model = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(3)
+    signs = string.ascii_letters + string.digits
+    of = lambda n, also="": "".join(rng.choice(signs + also) for _ in range(n))
+    path, after = "com/organization/repository/settings/webhooks/", "/settings/organization/repository"
+    rows, least = [], []
+    for n in (20, 24, 32):
+        for _ in range(100):
+            s = of(n)
+            rows += [(s, s), (path + s, s), ("AWS_SECRET_ACCESS_KEY=" + s, s), (path + s + after, s)]
+    mixed = [of(40, "+/") for _ in range(100)]
+    for s in mixed:
+        rows += [(path + s + after, s)]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, (t, _) in enumerate(rows)], "doc_id int, text string")
+    hits = {r["doc_id"]: [(s["start"] - 4, s["end"] - 4) for s in r["secrets"] if s["kind"] == 3] for r in secrets.scan(df, model).collect()}
+    missed = [t for i, (t, s) in enumerate(rows) if not any(a <= t.index(s) and t.index(s) + len(s) <= b for a, b in hits[i])]
+    assert len(missed) <= 0.02 * len(rows), missed
+
+
+def test_joined_secrets_are_redacted_apart_from_what_is_ordinary(spark):
+    model = secrets.train(secrets.labelled_samples(spark))
+    a, b, k = "Zk3qP9vXw2LmT8aRb5NcYd7Q", "h7Gd2KxT0pWz5VbQ9sLfRj4M", "AKIA" + "Q1" * 8
+    path = "com/organization/repository/settings/webhooks/organization/repository/settings/"
+    texts = [path + a, f"{path}{a}/{path}{b}", f"{k}/{a}", f"{path}{k}/settings/{a}", path + "none/at/all", f"é {path}{a} é", f"{path}{a} {path} {b}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan(df, model)).collect()}
+    for i, text in enumerate(texts):
+        assert not any(s in out[i] for s in (a, b, k)), out[i]
+    assert out[0] == f"{path}<secret>" and out[4] == texts[4] and out[5] == f"é {path}<secret> é"
+    assert out[2].startswith("<secret>")
