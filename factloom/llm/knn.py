@@ -4,8 +4,8 @@
    Each vector goes to the cell of its nearest pivot.
 2. A cell's summary is its number of vectors and its radius r, the largest distance to its pivot p.
    For a query q and any x of the cell, q.p - |q| r <= q.x <= q.p + |q| r.
-3. A query's threshold is the k-th largest score that the lower bounds warrant. It is sent to those
-   cells only whose upper bound reaches the threshold.
+3. A query's threshold is the k-th largest score that the lower bounds warrant, rows of its own
+   vec_id not counted. It is sent to those cells only whose upper bound reaches the threshold.
 4. Cells are cut into blocks of about `block_rows` vectors, their queries into blocks of about
    `block_queries`, by hash; each pair of blocks is solved in one task with a matrix product, and
    the best k of a query over its blocks are its result. One hot cell is many blocks.
@@ -96,18 +96,19 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, n_pivots: int =
         for f in frames:
             if not len(f):
                 continue
-            q = _matrix(f["v"])
+            q, own = _matrix(f["v"]), f["own"].to_numpy()
             middle, reach = q @ pivots[cells].T, np.sqrt((q**2).sum(axis=1))[:, None] * radius[None, :]
             slack = 1e-9 * (np.abs(middle) + reach) + 1e-6
             low, high = middle - reach - slack, middle + reach + slack
             for i in range(len(f)):
                 order = np.argsort(-low[i], kind="stable")
-                warranted = np.cumsum(many[order]) >= k + 1  # one of them may be the query itself
+                warranted = np.cumsum(many[order]) >= k + own[i]  # so many of them may have the query's own vec_id
                 least = low[i][order][warranted.argmax()] if warranted.any() else -np.inf
                 to = cells[high[i] >= least]
                 yield pd.DataFrame({"query_id": f["vec_id"].iat[i], "v": [f["v"].iat[i]] * len(to), "cell": to.astype("int32")})
 
-    queries = placed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    own = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
+    queries = placed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).join(own, "vec_id")
     routed = durable(queries.mapInPandas(route, "query_id long, v array<double>, cell int"))
     asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
     parts = lambda sizes, most: F.from_json(F.lit(str([max(1, -(-sizes.get(c, 0) // most)) for c in range(len(pivots))])), "array<int>")

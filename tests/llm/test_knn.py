@@ -50,3 +50,16 @@ def test_far_cells_are_not_asked(spark):
     rows = [(i, [float(c) for c in (np.eye(3)[i % 3] * 5 + rng.normal(size=3) * 0.01)]) for i in range(600)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in knn.top_k(knn.whole_vectors(df), F.col("vec_id") % 100 == 0, n_pivots=6).collect()} == brute(rows)
+
+
+def test_repeated_query_ids_stay_exact(spark):
+    rng = np.random.default_rng(3)
+    far = [(i, [float(c) for c in rng.normal(size=2)]) for i in range(1, 41)]
+    rows = [(100, [10.0, 0.0])] * 15 + far  # the query's rows fill a cell of their own
+    schema = "vec_id long, embedding array<double>"
+    out = {tuple(r) for r in knn.top_k(knn.whole_vectors(spark.createDataFrame(rows, schema)), F.col("vec_id") == 100, n_pivots=100).collect()}
+    assert out == brute([(100, [10.0, 0.0])] + far) and len(out) == 10
+    # rows of the same vec_id that are no queries don't count as others either
+    rows = [(100, [10.0, 0.0])] + [(100, [9.5, 0.0])] * 15 + far
+    out = {tuple(r) for r in knn.top_k(knn.whole_vectors(spark.createDataFrame(rows, schema)), F.element_at("v", 1) == 10 * 1024, n_pivots=100).collect()}
+    assert out == brute([(100, [10.0, 0.0])] + far)
