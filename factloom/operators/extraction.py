@@ -12,14 +12,16 @@ from factloom.operators.normalise import with_period
 #: Keys that name a figure's column in a table.
 COLUMN_KEYS = ("column_header", "column", "col_header", "col")
 KINDS = ("quantitative", "status", "qualitative")
+#: Why a proposed fact is dropped.
+DROPPED = ("invalid", "no_chunk", "no_column_context")
 
 
 def finalise(proposed: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): proposed facts of chunks (document_id, chunk_index), repaired, anchored and marked.
 
     Dropped are facts that are not valid (`invalid`: no known kind, entity, attribute or evidence,
-    or no value of their kind), then figures of a table without the name of their column
-    (`no_column_context`). Confidence is held to the chunk's ceiling, then pays for assumptions.
+    or no value of their kind), then those whose chunk is not there (`no_chunk`), then figures of a
+    table without the name of their column (`no_column_context`). Confidence is held to the chunk's ceiling, then pays for assumptions.
     """
     c = F.col
     blank = lambda x: F.coalesce(blank_to_null(x), F.lit("")) == ""
@@ -29,10 +31,10 @@ def finalise(proposed: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFra
         .otherwise(~blank(c("value.text")))
     )
     valid = c("fact_kind").isin(*KINDS) & ~blank(c("entity")) & ~blank(c("attribute")) & ~blank(c("evidence_text")) & has_value
-    places = chunks.select("document_id", "chunk_index", "text", "char_start", "confidence_ceiling", (~blank(c("table_markdown"))).alias("_table"))
+    places = chunks.select("document_id", "chunk_index", "text", "char_start", "confidence_ceiling", (~blank(c("table_markdown"))).alias("_table"), F.lit(True).alias("_there"))
     named = F.arrays_overlap(F.coalesce(F.map_keys("qualifiers"), F.array().cast("array<string>")), F.array(*map(F.lit, COLUMN_KEYS)))
-    reason = F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(c("_table") & (c("fact_kind") == "quantitative") & ~named, "no_column_context")
-    judged = proposed.join(places, ["document_id", "chunk_index"]).withColumn("drop_reason", reason)
+    reason = F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(c("_there").isNull(), "no_chunk").when(c("_table") & (c("fact_kind") == "quantitative") & ~named, "no_column_context")
+    judged = proposed.join(places, ["document_id", "chunk_index"], "left").withColumn("drop_reason", reason)
     dropped = judged.where("drop_reason IS NOT NULL").select(*proposed.columns, "drop_reason")
     anchored = anchor(repair_comparators(judged.where("drop_reason IS NULL")))
     flagged = with_period(anchored, c("period.raw_label"), "_period").withColumn(
@@ -41,13 +43,13 @@ def finalise(proposed: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFra
     note = F.when(c("anchor_start").isNull(), "evidence not found in the chunk").when(~c("exact"), "evidence found by its form")
     kept = flagged.withColumns(
         {"extraction_confidence": penalised(F.least("extraction_confidence", "confidence_ceiling"), c("assumed")), "notes": F.array_compact(F.array(note)), "verification_status": F.lit("pending")}
-    ).drop("text", "char_start", "confidence_ceiling", "_table", "_period", "drop_reason")
+    ).drop("text", "char_start", "confidence_ceiling", "_table", "_there", "_period", "drop_reason")
     return kept, dropped
 
 
 def statistics(kept: DataFrame, dropped: DataFrame) -> DataFrame:
     """A row per document: facts kept, repaired, unanchored and dropped, by reason."""
     a = kept.groupBy("document_id").agg(F.count(F.lit(1)).alias("candidates_kept"), F.count_if("repaired").alias("repaired"), F.count_if(F.col("anchor_start").isNull()).alias("unanchored"))
-    b = dropped.groupBy("document_id").agg(*[F.count_if(F.col("drop_reason") == r).alias(f"dropped_{r}") for r in ("invalid", "no_column_context")])
+    b = dropped.groupBy("document_id").agg(*[F.count_if(F.col("drop_reason") == r).alias(f"dropped_{r}") for r in DROPPED])
     out = a.join(b, "document_id", "full").na.fill(0)
-    return out.withColumn("candidates_returned", F.col("candidates_kept") + F.col("dropped_invalid") + F.col("dropped_no_column_context"))
+    return out.withColumn("candidates_returned", sum((F.col(f"dropped_{r}") for r in DROPPED), F.col("candidates_kept")))

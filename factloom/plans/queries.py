@@ -345,11 +345,31 @@ def comparator_repair(spark: SparkSession, d: str) -> DataFrame:
     return repair_comparators(facts).groupBy(F.col("value.comparator").alias("comparator"), "repaired").agg(F.count(F.lit(1)).alias("n"))
 
 
+def proposed_facts(chunks: DataFrame) -> DataFrame:
+    """Two facts for each chunk: with evidence cut from its text, and with evidence, or something else, altered by rule."""
+    c = F.col
+    cut = F.substring("text", (F.length("text") / 3).cast("int") + 1, F.lit(40))
+    rule = c("document_id") + c("chunk_index")
+    number = 700_000_000 + c("document_id") % 1000
+    halves = F.concat(F.substring(cut, 1, 20), F.lit(" as stated "), F.substring(cut, 21, 20))
+    altered = F.when(rule % 6 == 0, F.upper(cut)).when(rule % 6 == 1, halves).when(rule % 6 == 2, F.reverse(cut)).when(rule % 6 == 3, F.concat(F.lit("over "), number.cast("string"), F.lit(" units, "), cut)).otherwise(cut)
+    missing = F.when(rule % 6 == 5, -1 - c("chunk_index")).otherwise(c("chunk_index"))
+    of = lambda i, evidence, entity, index: F.struct(F.lit(i).alias("i"), evidence.alias("evidence_text"), entity.alias("entity"), index.cast("int").alias("chunk_index"))
+    both = F.array(of(0, cut, F.lit("Acme"), c("chunk_index")), of(1, altered, F.when(rule % 6 == 4, " ").otherwise("Acme"), missing))
+    return chunks.select("document_id", rule.alias("rule"), number.alias("number"), F.explode(both).alias("f")).select(
+        "document_id", "f.chunk_index", "f.evidence_text", "f.entity", F.lit("Volume").alias("attribute"), F.lit(True).alias("entity_resolved"),
+        F.when(c("rule") % 7 == 0, "status").when(c("rule") % 7 == 1, "qualitative").otherwise("quantitative").alias("fact_kind"),
+        F.struct(F.lit("eq").alias("comparator"), c("number").cast("double").alias("number"), F.lit(None).cast("double").alias("number_high"), F.lit("units").alias("unit"), F.lit("open").alias("state"), F.lit("as stated").alias("text")).alias("value"),
+        F.struct(F.lit("FY24").alias("raw_label")).alias("period"), F.create_map(F.when(c("f.i") == 0, "column").otherwise("basis"), F.lit("stated")).alias("qualifiers"), F.lit(0.9).alias("extraction_confidence"),
+    )
+
+
 def finalise_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of lines proposed for the chunks of documents, by what becomes of them."""
-    facts = line_facts(spark, d).withColumns({"document_id": F.col("value.number").cast("long") % 50, "chunk_index": F.lit(0), "evidence_text": F.concat_ws(" ", "entity", "attribute")})
-    chunks = chunking.build_chunks(classified(spark, d)).where("chunk_index = 0").withColumns({"confidence_ceiling": F.lit(1.0), "table_markdown": F.when(F.col("document_id") % 9 == 0, "| t |")})
-    kept, dropped = extraction.finalise(facts, chunks)
+    """Facts proposed for every chunk of every document, by what becomes of them."""
+    at = f"{state_folder(spark)}/chunks"  # written once, as each branch of finalise reads them
+    chunking.build_chunks(classified(spark, d)).select("document_id", "chunk_index", "text", "char_start").write.parquet(at)
+    chunks = spark.read.parquet(at).withColumns({"confidence_ceiling": F.lit(1.0), "table_markdown": F.when(F.col("document_id") % 9 == 0, "| t |")})
+    kept, dropped = extraction.finalise(proposed_facts(chunks), chunks)
     return extraction.statistics(kept, dropped)
 
 

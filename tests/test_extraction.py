@@ -1,9 +1,12 @@
 """Repairs and the finalising of proposed facts."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from factloom.functions import repair
-from factloom.operators import extraction
+from factloom.operators import chunking, extraction
+from factloom.plans import queries
 from factloom.schemas import VALUE
 
 FACT = f"i int, document_id string, chunk_index int, fact_kind string, entity string, attribute string, value {VALUE}, period struct<raw_label:string>, qualifiers map<string,string>, entity_resolved boolean, evidence_text string, extraction_confidence double"
@@ -45,3 +48,49 @@ def test_finalise(spark):
     assert {r["i"]: r["drop_reason"] for r in dropped.collect()} == {3: "invalid", 4: "invalid", 5: "no_column_context"}
     stats = {r["document_id"]: (r["candidates_returned"], r["candidates_kept"], r["unanchored"]) for r in extraction.statistics(kept, dropped).collect()}
     assert stats == {"d": (5, 3, 1), "t": (2, 1, 0)}
+
+
+def test_finalise_counts_facts_whose_chunk_is_missing(spark):
+    chunks = spark.createDataFrame([("d", 0, "over 33,250 trips", 0, 1.0, None)], "document_id string, chunk_index int, text string, char_start int, confidence_ceiling double, table_markdown string")
+    rows = [fact(0, "over 33,250 trips"), (1, "d", 7, *fact(1, "trips")[3:]), (2, "gone", *fact(2, "trips")[2:]), (3, "gone", *fact(3, "trips", entity="")[2:]), (4, "d", None, *fact(4, "trips")[3:])]
+    kept, dropped = extraction.finalise(spark.createDataFrame(rows, FACT), chunks)
+    assert [r["i"] for r in kept.collect()] == [0]
+    assert {r["i"]: r["drop_reason"] for r in dropped.collect()} == {1: "no_chunk", 2: "no_chunk", 3: "invalid", 4: "no_chunk"}
+    stats = {r["document_id"]: (r["candidates_returned"], r["candidates_kept"], r["dropped_no_chunk"], r["dropped_invalid"]) for r in extraction.statistics(kept, dropped).collect()}
+    assert stats == {"d": (3, 1, 2, 0), "gone": (2, 0, 1, 1)}
+
+
+def stands(evidence, text):
+    form = lambda s: " ".join(s.translate(str.maketrans("‘’“”–—", "''\"\"--")).lower().split())
+    e, t = form(evidence), form(text)
+    if evidence in text or e in t:
+        return True
+    first, last = e.split()[0], e.split()[-1]
+    a = t.find(first)
+    b = t.find(last, a + len(first))
+    return len(e.split()) >= 3 and a >= 0 and b >= 0 and b + len(last) - a <= max(3 * len(evidence), 200)
+
+
+def test_query_finalises_facts_of_every_chunk(spark, sf):
+    want = {}
+    for r in chunking.build_chunks(queries.classified(spark, sf)).collect():
+        d, k, text = r["document_id"], r["chunk_index"], r["text"]
+        w = want.setdefault(d, dict.fromkeys(("candidates_kept", "repaired", "unanchored", "dropped_invalid", "dropped_no_chunk", "dropped_no_column_context", "candidates_returned"), 0))
+        at, rule, number = len(text) // 3, d + k, 700_000_000 + d % 1000
+        cut = text[at : at + 40]
+        altered = {0: cut.upper(), 1: f"{cut[:20]} as stated {cut[20:]}", 2: cut[::-1], 3: f"over {number} units, {cut}"}.get(rule % 6, cut)
+        for i, evidence in enumerate((cut, altered)):
+            w["candidates_returned"] += 1
+            if not evidence.strip() or (i and rule % 6 == 4):
+                w["dropped_invalid"] += 1
+            elif i and rule % 6 == 5:
+                w["dropped_no_chunk"] += 1
+            elif i and d % 9 == 0 and rule % 7 > 1:
+                w["dropped_no_column_context"] += 1
+            else:
+                w["candidates_kept"] += 1
+                w["repaired"] += rule % 7 > 1 and any(re.search(p, evidence, re.I) for _, p in repair.CUES)
+                w["unanchored"] += not stands(evidence, text)
+    got = {r["document_id"]: r.asDict() for r in queries.finalise_candidates(spark, sf).collect()}
+    assert {d: {k: v for k, v in r.items() if k != "document_id"} for d, r in got.items()} == want
+    assert len(want) > 50 and all(sum(w[k] for w in want.values()) for k in next(iter(want.values())))
