@@ -152,6 +152,11 @@ def disputed_edges(spark: SparkSession, d: str) -> DataFrame:
     return relationships.disputes(edges(spark, d), facts).select("fact_id_a", "fact_id_b")
 
 
+def disputed_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    """Disputed edges between facts of all documents."""
+    return relationships.disputes(edges(spark, d), vector_facts(spark, d)).select("fact_id_a", "fact_id_b")
+
+
 def facts_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of verified facts of one kind, by falling time."""
     page = tables.list_facts(line_facts(spark, d), offset=200, limit=200, fact_kind="quantitative", verification_status="verified")
@@ -315,7 +320,7 @@ QUERIES = {
     for f in (
         grounding_benchmark, grounding_reasons, route_pages, document_profile, chunk_offsets, plan_batches, page_phases, anchor_lines, normalize_units, half_steps,
         value_intervals, normalize_periods, period_relations, comparator_phrases, assumption_flags, significant_qualifiers, precheck_outcomes, knn_candidates,
-        knn_other_kind, edges_deduped, edges_by_document, disputed_edges, facts_page, facts_by_status, relationships_by_type, hybrid_search, evidence_passages,
+        knn_other_kind, edges_deduped, edges_by_document, disputed_edges, disputed_edges_all, facts_page, facts_by_status, relationships_by_type, hybrid_search, evidence_passages,
         evaluation_overall, evaluation_per_document, evaluation_timeline, survivorship, mean_embedding, assign_clusters, concept_decisions, concept_upsert,
         duplicate_documents, cascade_delete, verify_states, dual_reading, read_twice, correction_diff, accounting_figures, tool_trace, answer_citations,
     )

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from factloom.plans.queries import QUERIES
-from factloom.plans.sql import SQL
+from factloom.plans.sql import _RANKED, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = Path(__file__).resolve().parent.parent
@@ -48,3 +48,12 @@ def test_nothing_else_imports_the_llm_folder():
     for p in (ROOT / "factloom").rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"factloom\.llm|from factloom import llm", p.read_text()), p
+
+
+def test_disputed_edges_of_all_documents(spark, sf):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = db.sql(f"WITH {_RANKED} SELECT fact_id_a, fact_id_b FROM edges WHERE type = 'contradicts'").fetchall()
+    got = [tuple(r) for r in QUERIES["disputed_edges_all"](spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+    assert any(a % 20 >= 10 or b % 20 >= 10 for a, b in got)
