@@ -1,19 +1,18 @@
 """Streams: windows of log results, and documents that arrive, each content once.
 
-Where a stream keeps its state follows spark.checkpoint.dir; only where a session has none, as in
-tests on one machine, a temporary folder is used.
+A stream keeps its state and results in the shared folder.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import shared_folder
+
 
 def state_folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{top}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,11 +32,21 @@ def log_windows(events: DataFrame, *, width: str = "1 day", late: str = "2 days"
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that a stream has now, as a table in memory; for results that are small."""
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", state_folder(spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """All that a stream has now, as a table of Parquet files; executors write it, the driver holds none of it.
+
+    In complete mode each batch holds all results, so the last one is read; else all are.
+    """
+    spark = stream.sparkSession
+    at, done = state_folder(spark), []
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/batch={number}")
+        done.append(number)
+
+    stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", state_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(*[f"{at}/batch={n}" for n in (done[-1:] if mode == "complete" else done)])
 
 
 def take_new(documents: DataFrame, store: str) -> None:
