@@ -1,10 +1,10 @@
 """Small helpers that the operators of this subpackage share."""
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import durable  # noqa: F401
+
 #: Characters that part words: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
 LOWER = (("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("abcdefghijklmnopqrstuvwxyz"))
@@ -30,14 +30,12 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, *LOWER)
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """The frame cut off from its lineage, kept where every executor can read it.
+def packed(df: DataFrame) -> DataFrame:
+    """df with all its columns in the one column `row`, so that working columns of any name clash with none of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
 
-    The folder is spark.checkpoint.dir. Only where a session has none, as in tests on one
-    machine, a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=eager)
+def unpacked(df: DataFrame, columns: list[str], added: dict[str, Column]) -> DataFrame:
+    """The packed columns, those of the names that are added replaced."""
+    new = {c.lower() for c in added}
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns if c.lower() not in new], *[v.alias(k) for k, v in added.items()])

@@ -63,3 +63,41 @@ def test_repeated_query_ids_stay_exact(spark):
     rows = [(100, [10.0, 0.0])] + [(100, [9.5, 0.0])] * 15 + far
     out = {tuple(r) for r in knn.top_k(knn.whole_vectors(spark.createDataFrame(rows, schema)), F.element_at("v", 1) == 10 * 1024, n_pivots=100).collect()}
     assert out == brute([(100, [10.0, 0.0])] + far)
+
+
+def test_repeated_query_ids_with_any_number_of_pivots(spark):
+    rng = np.random.default_rng(4)
+    others = [(i, [float(c) for c in rng.normal(size=3)]) for i in range(1, 16)]
+    df = spark.createDataFrame([(0, [3.0, 0.0, 0.0])] * 30 + others, "vec_id long, embedding array<double>")
+    want = brute([(0, [3.0, 0.0, 0.0])] + others)
+    for n in (1, 2, 4, 32, 64):
+        assert {tuple(r) for r in knn.top_k(knn.whole_vectors(df), F.col("vec_id") == 0, n_pivots=n, block_rows=7).collect()} == want
+
+
+def test_only_what_is_needed_is_copied(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in (np.eye(8)[i % 8] * 5 + rng.normal(size=8) * 0.02)]) for i in range(1600)]
+    vectors = knn.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    one = (F.col("vec_id") % 8 == 0) & (F.col("vec_id") % 100 == 0)  # queries of one cluster
+    routed = knn.route(vectors, one, n_pivots=64)
+    blocks = knn.blocks_of(routed, 50)
+    asked = {r["cell"] for r in routed.asks.collect()}
+    of_cell = {r["vec_id"]: r["cell"] for r in routed.placed.collect()}
+    moved = [r["vec_id"] for r in knn.copied(routed, blocks).collect()]
+    assert moved and len(moved) < 250 and {of_cell[i] for i in moved} <= asked  # a cell that is not asked moves no row
+    assert {i % 8 for i in moved} == {0}
+    # the salted join copies the same
+    most, salted = knn.MOST_BROADCAST, knn.SALTED
+    try:
+        knn.MOST_BROADCAST, knn.SALTED = 0, 7
+        assert sorted(r["vec_id"] for r in knn.copied(routed, blocks).collect()) == sorted(moved)
+    finally:
+        knn.MOST_BROADCAST, knn.SALTED = most, salted
+
+
+def test_many_groups_of_queries(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in rng.normal(size=6)]) for i in range(700)] + [(7_000 + 100 * i, [1.0] * 6) for i in range(60)]  # a hot cell of queries
+    df = spark.createDataFrame([(i, e, "x", 1) for i, e in rows], "vec_id long, embedding array<double>, cell string, row int")
+    out = knn.top_k(knn.whole_vectors(df), F.col("vec_id") % 100 == 0, n_pivots=20, block_rows=100, block_queries=5)
+    assert {tuple(r) for r in out.collect()} == brute(rows)
