@@ -1,6 +1,7 @@
 """Chat formatting: exact round trips."""
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -50,3 +51,43 @@ def test_parts_in_order(spark):
     for a in r["attachments"]:
         assert f"<|{a['kind']}:{a['ordinal']}|>" in r["formatted"]
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_every_split_of_every_control_string(spark):
+    null = (None, None, None, None)
+    whole = [chat.START + "assistant\nhi", chat.END + "\n", "<|image:0|>", "\\<|", "<\\|im_end|>"]
+    rows = []
+    for w in whole:
+        for i in range(len(w) + 1):
+            for j in range(i, len(w) + 1):
+                image = [("image", None, "a.png", None, None, None)] if (i + j) % 3 == 0 else []
+                rows.append((len(rows), w, [("text", w[:i], *null), ("text", "", *null), ("text", w[i:j], *null), (None, w[j:], *null), *image]))
+    df = spark.createDataFrame([(n, 0, "user", p) for n, _, p in rows], f"conv_id long, turn int, role string, parts {chat.PARTS}")
+    back = {r["conv_id"]: r for r in chat.format_conversations(df).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    for n, w, p in rows:
+        mark = "<|image:0|>" if len(p) == 5 else ""
+        assert [tuple(x) for x in back[n]["t"]] == [("user", w + mark)], p
+        assert back[n]["formatted"].count(chat.START) == back[n]["formatted"].count(chat.END) == 1
+
+
+def test_very_long_conversation(spark):
+    began = time.time()
+    n = 20_000
+    text = F.concat(F.lit("é<|"), F.repeat(F.lit("word "), F.pmod("id", F.lit(60)).cast("int")), F.col("id").cast("string"))
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), text.alias("text"))
+    df = df.withColumn("parts", chat.as_parts(F.col("text")))
+    out = chat.format_conversations(df)
+    loss = F.array_join(chat.read_loss_texts(F.col("formatted"), F.col("loss_spans")), "")
+    (r,) = out.select("n_turns", F.sha2(loss, 256).alias("loss"), F.size(chat.read_turns(F.col("formatted"))).alias("back")).collect()
+    want = "".join("é<|" + "word " * (i % 60) + str(i) for i in range(1, n, 2))
+    assert (r["n_turns"], r["back"], r["loss"]) == (n, n, hashlib.sha256(want.encode()).hexdigest())
+    assert time.time() - began < 30
+
+
+def test_parts_between_attachments_and_repeated_messages(spark):
+    null = (None, None, None)
+    parts = [("text", "a<", None, *null), ("audio", None, "x", *null), ("text", "|", None, *null), ("text", "b", None, *null), ("image", None, "y", *null)]
+    df = spark.createDataFrame([(1, 0, "user", parts, 9)] * 2 + [(1, None, None, None, 9)], f"conv_id long, turn int, role string, parts {chat.PARTS}, k int")
+    (r,) = chat.format_conversations(df).withColumn("t", chat.read_turns(F.col("formatted"))).collect()
+    assert [tuple(x) for x in r["t"]] == [("", ""), ("user", "a<<|audio:0|>|b<|image:1|>"), ("user", "a<<|audio:2|>|b<|image:3|>")]
+    assert [(a["ordinal"], a["turn_index"], a["ref"]) for a in r["attachments"]] == [(0, 1, "x"), (1, 1, "y"), (2, 2, "x"), (3, 2, "y")]
