@@ -6,14 +6,13 @@ characters down to one, scores its log frequency, and the word scores the mean o
 text's score in a language is the sum over its words; the best language is predicted, with the
 softmax of the sums as its score.
 
-Training reads about `per_language` documents of each language, chosen by a hash of the id, and
-keeps the `most_words` commonest words and `most_grams` commonest n-grams of each size and
-language; these bounds are parameters, and the model's size is set by them. Prediction reads
-every whole text.
+Training reads about `per_language` documents of each language, chosen by a hash of the id; that
+bound is a parameter. Of these documents it reads whole texts and keeps every word and n-gram, so
+the model's size is set by that bound. Prediction reads every whole text.
 
 Defined results: a text that is null or has no letters is `und` with score 0; ties go to the
-smallest name; with no training rows everything is `und`; repeated rows are predicted each; other
-columns are left out.
+smallest name; with no training rows everything is `und`; repeated rows are predicted each; very long texts are
+read whole; no rows give no rows; other columns are left out.
 """
 
 import re
@@ -24,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from factloom.llm.pretokens import LATIN
 
@@ -124,7 +122,7 @@ class Model:
         return [self.table[np.fromiter(map(self.seen.__getitem__, ws), np.int64, len(ws))].sum(axis=0) for ws in texts]
 
 
-def train(docs: DataFrame, *, per_language: int = 3000, most_words: int = 20_000, most_grams: int = 5_000, seed: int = 11) -> Model | None:
+def train(docs: DataFrame, *, per_language: int = 1000, seed: int = 11) -> Model | None:
     """A model from doc_id, text and lang; rows without lang or text take no part."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     many = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -157,14 +155,13 @@ def train(docs: DataFrame, *, per_language: int = 3000, most_words: int = 20_000
         .mapInArrow(count, "kind int, item string, lang string, n long")
         .groupBy("kind", "item", "lang")
         .agg(F.sum("n").alias("n"))
-        .persist()
     )
-    totals = {(r["kind"], r["lang"]): r["n"] for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-    rank = F.row_number().over(W.partitionBy("kind", "lang").orderBy(F.desc("n"), "item"))
-    kept = counted.where("n > 1 OR kind > 0").withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, most_words).otherwise(most_grams))
-    rows = [(r["kind"], r["item"], r["lang"], r["n"]) for r in kept.collect()]
-    counted.unpersist()
-    return Model(sorted(many), rows, totals)
+    # What is collected is bounded by the documents of the sample, not by the input.
+    rows = [(r["kind"], r["item"], r["lang"], r["n"]) for r in counted.collect()]
+    totals: dict[tuple[int, str], int] = {}
+    for kind, _, lang, n in rows:
+        totals[kind, lang] = totals.get((kind, lang), 0) + n
+    return Model(sorted(many), sorted(rows), totals)
 
 
 def predict(docs: DataFrame, model: Model | None, *, most: int = 600_000) -> DataFrame:

@@ -11,11 +11,14 @@ documents, and of one more epoch a part. Each epoch permutes the source's blocks
 its permutation that the rest of the budget covers. The sums run over blocks, then inside one
 block for each source, so no source is gathered in one task.
 
-Tokens are estimated as a quarter of the UTF-8 bytes, rounded up, 1 at least.
+Tokens are the runs of letters, of digits and of signs, as byte-level tokenizers part a text before
+they look anything up; they are counted over whole texts, 1 at least. The counts of a tokenizer,
+such as those of token_counts, may be given as a column instead.
 
 Defined results: a null source is a source; a null or empty text counts as one token; repeated
-rows are documents of their own, and those that tie at the end of a part are all taken; no rows
-give no rows; other columns stay, but for those of the names that are added.
+rows are documents of their own, and those that tie at the end of a part are all taken; very long
+texts are counted whole; no rows give no rows; other columns stay, whatever their names, but for those of the
+names that are added.
 """
 
 import math
@@ -24,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import durable, text_of
+from factloom.llm.common import durable, packed, text_of, unpacked
 
+#: Fixed value: what a byte-level tokenizer takes for one pre-token, without the space before it.
+PRETOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 #: Bisections made by one job; each job looks at all exponents that so many steps can reach.
 STEPS = 6
 #: Up to so many sources their plan is broadcast; above, it is joined by a shuffle.
@@ -33,12 +38,13 @@ MOST_BROADCAST = 50_000
 
 
 def tokens(text: str = "text") -> Column:
-    return F.greatest(F.ceil(F.octet_length(text_of(text)) / 4), F.lit(1)).cast("long")
+    """Pre-tokens of the text, 1 at least."""
+    return F.greatest(F.regexp_count(text_of(text), F.lit(PRETOKEN)), F.lit(1)).cast("long")
 
 
-def source_key(col: str = "source") -> Column:
+def source_key(source: Column) -> Column:
     """A key that is never null."""
-    return F.coalesce(F.concat(F.lit("s"), F.col(col)), F.lit(""))
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
 
 def bisect_exponent(shares: DataFrame, *, max_repetition: float | None, target_entropy: float | None, budget_ratio: float | None, rounds: int = 5) -> float:
@@ -83,13 +89,13 @@ def _permuted(seed: int, epoch: Column, *what: Column) -> Column:
     return F.xxhash64(F.lit(seed), epoch, *what)
 
 
-def plan_sources(docs: DataFrame, *, max_repetition: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None, block_rows: int = 4096, seed: int = 17) -> tuple[DataFrame, int]:
-    """A row for each source, and the number of them.
+def plan_sources(docs: DataFrame, *, max_repetition: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None, block_rows: int = 4096, seed: int = 17, counts: str | None = None) -> tuple[DataFrame, int]:
+    """A row for each source, and the number of them; counts names a column with the tokens of each document.
 
     The row has _src, weight, _blocks, _whole (epochs seen whole) and the end of the part: order and
     number of its last block, and the order of the last document in it.
     """
-    light = durable(docs.select(source_key().alias("_src"), "doc_id", tokens().alias("_tokens")))
+    light = durable(docs.select(source_key(F.col("source")).alias("_src"), "doc_id", (tokens() if counts is None else F.greatest(F.coalesce(F.col(counts), F.lit(1)), F.lit(1)).cast("long")).alias("_tokens")))
     sources = durable(light.groupBy("_src").agg(F.sum("_tokens").alias("sum"), F.count(F.lit(1)).alias("n")))
     n, total = sources.agg(F.count(F.lit(1)), F.sum("sum")).first()
     shares = sources.withColumn("p", F.col("sum") / F.lit(float(total or 1)))
@@ -142,19 +148,16 @@ def mix(docs: DataFrame, *, seed: int = 17, **limits) -> DataFrame:
 
     In each source, epoch, block_order and doc_order give the order of the mixture.
     """
-    docs = docs.drop("epoch", "block", "block_order", "doc_order", "weight", "repetition")
     plan, n = plan_sources(docs, seed=seed, **limits)
-    placed = with_plan(docs.withColumn("_src", source_key()), plan, n).withColumn("block", block_of(F.col("_blocks"), seed))
+    of = lambda c: F.col("row").getField(c).alias(c)
+    held = packed(docs).select("row", of("doc_id"), source_key(F.col("row").getField("source")).alias("_src"))
+    placed = with_plan(held, plan, n).withColumn("block", block_of(F.col("_blocks"), seed))
     order = lambda e: _permuted(seed, e, F.col("_src"), F.col("block"))
     doc = lambda e: _permuted(seed, e, F.col("doc_id"))
     last = order(F.col("_whole"))
     before = F.struct(last, F.col("block")) < F.struct(F.col("_end_order"), F.col("_end_block"))
     in_end = (F.col("block") == F.col("_end_block")) & (doc(F.col("_whole")) <= F.col("_end_doc"))
     times = F.col("_whole") + F.when(F.coalesce(before | in_end, F.lit(False)), 1).otherwise(0)
-    return (
-        placed.withColumn("_times", times)
-        .where("_times > 0")
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-        .withColumns({"block_order": order(F.col("epoch")), "doc_order": doc(F.col("epoch"))})
-        .drop("_src", "_times", "_blocks", "_whole", "_rest", "_end_block", "_end_order", "_left", "_end_doc")
-    )
+    seen = placed.withColumn("_times", times).where("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    added = {"epoch": F.col("epoch"), "block": F.col("block"), "block_order": order(F.col("epoch")), "doc_order": doc(F.col("epoch")), "weight": F.col("weight"), "repetition": F.col("repetition")}
+    return unpacked(seen, docs.columns, added)

@@ -82,8 +82,8 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base counts, score and verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality.fit_weights(docs, trusted_ids(spark, sf_dir))
-    return quality.judge(docs, weights).select(
+    weights, threshold = quality.fit(docs, trusted_ids(spark, sf_dir))
+    return quality.judge(docs, weights, threshold=threshold).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )
 

@@ -14,7 +14,8 @@ Spans are in code points, end exclusive. Spark has no positions for matches, so
 summed up from the lengths of the matches and of the pieces between them.
 
 Defined results: a null or empty text has no spans; ties in start are ordered by kind as listed
-in KINDS; repeated rows are texts of their own; other columns stay.
+in KINDS; repeated rows are texts of their own; very long texts are read whole; no rows give no
+rows; other columns stay, whatever their names, but `secrets` is replaced.
 """
 
 import math
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.binding import let
-from factloom.llm.common import text_of
+from factloom.llm.common import WORDS, packed, text_of, unpacked
 
 #: The base patterns of the contract. Those of access and hex hold their least
 #: length, as their runs are maximal; assign is checked after the match.
@@ -36,20 +37,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 #: Least length of a secret by the models; the signs that part a run; and the excess (thousandths) that a stretch needs.
 LEAST, SEPARATORS, LEAST_EXCESS = 20, "/_=-", 16_000
-#: Words of the ordinary identifiers that the default samples are built from.
-WORDS = (
-    "account address amount archive author balance batch buffer cache channel client column config counter "
-    "customer default delete description document element entry error event factory field filter format "
-    "gateway handler header history identifier image index input instance language length library listener "
-    "location manager message method module network number object option order output package parameter "
-    "password position process product profile project property protocol provider public query reader record "
-    "reference register relation request resource response result schedule schema search section secret "
-    "sequence server service session setting source station status storage stream string structure subject "
-    "summary switch system table target template thread timeout token transaction translation update user "
-    "validation value variable vector version visitor warning window worker writer the and that with from "
-    "this which nation tion ther ing und der die nicht sich schen keit ung les des que pour dans ment eau "
-    "elle los las ción para como mente ado osa"
-).split()
 
 
 def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
@@ -191,12 +178,12 @@ def _stretches(steps: Column, begin: Column, s: Column) -> Column:
 
 def scan(docs: DataFrame, model: list[int], *, threshold: float = 0.35, text: str = "text") -> DataFrame:
     """docs with secrets: an array of (start, kind, end), kind being an index of KINDS, by start, then kind."""
-    t = text_of(text)
+    t = text_of(F.col("row").getField(text))
     n = len(ALPHABET)
     limit = round(1000 * threshold)
     weights = F.from_json(F.lit(str(model)), "array<int>")
     every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
-    found = docs.withColumns({"_assign": every(ASSIGN), "_access": every(ACCESS), "_hex": every(HEX), "_run": every(RUN)})
+    found = packed(docs).withColumns({"_assign": every(ASSIGN), "_access": every(ACCESS), "_hex": every(HEX), "_run": every(RUN)})
     long_enough = F.transform("_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
     codes = lambda s: F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     # excess of each transition over the threshold, and whether its first character parts the run
@@ -239,12 +226,9 @@ def scan(docs: DataFrame, model: list[int], *, threshold: float = 0.35, text: st
         return let(of(piece), lambda s: let(steps(s), lambda x: by_steps(s, x)))
 
     runs = F.flatten(F.transform(_found(t, RUN, F.col("_run"), 3), lambda r: _pieces(r, F.col("_base"))))
-    return (
-        found.withColumn("_base", F.sort_array(base))
-        .withColumn("_runs", F.when(F.size("_run") > 0, F.flatten(F.transform(runs, judged))).otherwise(F.array().cast(SPANS)))
-        .withColumn("secrets", F.sort_array(F.concat("_base", "_runs")))
-        .drop("_assign", "_access", "_hex", "_run", "_base", "_runs")
-    )
+    judged_runs = F.when(F.size("_run") > 0, F.flatten(F.transform(runs, judged))).otherwise(F.array().cast(SPANS))
+    all_spans = found.withColumn("_base", F.sort_array(base)).withColumn("_runs", judged_runs)
+    return unpacked(all_spans, docs.columns, {"secrets": F.sort_array(F.concat("_base", "_runs"))})
 
 
 def render(spans: Column) -> Column:

@@ -2,11 +2,13 @@
 
 The n-grams and the hashing run as SQL functions and Spark ML's HashingTF; training and scoring are Spark ML's
 LogisticRegression. The labelled table is small by its nature: a few hundred URLs that a person
-has judged. A default one is built here by rule.
+has judged. A default one is built here by rule, from stems that occur in more than one host, so
+that what is learnt carries over to hosts that were not seen.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule and is
-judged by the model on no n-grams, which is its intercept. Rows stay as many as they were,
-repeated ones too.
+judged by the model on no n-grams, which is its intercept. Very long urls are read whole. Rows
+stay as many as they were, repeated ones too; other columns stay, whatever their names, but for
+those of the names that are added. No rows give no rows.
 """
 
 from functools import reduce
@@ -17,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower
+from factloom.llm.common import WORDS, ascii_lower, packed, unpacked
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -27,19 +29,40 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Words of the hosts in the default labelled table.
-BAD = ("spam-farm", "cheap-pills", "casino-win", "free-money", "xxx-cams", "click-bait", "replica-watch", "loan-fast", "seo-links", "bet-bonus")
-GOOD = ("library", "museum", "news", "science", "garden", "recipes", "history", "weather", "school", "research")
+#: Stems of the hosts and paths in the default labelled table; a host joins two of a kind.
+BAD = (
+    "spam", "farm", "cheap", "pills", "casino", "win", "free", "money", "xxx", "cams", "click", "bait", "replica", "watch", "loan", "fast", "bet", "bonus",
+    "poker", "slots", "adult", "hot", "viagra", "deal", "crypto", "profit",
+)
+GOOD = (
+    "library", "museum", "news", "science", "garden", "recipe", "history", "weather", "school", "research", "public", "health", "travel", "music", "city",
+    "archive", "open", "data", "art", "nature", "law", "sport", "forum", "guide", "docs", "wiki",
+)
+#: Paths of bad hosts, of good ones, and of any.
 BAD_PATHS = ("/buy-now/offer", "/win/bonus?x=1", "/pills/cheap", "/promo/click")
-GOOD_PATHS = ("/en/article/12", "/de/645/", "/fr/about", "/es/825.html")
+GOOD_PATHS = ("/article/12", "/about", "/docs/index", "/archive/news")
+ANY_PATHS = ("/en/12", "/de/645/", "/fr/31.html", "/es/825.html", "/", "", "/en/news?page=2", "/index.html")
+#: A host joins a stem with the stems so many places on.
+STEPS = (1, 4, 9)
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: block) by rule: hosts x paths, about as many good as bad."""
-    tops = ("com", "org", "net")
-    rows = [(f"https://{p}{h}.example.{t}{q}", 1.0) for h in BAD for t, q in zip(tops * 2, BAD_PATHS) for p in ("", "www.")]
-    rows += [(f"http://{p}{h}.example.{t}{q}", 0.0) for h in GOOD for t, q in zip(tops * 2, GOOD_PATHS) for p in ("blog.", "www.")]
-    return spark.createDataFrame(rows, "url string, label double")
+    """url, host, label (1: block) by rule: about a thousand rows, whatever is judged.
+
+    Hosts of two stems are as many of one label as of the other; besides them stand ordinary words,
+    alone and in pairs, so that what is in neither list of stems is allowed.
+    """
+    tops, signs, subs = ("com", "org", "net", "info"), ("-", ""), ("", "www.", "m.", "blog.")
+    named = [(1.0, f"{a}{signs[(i + n) % 2]}{BAD[(i + n) % len(BAD)]}", BAD_PATHS) for i, a in enumerate(BAD) for n in STEPS]
+    named += [(0.0, f"{a}{signs[(i + n) % 2]}{GOOD[(i + n) % len(GOOD)]}", GOOD_PATHS) for i, a in enumerate(GOOD) for n in STEPS]
+    plain = [w for w in WORDS if w.isascii()]
+    named += [(0.0, f"{a}{plain[(7 * i + 1) % len(plain)] if i % 2 else ''}", GOOD_PATHS) for i, a in enumerate(plain)]
+    rows = []
+    for i, (label, name, paths) in enumerate(named):
+        host = f"{name}.{tops[i % 4]}"
+        some = (paths[i % len(paths)], *(ANY_PATHS if i < 3 * (len(BAD) + len(GOOD)) else [ANY_PATHS[(i + k) % len(ANY_PATHS)] for k in (0, 3, 5)]))
+        rows += [(f"https://{subs[(i + k) % 4]}{host}{path}", host, label) for k, path in enumerate(some)]
+    return spark.createDataFrame(rows, "url string, host string, label double")
 
 
 def host_of(url: Column) -> Column:
@@ -104,15 +127,12 @@ def judge_urls(pages: DataFrame, model: LogisticRegressionModel | None, *, url:
     """pages with host, path, rule, probability (of block, by the model) and verdict.
 
     Without a model (no labelled table with both labels) a url that fits no rule is allowed.
-    Columns of these names in pages are replaced.
     """
-    held = pages.drop("host", "path", "rule", "verdict", "probability") if url not in ("host", "path", "rule", "verdict") else pages
-    parsed = held.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    row = packed(pages).withColumns({"host": host_of(F.col("row").getField(url)), "path": path_of(F.col("row").getField(url))})
+    scored = row if model is None else model.transform(_features(row, model.numFeatures)).withColumn("p", vector_to_array("probability")[1])
+    chance = F.lit(0.0) if model is None else F.col("p")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    if model is None:
-        scored = parsed.withColumn("probability", F.lit(0.0))
-    else:
-        scored = model.transform(_features(parsed, model.numFeatures)).withColumn("probability", vector_to_array("probability")[1])
-    return scored.drop("_grams", "_features", "rawPrediction", "prediction").withColumns(
-        {"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("probability") > 0.5, "block").otherwise("allow"))}
-    )
+    return unpacked(
+        scored, pages.columns,
+        {"host": F.col("host"), "path": F.col("path"), "rule": rule, "probability": chance, "verdict": F.coalesce(verdict, F.when(chance > 0.5, "block").otherwise("allow"))},
+    )

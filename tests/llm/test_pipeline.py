@@ -28,8 +28,8 @@ def test_columns_and_stages(kept):
 
 def test_each_stage_does_what_its_operator_says(spark, kept):
     sf, (raw, good, single, clean, mixed, _) = kept
-    weights = quality.fit_weights(raw, trusted_ids(spark, sf))
-    want = {r["doc_id"] for r in quality.judge(raw, weights).select("doc_id", "kept").collect() if r["kept"]}
+    weights, threshold = quality.fit(raw, trusted_ids(spark, sf))
+    want = {r["doc_id"] for r in quality.judge(raw, weights, threshold=threshold).select("doc_id", "kept").collect() if r["kept"]}
     assert {r["doc_id"] for r in good.collect()} == want and len(want) < raw.count()
     first = {r["doc_id"] for r in dedup.near_duplicates(good, size=5).collect() if r["kept"]}
     assert {r["doc_id"] for r in single.collect()} == first

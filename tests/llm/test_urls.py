@@ -1,7 +1,11 @@
 """URL filters against a plain Python version of the rules."""
 
+import math
 import re
 
+from pyspark.ml.feature import HashingTF
+from pyspark.sql import functions as F
+
 from factloom.llm import urls
 from factloom.llm.common import table
 from factloom.llm.queries import op7_urls
@@ -45,3 +49,41 @@ def test_edges_and_held_out(spark):
     assert urls.train(urls.labelled_urls(spark).where("label = 1")) is None
     assert {r["verdict"] for r in urls.judge_urls(df, None).collect()} == {"allow", "block"}
     assert urls.judge_urls(df.limit(0), None).count() == 0
+
+
+def probability(host, path, model, buckets):
+    """Of block, by plain Python: the count of each hashed n-gram times its weight."""
+    found = []
+    for n in (3, 4):
+        for text, mark in ((host, "h:"), (path, "p:")):
+            marked = f"^{text}$"
+            found += [mark + marked[i : i + n] for i in range(len(marked) - n + 1)] if text else []
+    z = model.intercept + sum(model.coefficients[buckets.indexOf(g)] for g in found)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_probabilities_equal_brute_force(spark, sf):
+    model = urls.train(urls.labelled_urls(spark))
+    buckets = HashingTF(numFeatures=model.numFeatures)
+    for r in op7_urls(spark, sf).collect():
+        assert abs(r["probability"] - probability(r["host"], r["path"], model, buckets)) < 1e-9
+
+
+def test_hosts_that_were_held_out(spark):
+    labelled = urls.labelled_urls(spark)
+    held = F.pmod(F.xxhash64("host"), F.lit(4)) == 0  # whole hosts
+    model = urls.train(labelled.where(~held))
+    out = urls.judge_urls(labelled.where(held), model, rules=()).collect()
+    bad, good = [r for r in out if r["label"] == 1], [r for r in out if r["label"] == 0]
+    assert len(bad) > 50 and len(good) > 50
+    assert sum(r["verdict"] == "block" for r in bad) >= 0.9 * len(bad)
+    assert sum(r["verdict"] == "allow" for r in good) >= 0.97 * len(good)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["prediction", "rawPrediction", "probability", "_features", "_grams", "row", "p", "HOST"]
+    df = spark.createDataFrame([(1, "http://bet-bonus.test/win", *range(8)), (2, None, *[None] * 8)], "page_id int, url string, " + ", ".join(f"`{n}` int" for n in names))
+    out = urls.judge_urls(df, urls.train(urls.labelled_urls(spark)))
+    assert [c for c in out.columns if c in names] == [n for n in names if n not in ("probability", "HOST")] + ["probability"]
+    (r, _) = sorted(out.collect(), key=lambda x: x["page_id"])
+    assert (r["prediction"], r["rawPrediction"], r["_features"], r["_grams"], r["row"], r["p"], r["host"]) == (0, 1, 3, 4, 5, 6, "bet-bonus.test")
