@@ -17,8 +17,9 @@ Shingles are held as 64-bit hashes.
 
 Defined results: a text that is null or has no words has an empty set and is linked with nothing;
 rows that share a doc_id are one document with several texts, linked with whatever one of them is
-linked with; a row without doc_id is counted, linked with nothing, and kept; other columns are left
-out.
+linked with; a row without doc_id is counted, linked with nothing, and kept; the smallest of ids that
+tie is the component's; very long texts are read whole; no rows give no rows; other columns, whatever
+their names, are left out.
 """
 
 from collections.abc import Iterator
@@ -36,7 +37,15 @@ from factloom.llm.graph import components
 
 #: Estimates under it are not confirmed; at 0.8 an estimate has a deviation of 0.032.
 LOWEST_ESTIMATE = 0.66
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK = 32, 512
+#: Classes of more rows than HOT_ROWS are joined by broadcast: the largest of them, HOT_CLASSES rows of some dozen bytes at most.
+#: No class that is left to the shuffle then holds more than one in HOT_CLASSES of all rows.
+HOT_ROWS, HOT_CLASSES = 1000, 20_000
+
+
+def digest_of(shingles: np.ndarray) -> bytes | None:
+    """Of a whole set; None for an empty one."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -49,7 +58,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             for text in batch.column("text"):
                 s = shingler(text.as_py())
                 n.append(len(s))
-                cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                cls.append(digest_of(s))
                 regs.append(sketch.registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(regs, pa.binary())],
@@ -144,7 +153,12 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept: a row for each of docs (doc_id, text)."""
+    return near_rows(docs, size=size, percent=percent).drop("digest")
+
+
+def near_rows(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """What near_duplicates gives, and digest, that of the row's set (null if it is empty).
 
     size is the words of a shingle, percent the similarity of a link in hundredths.
     """
@@ -153,8 +167,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     reps = durable(
         signed.where("cls IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("cls")
-        .agg(F.min(F.struct("doc_id", "n", "regs")).alias("m"))
-        .select("cls", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.regs").alias("regs"))
+        .agg(F.min(F.struct("doc_id", "n", "regs")).alias("m"), F.count(F.lit(1)).alias("copies"))
+        .select("cls", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.regs").alias("regs"), "copies")
     )
     rows = bucket_rows(reps)
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -202,14 +216,60 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     second = placed.groupBy("bucket", "block_a", "block_b").applyInPandas(lambda f: block_links(f, percent), "u long, v long")
     final = components(first.union(second))
 
-    of_class = reps.select("cls", "rep").join(final, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("c"))
-    return (
-        signed.drop("regs")
-        .join(of_class, "cls", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "doc_id")).cast("long").alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return labelled_rows(signed, reps, final)
+
+
+def labelled_rows(signed: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """The result: each signed row with the component of its class; rows without a class or an id have none to look up.
+
+    A class of many rows would meet in one task, so the largest are joined by broadcast.
+    """
+    of_class = reps.join(labels, F.col("rep") == F.col("node"), "left").select("cls", "copies", F.coalesce("component", "rep").alias("c"))
+    hot = of_class.where(F.col("copies") > HOT_ROWS).orderBy(F.desc("copies"), "cls").limit(HOT_CLASSES).select("cls", F.col("c").alias("hot"))
+    bare = signed.select("doc_id", "n", "cls")
+    known = F.col("cls").isNotNull() & F.col("doc_id").isNotNull()
+    marked = bare.where(known).join(F.broadcast(hot), "cls", "left")
+    rows = (
+        bare.where(~known).withColumn("c", F.col("doc_id"))
+        .unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "c"))
+        .unionByName(marked.where("hot IS NULL").drop("hot").join(of_class.select("cls", "c"), "cls"))
+    )
+    return rows.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.col("c").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept"),
+        F.col("cls").alias("digest"),
     )
+
+
+def with_digest(docs: DataFrame, size: int) -> DataFrame:
+    """docs, all columns, with the digest that near_rows gives them; for the few rows whose doc_id is not their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = sketch.Shingler(size)
+        for batch in batches:
+            sets = [shingler(t.as_py()) for t in batch.column("text")]
+            digests = pa.array([digest_of(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*batch.schema.names, "digest"])
+
+    return docs.drop("digest").mapInArrow(run, docs.drop("digest").schema.add("digest", "binary"))
+
+
+def one_of_each(docs: DataFrame, near: DataFrame, size: int) -> DataFrame:
+    """docs (doc_id a long) without what near, a result of near_rows over them, does not keep.
+
+    A row that is repeated stays once. Rows that share a doc_id are told apart by their digests; rows
+    without doc_id all stay.
+    """
+    near = near.where("doc_id IS NOT NULL")
+    odd = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(~F.col("kept")).alias("gone")).where("rows > 1 OR gone")
+    plain = docs.join(odd.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    shared = odd.where("rows > 1").select("doc_id")
+    if shared.isEmpty():
+        return plain
+    told = with_digest(docs.join(shared, "doc_id", "left_semi").select(*docs.columns), size)
+    same = F.coalesce("digest", F.lit(b"")).alias("digest")
+    kept = near.where("kept").select("doc_id", same).distinct()
+    rest = told.withColumn("digest", same).join(kept, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return plain.unionByName(rest.select(*docs.columns))

@@ -86,3 +86,28 @@ def test_registers_merge_and_estimate():
     assert (np.maximum(sketch.registers(a), sketch.registers(b)) == sketch.registers(x)).all()
     est = sketch.joint_estimate(sketch.registers(a)[None], sketch.registers(b)[None], np.array([2000]), np.array([2200]))
     assert abs(est[0] - 0.4) < 0.12
+
+
+def test_hot_classes_are_joined_apart(spark, sf, monkeypatch):
+    monkeypatch.setattr(dedup, "HOT_ROWS", 2)
+    monkeypatch.setattr(dedup, "HOT_CLASSES", 2)
+    texts = ["one two three four five six seven"] * 40 + ["a b c d e f g h"] * 9 + ["k l m n o p"] * 5 + ["", None] * 6 + ["single words stand alone here"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "a b c d e f g h")], "doc_id long, text string")
+    out = dedup.near_duplicates(df, size=4).collect()
+    assert len(out) == len(texts) + 1
+    want = brute(list(enumerate(texts)), 4)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out if r["doc_id"] is not None}
+    assert got == want
+    (none,) = [r for r in out if r["doc_id"] is None]
+    assert none["component_id"] is None and none["kept"]
+
+
+def test_one_of_each(spark):
+    a, b, c = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "x y z"
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, c), (3, c), (3, b), (4, None), (4, None), (4, ""), (None, a), (None, a), (5, c)]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, digest int")
+    near = dedup.durable(dedup.near_rows(df, size=5))
+    out = dedup.one_of_each(df.drop("digest"), near, 5).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted([(1, a), (2, b), (3, c), (4, ""), (0, a), (0, a)])
+    plain = df.where("doc_id IS NULL OR doc_id IN (5)").drop("digest")
+    assert dedup.one_of_each(plain, dedup.near_rows(plain, size=5), 5).count() == 3
