@@ -67,7 +67,7 @@ def ranked(cut: DataFrame, largest: int) -> DataFrame:
     return salted.withColumn("_inside", inside).join(base, ["length", "_salt"]).withColumn("rank", F.col("_base") + F.col("_inside") - 1)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, rounds: int = 12) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, rounds: int = 8) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of docs (doc_id, text)."""
     cut = durable(pieces(docs, tokenizer, capacity=capacity, end_id=end_id))
     counts = np.zeros(capacity + 1, np.int64)

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from factloom.llm import packing
 from factloom.llm.common import table
-from factloom.llm.packing_plan import plan
+from factloom.llm.packing_plan import plan, solve
 from factloom.llm.pretokens import PATTERN, Encoder, pretokens
 from factloom.llm.queries import op10_packing
 
@@ -94,3 +94,28 @@ def test_plan_beats_best_fit_where_fits_are_tight():
     lengths = rng.integers(650, 720, 20_000)
     _, n = plan(np.bincount(lengths, minlength=2049), 2048)
     assert n < 0.97 * best_fit_decreasing(lengths, 2048)
+
+
+def test_plan_is_between_its_bound_and_best_fit():
+    rng = np.random.default_rng(8)
+    cases = [rng.integers(1, 60, 5000), rng.integers(690, 1000, 3000), rng.choice([683, 1024, 342, 700, 410], 5000), np.clip(rng.lognormal(6.3, 1, 11_000).astype(int), 1, 2048), [1] * 9000, [2048] * 7]
+    for lengths in cases:
+        counts = np.bincount(lengths, minlength=2049)
+        p = solve(counts, 2048)
+        assert (np.bincount(p.runs[:, 0], p.runs[:, 1], minlength=2049).astype(int) == counts).all()
+        assert p.bound <= p.sequences <= best_fit_decreasing(lengths, 2048)
+    # every length takes part in the program, short ones too
+    p = solve(np.bincount(rng.integers(1, 60, 50_000), minlength=2049), 2048)
+    assert p.from_program > 0.2 * p.sequences and p.sequences <= p.bound + 1
+
+
+def test_query_needs_as_many_as_best_fit(spark):
+    sf = "/root/testdata/sf0.1"
+    cut_ = packing.pieces(table(spark, sf, "documents"), FILE, capacity=2048).groupBy("length").count().collect()
+    counts = np.zeros(2049, np.int64)
+    for r in cut_:
+        counts[r["length"]] = r["count"]
+    p = solve(counts, 2048)
+    lengths = np.repeat(np.arange(2049), counts)
+    assert p.bound <= p.sequences <= best_fit_decreasing(lengths, 2048) and p.from_program > 0
+    print(p.sequences, p.from_program, p.bound)
