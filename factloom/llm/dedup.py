@@ -259,8 +259,8 @@ def with_digest(docs: DataFrame, size: int) -> DataFrame:
 def one_of_each(docs: DataFrame, near: DataFrame, size: int) -> DataFrame:
     """docs (doc_id a long) without what near, a result of near_rows over them, does not keep.
 
-    A row that is repeated stays once. Rows that share a doc_id are told apart by their digests; rows
-    without doc_id all stay.
+    A row that is repeated stays once. Different texts of one doc_id are one document, told apart by
+    their digests: each goes if it is alike to a smaller id's, else it stays. Rows without doc_id all stay.
     """
     near = near.where("doc_id IS NOT NULL")
     odd = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(~F.col("kept")).alias("gone")).where("rows > 1 OR gone")
