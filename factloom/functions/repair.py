@@ -1,11 +1,10 @@
 """Repairs of extracted facts: comparators that the text around a figure states, and corrections of a verifier."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from factloom.functions.numbers import parse_figure
+from factloom.functions.values import plain_number
 
 #: Cues in the order in which they are tried.
 CUES = (
@@ -28,36 +27,27 @@ CORRECTABLE = {
 }
 
 
-def _written(number: float) -> list[str]:
-    """How a figure may be written, the longest first."""
-    n = abs(number)
-    forms = {str(int(n)), f"{int(n):,}"} if n == int(n) else {repr(n), f"{n:,}", f"{n:.2f}", f"{n:,.2f}"}
-    return sorted(forms, key=lambda f: (-len(f), f))
+def written_forms(number: Column) -> Column:
+    """How a figure may be written, the longest first: plain, with grouped thousands, with two places."""
+    n = F.abs(number)
+    grouped = F.concat(F.format_number(F.floor(n), 0), F.regexp_extract(plain_number(n), r"\.\d+$", 0))
+    places = F.format_number(n, 2)
+    forms = F.when(n == F.floor(n), F.array(plain_number(n), grouped)).otherwise(F.array(plain_number(n), grouped, F.replace(places, F.lit(","), F.lit("")), places))
+    ordered = F.sort_array(F.transform(F.array_distinct(forms), lambda f: F.struct((-F.length(f)).alias("size"), f.alias("form"))))
+    return F.when(n < float("inf"), F.transform(ordered, lambda x: x["form"]))
 
 
-def _clause(evidence: str | None, number: float | None) -> str | None:
-    """What stands around the figure, up to the ends of its clause; None if the figure isn't found.
+def clause_around(evidence: Column, number: Column) -> Column:
+    """What stands around the first place of the longest form that is found, up to the ends of its clause; else null.
 
-    A figure at the very end, or with a point or comma behind it, counts as not found.
+    A figure at the very end, or with a digit, point or comma behind it, counts as not found; so does one with a
+    digit before it.
     """
-    if evidence is None or number is None or number != number or abs(number) == float("inf"):
-        return None
-    for form in _written(number):
-        at = evidence.find(form)
-        while at >= 0:
-            end = at + len(form)
-            alone = not evidence[at - 1 : at].isdigit() if at else True
-            if alone and end < len(evidence) and not evidence[end].isdigit() and evidence[end] not in ".,":
-                left = max([at - LEFT, 0, *(evidence.rfind(c, 0, at) + 1 for c in ENDS)])
-                right = min([end + RIGHT, len(evidence), *(k for k in (evidence.find(c, end) for c in ENDS) if k >= 0)])
-                return evidence[left:right]
-            at = evidence.find(form, at + 1)
-    return None
-
-
-@F.pandas_udf(StringType())
-def clause_around(evidence: pd.Series, number: pd.Series) -> pd.Series:
-    return pd.Series([_clause(e, n) for e, n in zip(evidence, number)], dtype=object)
+    ends = "".join("\\" + c for c in ENDS)
+    # as few as there are before the figure, so that its first place is the one that is met
+    before, after = f"(?s)[^{ends}]{{0,{LEFT}}}?(?<!\\p{{Nd}})\\Q", f"\\E(?=[^\\p{{Nd}}.,])[^{ends}]{{0,{RIGHT}}}"
+    at = lambda form: F.call_function("regexp_extract", evidence, F.concat(F.lit(before), form, F.lit(after)), F.lit(0))
+    return F.get(F.filter(F.transform(written_forms(number), at), lambda c: c != ""), 0)
 
 
 def cue(text: Column) -> Column:
@@ -71,14 +61,14 @@ def cue(text: Column) -> Column:
 def repair_comparators(facts: DataFrame) -> DataFrame:
     """facts with comparators that their evidence states in place of eq or none, and `repaired`.
 
-    Only figures without a comparator or with eq are looked at; only those whose evidence holds a
-    cue at all go through Arrow for their clause.
+    Only figures without a comparator or with eq are looked at, and of these only those whose
+    evidence holds a cue at all.
     """
     value = F.col("value")
     open_ = (F.col("fact_kind") == "quantitative") & (value["comparator"].isNull() | (value["comparator"] == "eq"))
     hinted = open_ & cue(F.col("evidence_text")).isNotNull()
     some = facts.where(F.coalesce(hinted, F.lit(False)))
-    clause = F.coalesce(clause_around("evidence_text", F.col("value.number")), F.col("evidence_text"))
+    clause = F.coalesce(clause_around(F.col("evidence_text"), F.col("value.number").cast("double")), F.col("evidence_text"))
     found = some.withColumn("_cue", cue(clause))
     rest = facts.where(~F.coalesce(hinted, F.lit(False))).withColumn("_cue", F.lit(None).cast("string"))
     both = found.unionByName(rest)

@@ -66,9 +66,8 @@ def stands(evidence, text):
     if evidence in text or e in t:
         return True
     first, last = e.split()[0], e.split()[-1]
-    a = t.find(first)
-    b = t.find(last, a + len(first))
-    return len(e.split()) >= 3 and a >= 0 and b >= 0 and b + len(last) - a <= max(3 * len(evidence), 200)
+    a, b = t.find(first), t.rfind(last)
+    return len(e.split()) >= 3 and 0 <= a <= b and b + len(last) - a <= max(3 * len(evidence), 200)
 
 
 def test_query_finalises_facts_of_every_chunk(spark, sf):
@@ -94,3 +93,17 @@ def test_query_finalises_facts_of_every_chunk(spark, sf):
     got = {r["document_id"]: r.asDict() for r in queries.finalise_candidates(spark, sf).collect()}
     assert {d: {k: v for k, v in r.items() if k != "document_id"} for d, r in got.items()} == want
     assert len(want) > 50 and all(sum(w[k] for w in want.values()) for k in next(iter(want.values())))
+
+
+CLAUSES = [
+    ("Sales grew; the firm sold more than 1,250 units in all of the year (over plan)", 1250.0, "the firm sold more than 1,250 units in all of"),
+    ("5 and 5 units", 5.0, "5 and 5 units"), ("a 1250 b 1,250 c", 1250.0, "a 1250 b 1,250 c"), ("x 11250 y", 1250.0, None), ("1250.5 then", 1250.0, None), ("ends in 1250", 1250.0, None),
+    ("about 12.50 km", 12.5, "about 12.50 km"), ("about 1,234.5 km", 1234.5, "about 1,234.5 km"), ("minus 7 now", -7.0, "minus 7 now"), ("no figure", 3.0, None), ("x 3 y", None, None),
+    ("first 7, 7 more", 7.0, " 7 more"), ("rate: about 0.05 percent. Over", 0.05, " about 0.05 percent"), (None, 3.0, None), ("12345678901 units", 12345678901.0, "12345678901 units"),
+]
+
+
+def test_clauses(spark):
+    df = spark.createDataFrame([(i, e, n) for i, (e, n, _) in enumerate(CLAUSES)], "i int, e string, n double")
+    got = {r["i"]: r["c"] for r in df.select("i", repair.clause_around(F.col("e"), F.col("n")).alias("c")).collect()}
+    assert got == {i: w for i, (_, _, w) in enumerate(CLAUSES)}
