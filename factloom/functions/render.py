@@ -32,8 +32,8 @@ def display_value(value: Column) -> Column:
 
 
 def fence(evidence: Column) -> Column:
-    """Evidence in which no run of three double quotes can end a quotation."""
-    return F.regexp_replace(evidence, '"{3,}', '"')
+    """Evidence in which no run of three double quotes can end a quotation; such a run becomes two."""
+    return F.regexp_replace(evidence, '"{3,}', '""')
 
 
 def relative_boxes(boxes: Column, width: Column, height: Column) -> Column:

@@ -67,3 +67,31 @@ def mean_embedding(chunks: DataFrame, *, first: int = 48) -> DataFrame:
     vector = F.transform("v", lambda e: e["x"])
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
     return means.select("document_id", F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(vector).alias("doc_embedding"))
+
+
+def profiles(documents: DataFrame, *, join: float = JOIN) -> DataFrame:
+    """project_id, document_count, centre, clusters: each project after its documents have been folded in, in the order of their arrival.
+
+    centre is the running mean of all documents' embeddings, of length one; clusters are id, size, centre and document_ids.
+    """
+    kinds = dict(documents.dtypes)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        state, whole, members = Fold(join=join), Fold(join=-2.0), {}  # at -2 everything joins the first cluster
+        rows = rows.sort_values(["created_at", "document_id"])
+        for doc, e in zip(rows["document_id"], rows["doc_embedding"]):
+            members.setdefault(state.add(e)[0], []).append(doc)
+            whole.add(e)
+        found = [{"id": f"sc_{k + 1}", "size": n, "centre": c.tolist(), "document_ids": members[f"sc_{k + 1}"]} for k, (c, n) in enumerate(zip(state.centres, state.sizes))]
+        return pd.DataFrame({"project_id": rows["project_id"].iloc[:1], "document_count": len(rows), "centre": [whole.centres[0].tolist()], "clusters": [found]})
+
+    once = documents.where("doc_embedding IS NOT NULL").select("project_id", "document_id", "created_at", "doc_embedding").dropDuplicates(["project_id", "document_id"])
+    cluster = f"struct<id:string,size:int,centre:array<double>,document_ids:array<{kinds['document_id']}>>"
+    return once.groupBy("project_id").applyInPandas(fold, f"project_id {kinds['project_id']}, document_count int, centre array<double>, clusters array<{cluster}>")
+
+
+def vocabulary(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """project_id, term, document_id, created_at: each project's distinct entities by the document that showed them first."""
+    seen = facts.where(F.trim("entity") != "").select("document_id", F.trim("entity").alias("term")).distinct()
+    first = seen.join(documents.select("project_id", "document_id", "created_at"), "document_id").groupBy("project_id", "term").agg(F.min(F.struct("created_at", "document_id")).alias("f"))
+    return first.select("project_id", "term", F.col("f.document_id").alias("document_id"), F.col("f.created_at").alias("created_at"))

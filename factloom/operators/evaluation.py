@@ -75,3 +75,9 @@ def survivorship(per_doc: DataFrame) -> DataFrame:
         F.sum("grounding_pass").alias("passed"),
     )
     return out.withColumn("yield_rate", rate(F.col("passed"), F.col("considered")))
+
+
+def verdict_breakdown(facts: DataFrame, logs: DataFrame) -> DataFrame:
+    """project_id, document_id, result, n: what the verifier said, by the document of its fact; null where the fact is not known."""
+    said = logs.where("stage = 'independent_verify'").join(facts.select("fact_id", "document_id"), "fact_id", "left")
+    return said.groupBy("project_id", "document_id", "result").agg(F.count(F.lit(1)).alias("n"))

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from factloom.functions.qualifiers import assumptions, penalised
 from factloom.functions.repair import repair_comparators
 from factloom.functions.text import blank_to_null
+from factloom.operators import provider
 from factloom.operators.grounding import anchor
 from factloom.operators.normalise import with_period
 
 #: Keys that name a figure's column in a table.
 COLUMN_KEYS = ("column_header", "column", "col_header", "col")
 KINDS = ("quantitative", "status", "qualitative")
+#: Fixed value: the error of a provider that turns a request's schema down.
+SCHEMA_ERROR = "schema_rejected"
 #: Why a proposed fact is dropped.
 DROPPED = ("invalid", "no_chunk", "no_column_context")
 
@@ -53,3 +56,33 @@ def statistics(kept: DataFrame, dropped: DataFrame) -> DataFrame:
     b = dropped.groupBy("document_id").agg(*[F.count_if(F.col("drop_reason") == r).alias(f"dropped_{r}") for r in DROPPED])
     out = a.join(b, "document_id", "full").na.fill(0)
     return out.withColumn("candidates_returned", sum((F.col(f"dropped_{r}") for r in DROPPED), F.col("candidates_kept")))
+
+
+def by_kind(kept: DataFrame) -> DataFrame:
+    """document_id, by_kind: a map from each kind to the facts kept of it."""
+    counts = kept.groupBy("document_id", "fact_kind").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fact_kind", "n")))).alias("by_kind"))
+
+
+def ask(batches: DataFrame, constrained: DataFrame, free: DataFrame) -> DataFrame:
+    """batches (request_key, ...) with text, error_type, calls and failed.
+
+    A batch whose schema the provider turns down is asked once more without one. Any other error, or
+    a text that is no list of facts, fails that batch alone.
+    """
+    first = provider.answer(batches, constrained)
+    second = free.select("request_key", F.col("text").alias("_t"), F.col("error_type").alias("_e"), F.lit(True).alias("_f"))
+    again = F.coalesce(F.col("error_type") == SCHEMA_ERROR, F.lit(False))
+    joined = first.join(second, "request_key", "left").withColumn("_again", again)
+    error = F.when(~F.col("_again"), F.col("error_type")).when(F.col("_f").isNull(), "missing").otherwise(F.col("_e"))
+    text = F.when(F.col("_again"), F.when(F.col("_e").isNull(), F.col("_t"))).otherwise(F.col("text"))
+    out = joined.withColumns({"calls": F.when(F.col("_again"), 2).otherwise(1), "_error": error, "_text": text}).drop("text", "error_type", "provider", "_t", "_e", "_f", "_again")
+    listed = F.get_json_object("_text", "$.facts")
+    bad = F.when(F.col("_error").isNotNull(), F.col("_error")).when(~F.coalesce(F.startswith(listed, F.lit("[")), F.lit(False)), "no facts")
+    return out.withColumns({"text": F.col("_text"), "error_type": bad, "failed": bad.isNotNull()}).drop("_text", "_error")
+
+
+def proposed(answered: DataFrame, fact: str) -> DataFrame:
+    """A row for each fact of the answers that did not fail; fact is the schema of one. Elements that are no objects are null."""
+    facts = F.from_json(F.get_json_object("text", "$.facts"), f"array<struct<{fact}>>")
+    return answered.where("NOT failed").withColumn("fact", F.explode(facts)).drop("text", "error_type", "failed", "calls")

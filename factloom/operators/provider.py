@@ -1,10 +1,15 @@
 """Model calls as a join: requests against a table of responses, so that runs repeat exactly."""
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Errors that another provider may make good.
 FAILOVER = ("rate_limit", "timeout", "auth", "transport")
+#: Fixed value: texts that are embedded at once.
+EMBEDDED_AT_ONCE = 64
 
 
 def request_key(stage: str, attempt: int, *parts: Column) -> Column:
@@ -36,3 +41,19 @@ def fact_embedding_text(entity: Column, attribute: Column, qualifiers: Column) -
     """What a fact's embedding is made from: entity | attribute | key: value ..., keys sorted."""
     pairs = F.transform(F.sort_array(F.map_entries(qualifiers)), lambda e: F.concat_ws(": ", e["key"], e["value"]))
     return F.concat_ws(" | ", entity, attribute, F.when(F.size(pairs) > 0, F.array_join(pairs, " | ")))
+
+
+def embed_missing(facts: DataFrame, embed: Callable[[list[str]], list[list[float]]], *, size: int = EMBEDDED_AT_ONCE) -> DataFrame:
+    """facts, those without an embedding with one; each distinct text is embedded once, so many texts at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), size):
+                some = f.iloc[at : at + size]
+                yield some.assign(_vector=[list(map(float, v)) for v in embed(some["_text"].tolist())])
+
+    text = fact_embedding_text(F.col("entity"), F.col("attribute"), F.coalesce("qualifiers", F.create_map().cast("map<string,string>")))
+    missing = facts.where("embedding IS NULL").withColumn("_text", text)
+    vectors = missing.select("_text").distinct().mapInPandas(run, "_text string, _vector array<float>")
+    filled = missing.join(vectors, "_text").withColumn("embedding", F.col("_vector").cast(dict(facts.dtypes)["embedding"])).select(*facts.columns)
+    return facts.where("embedding IS NOT NULL").unionByName(filled)

@@ -26,8 +26,22 @@ NOTES = {
     "partial": "high numeric density with partial table structure",
     "rich": "image-rich page; text layer still present",
 }
+#: What led to a profile.
+SIGNALS = {
+    "tool": "authored in a presentation tool",
+    "slides": "landscape slide-aspect pages with low text density",
+    "scanned": " of pages have no text layer",
+    "prose": "prose with ",
+    "tables": " table pages and ",
+    "images": " image-rich pages",
+    "mostly": "table-dominated with supporting prose",
+    "clean": "clean font layer throughout",
+    "rich": " image-rich page(s)",
+}
 NUMERIC = r"[-+]?[\d,]*\.?\d"
 WIDE_PAGE = 900
+#: Fixed value: the most confidence in what was read by OCR.
+OCR_CEILING = 0.6
 
 
 def digit_ratio(text: Column) -> Column:
@@ -54,6 +68,14 @@ def reading_order(blocks: Column, width: Column) -> Column:
     return F.transform(F.sort_array(F.transform(blocks, key)), lambda b: b["text"])
 
 
+def page_stats(blocks: Column, width: Column, height: Column) -> Column:
+    """image_area_ratio (at most 1) and font_size (the upper median, null without text) of blocks (image, x0, y0, x1, y1, sizes)."""
+    area = F.when(width * height == 0, F.lit(1.0)).otherwise(F.abs(width * height))
+    covered = F.aggregate(F.filter(blocks, lambda b: b["image"]), F.lit(0.0), lambda s, b: s + F.abs((b["x1"] - b["x0"]) * (b["y1"] - b["y0"])))
+    sizes = F.sort_array(F.flatten(F.transform(F.filter(blocks, lambda b: ~b["image"]), lambda b: F.coalesce(b["sizes"], F.array().cast("array<double>")))))
+    return F.struct(F.least(covered / area, F.lit(1.0)).alias("image_area_ratio"), F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")).alias("font_size"))
+
+
 def clean_rows(rows: Column) -> Column:
     """Cells without soft hyphens and line breaks, stripped; blank rows go."""
     cell = lambda c: strip(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("­"), F.lit("")), F.lit("\n"), F.lit(" ")))
@@ -124,8 +146,8 @@ def classify_page(page: DataFrame) -> DataFrame:
     return page.withColumns({"content_type": kind, "notes": F.array_compact(notes)})
 
 
-def document_profile(pages: DataFrame) -> DataFrame:
-    """A row per document_id from its classified pages: content_type, counts of pages by kind, image_rich.
+def profile(pages: DataFrame) -> DataFrame:
+    """A row per document_id from its classified pages: content_type, counts of pages by kind, image_rich, signals.
 
     Columns read besides: width, height, char_count, image_area_ratio, producer, creator.
     """
@@ -150,4 +172,29 @@ def document_profile(pages: DataFrame) -> DataFrame:
     kind = (
         F.when(slides, "slides").when(c("pages_image_only") / n >= SCANNED, "scanned").when(mixed, "mixed").when(tables >= MOSTLY_TABLES, "mixed").otherwise("text_native")
     )
-    return counted.withColumn("content_type", kind).drop("_wide", "_aspect", "_median", "_meta")
+    share = lambda c: F.concat(F.round(100 * c).cast("int").cast("string"), F.lit("%"))
+    reason = (
+        F.when(tool, SIGNALS["tool"]).when(slides, SIGNALS["slides"]).when(kind == "scanned", F.concat(share(c("pages_image_only") / n), F.lit(SIGNALS["scanned"])))
+        .when(mixed, F.concat(F.lit(SIGNALS["prose"]), share(tables), F.lit(SIGNALS["tables"]), share(c("image_rich") / n), F.lit(SIGNALS["images"])))
+        .when(tables >= MOSTLY_TABLES, SIGNALS["mostly"]).otherwise(SIGNALS["clean"])
+    )
+    rich = F.when((c("image_rich") > 0) & ~slides, F.concat(c("image_rich").cast("string"), F.lit(SIGNALS["rich"])))
+    return counted.withColumns({"content_type": kind, "signals": F.array_compact(F.array(reason, rich))}).drop("_wide", "_aspect", "_median", "_meta")
+
+
+def document_profile(pages: DataFrame) -> DataFrame:
+    """The profile without what led to it."""
+    return profile(pages).drop("signals")
+
+
+def ingest(pages: DataFrame, *, engine: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, profiles, chunks) of documents that are read: pages with their kind, a profile a document, and the chunks.
+
+    pages have what classify_page reads but for the figures of their texts. A chunk of a page without a text
+    layer was read by OCR, if there is an engine: its facts are held to a lower confidence.
+    """
+    from factloom.operators.chunking import build_chunks
+
+    known = classify_page(pages.withColumns({"digit_ratio": digit_ratio(F.col("text")), "numeric_line_count": numeric_lines(F.col("text"))}))
+    ceiling = F.when(F.col("content_type") == "image_only", OCR_CEILING).otherwise(1.0)
+    return known, profile(known), build_chunks(known).withColumn("confidence_ceiling", ceiling if engine else F.lit(1.0))

@@ -4,11 +4,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factloom.functions.values import plain_number
+from factloom.operators.views import with_document_name
 from factloom.schemas import ANSWERING
 
 #: Results of a search; characters around a hit; steps and tool calls of the loops.
 FOUND, PASSAGES, BEFORE, AFTER, CONTEXT = 8, 5, 160, 200, 1800
-STEPS, TOOL_CALLS, MOST_RESULT = 5, 3, 2000
+STEPS, TOOL_CALLS, MOST_RESULT, TOOL_FACTS = 5, 3, 2000, 6
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -48,6 +50,37 @@ def passages(chunks: DataFrame, query: str, *, limit: int = PASSAGES) -> DataFra
     )
 
 
+def tool_line(filename: Column) -> Column:
+    """A fact as a tool lists it."""
+    v = F.col("value")
+    figure = F.concat_ws(" ", F.coalesce(v["comparator"], F.lit("eq")), F.coalesce(plain_number(v["number"]), F.lit("?")), F.when(v["unit"] != "", v["unit"]))
+    other = F.coalesce(F.when(v["state"] != "", v["state"]), F.when(v["text"] != "", v["text"]), F.lit("?"))
+    label = F.coalesce(F.when(F.col("period.raw_label") != "", F.col("period.raw_label")), F.lit("-"))
+    return F.concat(
+        F.lit("- ["), F.col("fact_id").cast("string"), F.lit("] "), F.col("entity"), F.lit(" / "), F.col("attribute"), F.lit(" = "), F.when(F.col("fact_kind") == "quantitative", figure).otherwise(other),
+        F.lit(" ["), label, F.lit("] ("), filename, F.lit(", p"), F.coalesce(F.col("page_number").cast("string"), F.lit("?")), F.lit(") status="), F.col("verification_status"),
+    )
+
+
+def search_facts(facts: DataFrame, documents: DataFrame, query: str, *, limit: int = TOOL_FACTS) -> DataFrame:
+    """fact_id, line: facts of any status that hold the query, by id. `%` and `_` in the query are wildcards."""
+    like = F.lit(f"%{query.strip()}%")
+    hits = facts.where(F.ilike("entity", like) | F.ilike("attribute", like) | F.ilike("evidence_text", like)).orderBy("fact_id").limit(limit)
+    return with_document_name(hits, documents).select("fact_id", tool_line(F.col("filename")).alias("line"))
+
+
+def surrounding_context(wanted: DataFrame, facts: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """wanted (fact_id) with output: where each fact is from, its evidence, and the beginning of the page's text."""
+    known = with_document_name(facts, documents).select("fact_id", "document_id", "chunk_index", "page_number", "evidence_text", "filename", F.lit(True).alias("_fact"))
+    pages = chunks.select("document_id", "chunk_index", F.col("text").alias("_page"))
+    joined = wanted.join(known, "fact_id", "left").join(pages, ["document_id", "chunk_index"], "left")
+    page = F.concat(F.substring("_page", 1, CONTEXT), F.when(F.length("_page") > CONTEXT, " ...").otherwise(""))
+    body = F.when(F.col("_page").isNull(), "(no stored page text)").otherwise(F.concat(F.lit("--- page text ---\n"), page))
+    head = F.concat(F.lit("["), F.col("fact_id").cast("string"), F.lit("] ("), F.col("filename"), F.lit(", p"), F.coalesce(F.col("page_number").cast("string"), F.lit("?")), F.lit(")"))
+    found = F.concat_ws("\n", head, F.concat(F.lit("evidence: "), F.coalesce("evidence_text", F.lit(""))), body)
+    return joined.select("fact_id", F.when(F.col("_fact").isNull(), F.concat(F.lit("["), F.coalesce(F.col("fact_id").cast("string"), F.lit("")), F.lit("] fact not found in this project"))).otherwise(found).alias("output"))
+
+
 def tool_trace(steps: DataFrame, known: DataFrame, *, most: int = STEPS) -> DataFrame:
     """steps (conversation, step, action, fact_id) that a loop would take, with what each comes to.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from factloom.functions.qualifiers import assumptions
 from factloom.operators.normalise import with_period
 from factloom.operators.precheck import comparable, decide
+from factloom.operators.tables import changes
 
 #: The least confidence of a verdict; the scores of a second reading; how many are read twice.
 LEAST = 0.5
@@ -99,3 +100,43 @@ def read_twice(facts: DataFrame, *, terms: tuple[str, ...] = (), limit: int = RE
     sure = F.coalesce("verifier_confidence", "extraction_confidence")
     place = F.row_number().over(W.partitionBy("document_id").orderBy(F.desc("_named"), sure, "fact_id"))
     return anchored.withColumn("_named", named).withColumn("_place", place).where(F.col("_named") | (F.col("_place") <= limit)).drop("_named", "_place")
+
+
+def apply(facts: DataFrame, verified: DataFrame) -> DataFrame:
+    """facts after a verification: status and confidence replaced, notes and corrections appended, corrected fields overwritten.
+
+    facts have notes (array of strings) and corrections (array of structs fact_id, corrected_by, changes); verified has fact_id,
+    verification_status, verifier_confidence, note, and corrected, a struct of entity, attribute, value, period
+    and qualifiers that is null where nothing was corrected. Facts that were not verified stay; verdicts on facts
+    that are not there are passed over. A correction that changes nothing leaves no record.
+    """
+    fields = ["entity", "attribute", "value", "period", "qualifiers"]
+    new = verified.select("fact_id", F.col("verification_status").alias("_status"), F.col("verifier_confidence").alias("_sure"), F.col("note").alias("_note"), F.col("corrected").alias("_new"), F.lit(True).alias("_seen"))
+    joined = facts.join(new, "fact_id", "left")
+    was, now, seen = F.struct(*fields), F.col("_new"), F.col("_seen").isNotNull()
+    diff = changes(was, now, fields)
+    record = F.struct("fact_id", F.lit("verifier").alias("corrected_by"), diff.alias("changes"))
+    made = now.isNotNull() & (F.size(diff) > 0)
+    empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    kind = dict(facts.dtypes)
+    return joined.withColumns(
+        {
+            "verification_status": F.when(seen, F.col("_status")).otherwise(F.col("verification_status")),
+            "verifier_confidence": F.when(seen, F.col("_sure")).otherwise(F.col("verifier_confidence")),
+            "notes": F.concat(empty("notes", kind["notes"]), F.array_compact(F.array("_note"))),
+            "corrections": F.when(made, F.concat(empty("corrections", kind["corrections"]), F.array(record.cast(kind["corrections"].removeprefix("array<").removesuffix(">"))))).otherwise(empty("corrections", kind["corrections"])),
+            **{f: F.when(now.isNotNull(), now[f]).otherwise(F.col(f)) for f in fields},
+        }
+    ).select(*facts.columns)
+
+
+def statistics(verified: DataFrame, logs: DataFrame) -> DataFrame:
+    """A row per document: facts by outcome, grounding failures, correction attempts, verifier calls and errors."""
+    status = F.col("verification_status")
+    outcomes = verified.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("facts_in"), *[F.count_if(status == s).alias(s) for s in ("verified", "auto_corrected", "needs_review", "rejected")],
+        F.count_if(status == "rejected").alias("grounding_failures"), F.count_if(F.col("correction").isNotNull()).alias("correction_attempts"),
+    )
+    asked = logs.where("stage = 'independent_verify'").join(verified.select("fact_id", "document_id"), "fact_id")
+    calls = asked.groupBy("document_id").agg(F.count_if(F.col("result") != "error").alias("verifier_calls"), F.count_if(F.col("result") == "error").alias("verifier_errors"))
+    return outcomes.join(calls, "document_id", "left").na.fill(0)

@@ -10,6 +10,7 @@ from factloom.functions.repair import repair_comparators
 from factloom.functions.units import magnitude, unit_info
 from factloom.operators import candidates, chunking, clusters, compare, concepts, evaluation, extraction, grounding, precheck, relationships, routing, search, tables, verification
 from factloom.operators.normalise import by_dictionary, with_period, with_value
+from factloom.plans import knowledge
 from factloom.plans.derived import document_pages, event_logs, line_facts, table, vector_facts
 from factloom.streaming.ingest import drain, log_windows, read_stream, state_folder, take_new
 
@@ -26,7 +27,7 @@ def grounding_benchmark(spark: SparkSession, d: str) -> DataFrame:
 def grounding_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why a document's first line is not grounded in the rest of it."""
     docs = table(spark, d, "documents").withColumn("line", F.substring_index("text", "\n", 1))
-    rest = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 20, 10_000_000))
+    rest = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("text").substr(F.lit(20), F.length("text")))
     g = text.grounding(F.col("line"), rest)
     return docs.groupBy(F.coalesce(g["reason"], F.lit("passed")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -400,3 +401,4 @@ def compare_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (stream_log_windows, stream_new_documents, comparator_repair, finalise_candidates, fact_lines, compare_vectors)}
+QUERIES |= knowledge.QUERIES

@@ -1,5 +1,6 @@
 """The same queries in SQL, for comparison."""
 
+from factloom.plans import knowledge
 from factloom.plans.derived import LINE_FACTS, LOGS, PAGES
 
 _PATTERN = """lower(trim(regexp_replace(translate(translate(regexp_replace({}, '-[ \\t]*\\n[ \\t]*', '', 'g'), '‘’‚‛“”–—−  ', '''''''''""---  '), '​‌‍﻿', ''), '\\s+', ' ', 'g')))"""
@@ -222,3 +223,29 @@ SQL["stream_log_windows"] = """
 SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, count(*) FILTER (value > 0)::BIGINT AS n_positive FROM events GROUP BY ALL"""
 SQL["stream_new_documents"] = "SELECT lang, count(*)::BIGINT AS n FROM (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1) JOIN documents USING (doc_id) GROUP BY 1"
 SQL["duplicate_documents"] = f"SELECT outcome, count(*)::BIGINT AS n FROM ({SQL['duplicate_documents']}) GROUP BY 1"
+SQL["disputed_edges_all"] = f"WITH {_RANKED} SELECT fact_id_a, fact_id_b FROM edges WHERE type = 'contradicts'"
+SQL["plan_batches"] = f"""
+WITH RECURSIVE {_CHUNKS},
+c AS (SELECT document_id, chunk_index, length(body) AS size, page % 9 = 0 AS is_table FROM chunks),
+f AS (
+  SELECT document_id, chunk_index, 0 AS batch, CASE WHEN is_table THEN 0 ELSE 1 END AS pages, CASE WHEN is_table THEN 0 ELSE size END AS chars FROM c WHERE chunk_index = 0
+  UNION ALL
+  SELECT c.document_id, c.chunk_index, f.batch + CASE WHEN c.is_table OR f.pages = 0 OR f.pages >= 6 OR f.chars + c.size > 10000 THEN 1 ELSE 0 END,
+    CASE WHEN c.is_table THEN 0 WHEN f.pages = 0 OR f.pages >= 6 OR f.chars + c.size > 10000 THEN 1 ELSE f.pages + 1 END,
+    CASE WHEN c.is_table THEN 0 WHEN f.pages = 0 OR f.pages >= 6 OR f.chars + c.size > 10000 THEN c.size ELSE f.chars + c.size END
+  FROM f JOIN c ON c.document_id = f.document_id AND c.chunk_index = f.chunk_index + 1)
+SELECT document_id, chunk_index, batch::INTEGER AS batch FROM f"""
+SQL["read_twice"] = f"""
+WITH {LINE_FACTS}, d AS (SELECT DISTINCT ON (fact_id) * FROM facts),
+r AS (SELECT *, contains(lower(entity || ' ' || attribute), 'metric 49') AS named, row_number() OVER (PARTITION BY document_id ORDER BY contains(lower(entity || ' ' || attribute), 'metric 49') DESC, confidence, fact_id) AS place FROM d)
+SELECT document_id, fact_id FROM r WHERE named OR place <= 5"""
+_AGREE = _PAIR.replace("a.fact_kind AS kind,", "a.fact_id, a.fact_kind AS kind,").replace(
+    "FROM facts a JOIN facts b ON a.fact_kind = b.fact_kind AND a.entity = b.entity AND a.attribute = b.attribute AND a.fact_id < b.fact_id",
+    "FROM one a JOIN facts b ON a.fact_kind = b.fact_kind AND split_part(a.fact_id, '-', 1) = split_part(b.fact_id, '-', 1) AND split_part(b.fact_id, '-', 2)::INTEGER % 2 = 0",
+)
+SQL["dual_reading"] = f"""
+WITH {LINE_FACTS}, one AS (SELECT DISTINCT ON (fact_id) * FROM facts WHERE split_part(fact_id, '-', 2)::INTEGER % 2 = 1), {_AGREE.replace("SELECT CASE", "SELECT fact_id, CASE", 1)},
+g AS (SELECT fact_id, bool_or(verdict LIKE 'corroborates/%') AS agrees FROM checked GROUP BY 1),
+s AS (SELECT coalesce(agrees, FALSE) AS agrees, status FROM one LEFT JOIN g USING (fact_id))
+SELECT agrees, CASE WHEN NOT agrees AND status IN ('verified', 'auto_corrected') THEN 'needs_review' ELSE status END AS status, count(*)::BIGINT AS n FROM s GROUP BY ALL"""
+SQL |= knowledge.SQL
