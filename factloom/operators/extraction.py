@@ -84,5 +84,6 @@ def ask(batches: DataFrame, constrained: DataFrame, free: DataFrame) -> DataFram
 
 def proposed(answered: DataFrame, fact: str) -> DataFrame:
     """A row for each fact of the answers that did not fail; fact is the schema of one. Elements that are no objects are null."""
-    facts = F.from_json(F.get_json_object("text", "$.facts"), f"array<struct<{fact}>>")
+    # Element by element, so that one that is no object does not take the others with it.
+    facts = F.transform(F.from_json(F.get_json_object("text", "$.facts"), "array<string>"), lambda e: F.from_json(e, fact))
     return answered.where("NOT failed").withColumn("fact", F.explode(facts)).drop("text", "error_type", "failed", "calls")
