@@ -10,7 +10,8 @@
 4. Candidates whose sizes and joint estimate allow a link are confirmed on their full sets.
 5. Components of these links. A large bucket that still holds more than one component is compared
    in blocks inside tasks, between components only, so that no link is lost and no list of pairs
-   is made; only confirmed links leave a task. Each pair is compared in the first band it shares.
+   is made; only confirmed links leave a task. Blocks of the bucket's largest component meet those of the
+   others, not each other. Each pair is compared in the first band it shares.
 6. Components of all links.
 
 Shingles are held as 64-bit hashes.
@@ -203,15 +204,25 @@ def near_rows(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame
         many.join(labels, many["rep"] == labels["node"], "left")
         .select("bucket", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
     )
-    open_buckets = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # The largest component of a bucket is its main one; its classes need not meet each other.
+    counted = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    parts = lambda c: F.ceil(c / BLOCK).cast("int")
+    open_buckets = (
+        counted.groupBy("bucket")
+        .agg(F.max(F.struct("m", (-F.col("comp")).alias("minus"))).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("comps"))
+        .where("comps > 1")
+        .select("bucket", (-F.col("top.minus")).alias("main"), parts(F.col("top.m")).alias("mains"), parts(F.col("all") - F.col("top.m")).alias("rests"))
+    )
+    is_main, h = F.col("comp") == F.col("main"), F.xxhash64("rep")
+    blk = F.when(is_main, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("rests"))).cast("int")
+    others = F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("rests") - 1)
     placed = (
         labelled.join(open_buckets, "bucket")
-        .withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", "rep", "comp", "blk", F.least("blk", "other").alias("block_a"), F.greatest("blk", "other").alias("block_b"))
+        .select("bucket", "rep", "comp", blk.alias("blk"), others.alias("others"))
         .join(reps.select("rep", "n", "regs"), "rep")
         .join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+        .withColumn("other", F.explode("others"))
+        .select("bucket", "rep", "comp", "blk", F.least("blk", "other").alias("block_a"), F.greatest("blk", "other").alias("block_b"), "n", "regs", "items")
     )
     second = placed.groupBy("bucket", "block_a", "block_b").applyInPandas(lambda f: block_links(f, percent), "u long, v long")
     final = components(first.union(second))
