@@ -1,16 +1,24 @@
 """Candidates: for each fact its nearest others of the same project and kind, by cosine distance.
 
-Facts of a group are dealt into blocks by hash; pairs of blocks meet in tasks of bounded size, where
+A group of up to BLOCK facts is solved in one task. A larger one is cut into the Voronoi cells of pivots,
+and a cell into parts of about BLOCK facts; two cells meet only if, by their pivots' distance and their radii,
+facts of them can be within the distance limit. Pairs of parts meet in tasks of bounded size, where
 distances are one matrix product, and only the nearest k of a fact leave a task. No pair is a row.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from factloom.sources.shared import durable
 
-BLOCK = 2048
+#: Facts of a part, about; pivots at most; and up to how many rows a table of groups or cells is broadcast.
+BLOCK, PIVOTS, MOST_BROADCAST = 2048, 128, 100_000
 NEAREST, MOST_DISTANT = 10, 0.45
 FAR_NEAREST, FAR_MOST_DISTANT = 3, 0.30
 
@@ -21,6 +29,52 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    """The frame, written once; marked for broadcast if its rows are few."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+
+
+def _dealt(rows: DataFrame, group: tuple[str, ...], reach: float | None) -> tuple[DataFrame, DataFrame]:
+    """rows that ask and rows that are found, each copied to the pairs of parts where it meets others.
+
+    reach is the largest distance of unit vectors that counts, None for any.
+    """
+    by, one = list(group), {"cell": F.lit(-1), "part": F.lit(0), "other_cell": F.lit(-1), "other_part": F.lit(0)}
+    large = _checked(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).withColumn("large", F.lit(True)))
+    if not large.count():
+        return rows.where("asks").withColumns(one), rows.where("found").withColumns(one)
+    marked = rows.join(large.drop("n"), by, "left")
+    small = marked.where("large IS NULL").drop("large").withColumns(one)
+    chosen = marked.where("large").orderBy(F.xxhash64("id"), "id").select("embedding").limit(PIVOTS).collect()
+    pivots = _unit(pd.Series([r["embedding"] for r in chosen]))
+
+    texts = {name for name, kind in rows.dtypes if kind == "string"}
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x = _unit(f["embedding"])
+                cell = (x @ pivots.T - (pivots**2).sum(axis=1) / 2).argmax(axis=1)
+                yield f.astype({c: object for c in f.columns if c in texts}).assign(cell=cell.astype("int32"), apart=np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1)))
+
+    kept = marked.where("large").drop("large")
+    placed = durable(kept.mapInPandas(place, StructType([*kept.schema.fields, StructField("cell", IntegerType()), StructField("apart", DoubleType())])))
+    cells = placed.groupBy(*by, "cell").agg(F.max("apart").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    apart = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+    between = F.get(F.from_json(F.lit(str(apart.ravel().tolist())), "array<double>"), F.col("cell") * len(pivots) + F.col("other_cell"))
+    met = cells.join(cells.select(*by, F.col("cell").alias("other_cell"), F.col("radius").alias("other_radius"), F.col("parts").alias("other_parts")), by)
+    if reach is not None:
+        met = met.where(between - F.col("radius") - F.col("other_radius") <= reach + 1e-9)
+    met = _checked(met.select(*by, "cell", "parts", "other_cell", "other_parts"))
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = placed.where("asks").join(met, [*by, "cell"]).withColumn("part", own("parts")).withColumn("other_part", every("other_parts"))
+    right = placed.where("found").withColumnRenamed("cell", "other_cell").join(met, [*by, "other_cell"]).withColumn("other_part", own("other_parts")).withColumn("part", every("parts"))
+    both = lambda side, named: small.where(named).unionByName(side.select(*small.columns))
+    return both(left, "asks"), both(right, "found")
+
+
 def nearest(facts: DataFrame, *, k: int = NEAREST, most: float | None = MOST_DISTANT, group: tuple[str, ...] = ("project_id", "fact_kind"), key: str = "fact_id", of: Column | None = None, among: Column | None = None) -> DataFrame:
     """group, fact, other, distance, rank: the k nearest, and of those the ones not over `most`.
 
@@ -30,16 +84,15 @@ def nearest(facts: DataFrame, *, k: int = NEAREST, most: float | None = MOST_DIS
     rows = facts.where(F.col("embedding").isNotNull()).select(
         *group, F.col(key).alias("id"), "embedding", (F.lit(True) if of is None else of).alias("asks"), (F.lit(True) if among is None else among).alias("found")
     )
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, list(group)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = dealt.where("asks").withColumn("row", F.col("block")).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = dealt.where("found").withColumn("col", F.col("block")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    kind, keys = dict(rows.dtypes), [*group, "row", "col"]
+    left, right = _dealt(rows, group, None if most is None else float(np.sqrt(2 * most)))
+    kind, keys = dict(rows.dtypes), [*group, "cell", "part", "other_cell", "other_part"]
     left, right = (side.select(*[F.col(c).alias(c) for c in (*keys, "id", "embedding")]) for side in (left, right))
 
+    none = pd.DataFrame({c: pd.Series([], dtype=object) for c in [*group, "fact", "other", "distance"]})
+
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in [*group, "fact", "other", "distance"]})
+            return none
         b = b.sort_values("id")
         apart, ids, out = 1 - _unit(a["embedding"]) @ _unit(b["embedding"]).T, b["id"].to_numpy(), []
         for fact, row in zip(a["id"], apart):
@@ -47,7 +100,8 @@ def nearest(facts: DataFrame, *, k: int = NEAREST, most: float | None = MOST_DIS
             near = np.argsort(row, kind="stable")[:k]
             near = near[np.isfinite(row[near])]
             out.append(pd.DataFrame({"fact": fact, "other": ids[near], "distance": row[near]}))
-        return pd.concat(out).assign(**{c: a[c].iat[0] for c in group})
+        best = pd.concat(out)
+        return best.assign(**{c: pd.Series([a[c].iat[0]] * len(best), best.index, object) for c in group}) if len(best) else none
 
     schema = ", ".join([*(f"{c} {kind[c]}" for c in group), f"fact {kind['id']}, other {kind['id']}, distance double"])
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)

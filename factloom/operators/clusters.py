@@ -1,9 +1,12 @@
 """Clusters: documents join the nearest cluster of their project in the order in which they arrive.
 
-The fold depends on that order, so a project is one group; its rows are embeddings only, and its
-state is the clusters' centres. Streams keep the same state between batches.
+The fold depends on that order, so a project's documents are read one after the other, sorted by
+Spark and in batches; what is held of a project is its clusters' centres and sizes. Streams keep the
+same state between batches.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,37 +22,51 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 class Fold:
-    """Centres and sizes of one project's clusters."""
+    """Centres (of length one) and sizes of one project's clusters."""
 
     def __init__(self, centres: list | None = None, sizes: list | None = None, join: float = JOIN):
-        self.centres, self.sizes, self.join = [np.asarray(c, float) for c in centres or []], list(sizes or []), join
+        self.sizes, self.join = list(sizes or []), join
+        self.table = np.array([_unit(np.asarray(c, float)) for c in centres], float) if centres else np.zeros((0, 0))
+
+    @property
+    def centres(self) -> list[np.ndarray]:
+        return list(self.table[: len(self.sizes)])
 
     def add(self, embedding) -> tuple[str, float, bool]:
         """Cluster, similarity and whether the document is off the project's domain."""
-        v = np.asarray(embedding, float)
-        near = [float(_unit(v) @ _unit(c)) for c in self.centres]
-        k = int(np.argmax(near)) if near else -1
-        if near and near[k] >= self.join:
-            self.centres[k] = _unit((self.centres[k] * self.sizes[k] + v) / (self.sizes[k] + 1))
+        v, n = np.asarray(embedding, float), len(self.sizes)
+        near = self.table[:n] @ _unit(v) if n else np.zeros(0)
+        k = int(near.argmax()) if n else -1
+        if n and near[k] >= self.join:
+            self.table[k] = _unit((self.table[k] * self.sizes[k] + v) / (self.sizes[k] + 1))
             self.sizes[k] += 1
-            return f"sc_{k + 1}", near[k], False
-        self.centres.append(_unit(v))
+            return f"sc_{k + 1}", float(near[k]), False
+        if n == len(self.table):
+            grown = np.zeros((max(8, 2 * n), len(v)))
+            if n:
+                grown[:n] = self.table
+            self.table = grown
+        self.table[n] = _unit(v)
         self.sizes.append(1)
-        return f"sc_{len(self.sizes)}", near[k] if near else 1.0, bool(near)
+        return f"sc_{n + 1}", float(near[k]) if n else 1.0, bool(n)
 
 
 def assign(documents: DataFrame, *, join: float = JOIN) -> DataFrame:
     """project_id, document_id, sub_cluster_id, similarity, off_domain; a document counts once."""
     kinds = dict(documents.dtypes)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state = Fold(join=join)
-        rows = rows.sort_values(["created_at", "document_id"])
-        out = [state.add(e) for e in rows["doc_embedding"]]
-        return rows[["project_id", "document_id"]].assign(sub_cluster_id=[o[0] for o in out], similarity=[o[1] for o in out], off_domain=[o[2] for o in out])
-
-    once = documents.where("doc_embedding IS NOT NULL").select("project_id", "document_id", "created_at", "doc_embedding").dropDuplicates(["project_id", "document_id"])
-    return once.groupBy("project_id").applyInPandas(
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        project, state = None, Fold(join=join)
+        for rows in frames:
+            out = []
+            for p, e in zip(rows["project_id"], rows["doc_embedding"]):
+                if p != project:
+                    project, state = p, Fold(join=join)
+                out.append(state.add(e))
+            yield rows[["project_id", "document_id"]].assign(sub_cluster_id=[o[0] for o in out], similarity=[o[1] for o in out], off_domain=[o[2] for o in out])
+
+    once = documents.where("doc_embedding IS NOT NULL AND project_id IS NOT NULL").select("project_id", "document_id", "created_at", "doc_embedding").dropDuplicates(["project_id", "document_id"])
+    return once.repartition("project_id").sortWithinPartitions("project_id", "created_at", "document_id").mapInPandas(
         fold, f"project_id {kinds['project_id']}, document_id {kinds['document_id']}, sub_cluster_id string, similarity double, off_domain boolean"
     )
 

@@ -5,6 +5,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.functions.text import ANCHORING_FROM, ANCHORING_TO, GROUNDING_DROPPED, GROUNDING_FROM, GROUNDING_TO, alnum_count, anchoring_form, grounding, grounding_form
 from factloom.sources.shared import durable
@@ -158,7 +159,7 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
     keyed = _checked(items.withColumn("_kind", kind).select("item_id", "_kind", first.alias("_key")))
     kinds = sorted(r["_kind"] for r in keyed.select("_kind").distinct().collect())
     form = grounding_form(F.coalesce("text", F.lit("")))
-    found = documents.sparkSession.createDataFrame([], documents.select("doc_id").schema.add("item_id", passages.schema["item_id"].dataType))
+    found = documents.sparkSession.createDataFrame([], StructType([documents.schema["doc_id"], passages.schema["item_id"]]))
     for k in kinds:
         windows = documents.select("doc_id", F.explode(_windows(form, k)).alias("_key"))
         found = found.union(windows.join(keyed.where(F.col("_kind") == k), "_key").select("doc_id", "item_id"))

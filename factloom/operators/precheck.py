@@ -11,7 +11,10 @@ from factloom.functions.periods import relation
 from factloom.functions.qualifiers import differing, significant
 from factloom.functions.text import norm
 from factloom.operators.normalise import by_dictionary, with_period, with_value
+from factloom.sources.shared import durable
 
+#: Facts of a block that meet in one part, about; and up to how many large blocks their sizes are broadcast.
+BLOCK, MOST_BROADCAST = 2000, 100_000
 CONCRETE = ("currency", "percent", "mass", "length", "area", "duration", "ratio")
 
 
@@ -80,14 +83,51 @@ def decide(a: Column, b: Column) -> Column:
     )
 
 
+def detail(a: Column, b: Column) -> Column:
+    """What the deciding rule of `decide` looked at, by name; empty where nothing but the reason is to be told."""
+    va, vb = a["value"], b["value"]
+    lies = relation(a["period"], b["period"])
+    differ = differing(a["qualifiers"], b["qualifiers"])
+    both = lambda name, x, y: (F.lit(f"{name}_a"), x.cast("string"), F.lit(f"{name}_b"), y.cast("string"))
+    # The map has a name for each value that is there.
+    told = lambda *parts: F.map_filter(F.create_map(*parts), lambda _, v: v.isNotNull())
+    stated = lambda q, side: F.transform(differ, lambda n: F.struct(F.concat(n, F.lit(side)).alias("key"), q[n].alias("value")))
+    ends = lambda i, side: (F.lit(f"low_{side}"), i["low"].cast("string"), F.lit(f"high_{side}"), i["high"].cast("string"))
+    return (
+        F.when(a["kind"] != b["kind"], told(*both("kind", a["kind"], b["kind"])))
+        .when(a["entity"] != b["entity"], told(*both("entity", a["entity"], b["entity"])))
+        .when(a["attribute"] != b["attribute"], told(*both("attribute", a["attribute"], b["attribute"])))
+        .when((lies == "disjoint") | lies.isin("a_contains_b", "b_contains_a", "overlap") | ((lies == "unknown") & (a["label"] != b["label"])), told(F.lit("relation"), lies, *both("period", a["label"], b["label"])))
+        .when(F.size(differ) > 0, F.map_from_entries(F.concat(stated(a["qualifiers"], "_a"), stated(b["qualifiers"], "_b"))))
+        .when(a["kind"] == "status", told(*both("state", va["state"], vb["state"])))
+        .when(a["kind"] == "qualitative", told(*both("text", va["text"], vb["text"])))
+        .when(va["dimension"] != vb["dimension"], told(*both("dimension", va["dimension"], vb["dimension"])))
+        .when((va["dimension"] == "currency") & (va["currency"] != vb["currency"]), told(*both("currency", va["currency"], vb["currency"])))
+        .otherwise(told(*ends(va["interval"], "a"), *ends(vb["interval"], "b"), *both("entity_resolved", a["resolved"], b["resolved"])))
+    )
+
+
 def pairs_in_blocks(facts: DataFrame, key: str = "fact_id") -> DataFrame:
     """Pairs a < b of facts with the same kind, entity, attribute and project, decided.
 
-    Other pairs are not comparable by the first three rules, so no outcome but that is lost.
+    Other pairs are not comparable by the first three rules, so no outcome but that is lost. Facts are
+    normalised once and kept; a block of many facts is cut into parts, and each pair of parts meets
+    apart, so that no block is one task.
     """
-    side = lambda s: comparable(facts).select(
-        F.col(key).alias(f"{key}_{s}"), F.col("cmp").alias(f"cmp_{s}"), "project_id", F.col("cmp.kind").alias("kind"), F.col("cmp.entity").alias("e"), F.col("cmp.attribute").alias("t")
+    block = ["project_id", "kind", "e", "t"]
+    ready = durable(
+        comparable(facts).select(F.col(key).alias("id"), "cmp", "project_id", F.col("cmp.kind").alias("kind"), F.col("cmp.entity").alias("e"), F.col("cmp.attribute").alias("t"))
     )
+    hot = durable(ready.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"))
+    many = hot.count()
+    if many:
+        parted = ready.join(F.broadcast(hot) if many <= MOST_BROADCAST else hot, block, "left").na.fill(1, ["parts"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    else:
+        parted = ready.withColumns({"parts": F.lit(1), "part": F.lit(0)})
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    of = lambda s: (F.col("id").alias(f"{key}_{s}"), F.col("cmp").alias(f"cmp_{s}"), *block)
+    left = parted.select(*of("a"), F.col("part").alias("row"), every.alias("col"))
+    right = parted.select(*of("b"), F.col("part").alias("col"), every.alias("row"))
     # The conditions are computed once, so that the rules read columns.
-    joined = side("a").join(side("b"), ["project_id", "kind", "e", "t"]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    joined = left.join(right, [*block, "row", "col"]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
     return joined.withColumn("check", decide(F.col("cmp_a"), F.col("cmp_b"))).select("project_id", f"{key}_a", f"{key}_b", "check.*")

@@ -184,3 +184,20 @@ def test_search(spark):
     chunks = spark.createDataFrame([(1, 0, "a" * 300 + " The Licence holds " + "b" * 300), (2, 0, "none")], "document_id int, chunk_index int, text string")
     (r,) = search.passages(chunks, "licence").collect()
     assert "The Licence holds" in r["snippet"] and len(r["snippet"]) < 380
+
+
+def test_cells_out_of_reach_do_not_meet(spark, monkeypatch):
+    rng = random.Random(9)
+    axis = lambda i: [1.0 if j == i % 6 else 0.0 for j in range(6)]
+    rows = [("p", "k", i, [x + rng.gauss(0, 0.02) for x in axis(i)]) for i in range(240)] + [("p", "j", 500 + i, axis(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "project_id string, fact_kind string, fact_id long, embedding array<double>")
+    found = lambda: {tuple(r) for r in candidates.nearest(df, k=4, most=0.2, of=F.col("fact_id") % 3 != 1, among=F.col("fact_id") != 7).select("fact", "other", "rank").collect()}
+    want = found()
+    monkeypatch.setattr(candidates, "BLOCK", 16)
+    monkeypatch.setattr(candidates, "PIVOTS", 24)
+    assert found() == want and len(want) > 500
+    monkeypatch.setattr(candidates, "MOST_BROADCAST", 0)
+    assert found() == want
+    named = df.select("project_id", "fact_kind", F.col("fact_id").alias("id"), "embedding", F.lit(True).alias("asks"), F.lit(True).alias("found"))
+    copies = lambda reach: candidates._dealt(named, ("project_id", "fact_kind"), reach)[0].count()
+    assert copies(0.6) < 0.4 * copies(None)
