@@ -38,7 +38,7 @@ from factloom.llm.graph import components
 
 #: Estimates under it are not confirmed; at 0.8 an estimate has a deviation of 0.032.
 LOWEST_ESTIMATE = 0.66
-SMALL, BLOCK = 32, 512
+SMALL, BLOCK = 32, 1024
 #: Classes of more rows than HOT_ROWS are joined by broadcast: the largest of them, HOT_CLASSES rows of some dozen bytes at most.
 #: No class that is left to the shuffle then holds more than one in HOT_CLASSES of all rows.
 HOT_ROWS, HOT_CLASSES = 1000, 20_000
@@ -218,11 +218,10 @@ def near_rows(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame
     others = F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("rests") - 1)
     placed = (
         labelled.join(open_buckets, "bucket")
-        .select("bucket", "rep", "comp", blk.alias("blk"), others.alias("others"))
+        .select("bucket", "rep", "comp", blk.alias("blk"), F.explode(others).alias("other"))
+        .select("bucket", "rep", "comp", "blk", F.least("blk", "other").alias("block_a"), F.greatest("blk", "other").alias("block_b"))
         .join(reps.select("rep", "n", "regs"), "rep")
         .join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
-        .withColumn("other", F.explode("others"))
-        .select("bucket", "rep", "comp", "blk", F.least("blk", "other").alias("block_a"), F.greatest("blk", "other").alias("block_b"), "n", "regs", "items")
     )
     second = placed.groupBy("bucket", "block_a", "block_b").applyInPandas(lambda f: block_links(f, percent), "u long, v long")
     final = components(first.union(second))
