@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from factloom.functions.binding import let
 from factloom.functions.text import ANCHORING_FROM, ANCHORING_TO, GROUNDING_DROPPED, GROUNDING_FROM, GROUNDING_TO, alnum_count, anchoring_form, grounding, grounding_form
 from factloom.sources.shared import durable
 
@@ -134,10 +135,15 @@ def _checked(df: DataFrame) -> DataFrame:
 
 def _windows(form: Column, kind: int) -> Column:
     """Hashes of all windows of a grounding form: of KEY_WORDS words (kind 0), or of that many characters."""
-    units, size = (F.split(form, " "), KEY_WORDS) if kind == 0 else (F.split(form, ""), kind)
-    many = F.size(units) - size + 1
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.xxhash64(F.slice(units, i, F.lit(size))))
-    return F.when(many > 0, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+    size = KEY_WORDS if kind == 0 else kind
+
+    def hashed(units: Column) -> Column:
+        many = F.size(units) - size + 1
+        hashes = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.xxhash64(F.slice(units, i, F.lit(size))))
+        return F.when(many > 0, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+
+    # Bound, as the form would otherwise be made anew for each window.
+    return let(F.split(form, " " if kind == 0 else ""), hashed)
 
 
 def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
