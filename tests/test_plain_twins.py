@@ -132,3 +132,18 @@ def test_shown_forms(spark):
 def test_command_line(spark, sf, tmp_path):
     cli.main(["retried_documents", sf, "--out", str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    from factloom.sources.shared import shared_folder
+
+    session = lambda master, folder: N(sparkContext=N(master=master, applicationId="a"), conf=N(get=lambda key, default: folder or default))
+    assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
+    assert shared_folder(session("local[4]", None)) == shared_folder(session("local[4]", None))
