@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, dedup, knn, langid, mixing, packing, quality, secrets, token_counts, urls
+from factloom.llm import chat, dedup, knn, langid, mixing, packing, pieces, quality, secrets, token_counts, urls
 from factloom.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -152,6 +152,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sentencepiece ids and what they decode to, as digests."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, keep=False)
+    return pieces.decode(coded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_knn": op2_knn,
@@ -163,5 +175,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_pieces": op11_pieces,
 }
 SQL = {"op2_knn": OP2_SQL, "op3_minhash": OP3_SQL, "op4_chat": OP4_SQL}
