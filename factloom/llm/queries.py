@@ -1,9 +1,11 @@
 """The queries of the operators of this subpackage, with the SQL of those that SQL can express."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, dedup, knn, langid, mixing, packing, pieces, quality, secrets, token_counts, urls
+from factloom.llm import chat, clusters, dedup, knn, langid, mixing, negatives, packing, pieces, quality, secrets, token_counts, urls
 from factloom.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -164,6 +166,64 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five hard negatives of every anchor and positive; the labels of every seventh vector are moved by one."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(negatives.whole_vectors(rows), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = x.label AS same, x.vec_id, list_inner_product(a.e, x.e)::BIGINT AS score
+  FROM v a JOIN v x ON a.vec_id % 100 = 0 AND a.vec_id <> x.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds, with the inertias and a digest of its centroid."""
+    placed, centres = clusters.cluster(clusters.whole_vectors(table(spark, sf_dir, "embeddings")))
+    of = clusters.inertias(placed)
+    longest = 2**63 - 1
+    every = min(sum(of.values()), longest)
+    rows = [(c, min(n, longest), every, hashlib.sha256(",".join(map(str, centres[c])).encode()).hexdigest()) for c, n in of.items()]
+    told = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return placed.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # a row for each centroid
+
+
+def _op13_sql(k: int = 8, rounds: int = 10) -> str:
+    """Assigning and moving, one after the other."""
+    steps = [
+        f"""WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, e) - 1)::INTEGER AS c, e FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT {k}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, e, min(m) AS m FROM (
+    SELECT v.vec_id, v.e, {{'d': list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c.c}} AS m FROM v, c{r} c)
+  GROUP BY vec_id, e)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.e, o.e) AS e FROM c{r} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM (
+      SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY c, i)
+    GROUP BY c) n USING (c))""")
+    last = f"""
+SELECT a.vec_id, a.m.c AS cluster, a.m.d AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.c))::BIGINT AS cluster_inertia, (sum(a.m.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.m.c"""
+    return ",\n".join(steps) + last
+
+
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_knn": op2_knn,
@@ -176,5 +236,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
     "op11_pieces": op11_pieces,
+    "op12_negatives": op12_negatives,
+    "op13_clusters": op13_clusters,
 }
-SQL = {"op2_knn": OP2_SQL, "op3_minhash": OP3_SQL, "op4_chat": OP4_SQL}
+SQL = {"op2_knn": OP2_SQL, "op3_minhash": OP3_SQL, "op4_chat": OP4_SQL, "op12_negatives": OP12_SQL, "op13_clusters": _op13_sql()}
