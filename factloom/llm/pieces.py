@@ -20,10 +20,12 @@ library's. Other columns stay, but for those of the names that are added. No row
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -33,7 +35,7 @@ from factloom.llm.common import unpacked
 MARKER = "▁"
 CHUNK = re.compile(f"{MARKER}+[^{MARKER}]*")
 #: Rows of a batch that are encoded together, characters of the table, and of a chunk that it keeps.
-ROWS, MOST, LONGEST = 256, 50_000_000, 1_000
+ROWS, MOST, LONGEST = 256, 8_000_000, 1_000
 
 
 def crosses(pieces: list[str]) -> list[str]:
@@ -43,7 +45,7 @@ def crosses(pieces: list[str]) -> list[str]:
 
 
 class ChunkTable:
-    """Ids of texts as little-endian 32-bit bytes, over the table of distinct chunks."""
+    """Ids of texts as bytes of 32-bit integers, over the table of distinct chunks."""
 
     def __init__(self, path: str, most: int = MOST, longest: int = LONGEST):
         import sentencepiece
@@ -57,7 +59,7 @@ class ChunkTable:
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<i4").tobytes()
+        return array("i", ids).tobytes()
 
     def _segment(self, chunks: list[str]) -> dict[str, bytes | None]:
         """Ids of chunks; the library puts the first marker back. None where the normaliser changes the chunk."""
@@ -93,7 +95,7 @@ def chunk_table(path: str) -> ChunkTable:
 
 def _lists(raws: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *(len(r) // 4 for r in raws)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raws), "<i4"), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raws), np.int32), pa.int32()))
 
 
 def _mapped(df: DataFrame, column: str, added: str, kind, make, keep: bool) -> DataFrame:
@@ -121,6 +123,11 @@ def decode(docs: DataFrame, model: str, *, ids: str = "ids", text: str = "decode
 
     def make(lists: pa.ListArray) -> pa.Array:
         back = chunk_table(model).model.decode
-        return pa.array([back([i for i in x if i is not None]) if x else "" for x in lists.to_pylist()], pa.string())
+        if lists.flatten().null_count:
+            found = [[i for i in x or [] if i is not None] for x in lists.to_pylist()]
+        else:
+            flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+            found = (flat[a:b].tolist() for a, b in zip(ends, ends[1:]))
+        return pa.array([back(ids) if ids else "" for ids in found], pa.string())
 
     return _mapped(docs, ids, text, StringType(), make, keep)

@@ -73,6 +73,10 @@ def test_columns_nulls_and_clashes(spark, library):
     assert pieces.encode(docs, MODEL, keep=False).columns == ["doc_id", "_given.a", "ids"]
     nulls = spark.createDataFrame([(1, None)], "k int, ids array<int>")
     assert pieces.decode(nulls, MODEL).first()["decoded"] == ""
+    some = spark.createDataFrame([(1, None), (2, library.encode("a b")), (3, []), (4, [*library.encode("c d")])], "k int, ids array<int>").coalesce(1)
+    assert [r["decoded"] for r in pieces.decode(some, MODEL).orderBy("k").collect()] == ["", "a b", "", "c d"]
+    holes = some.withColumn("ids", F.concat(F.array(F.lit(None).cast("int")), "ids"))
+    assert [r["decoded"] for r in pieces.decode(holes, MODEL).orderBy("k").collect()] == ["", "a b", "", "c d"]
 
 
 def test_query_equals_the_library(spark, library):
