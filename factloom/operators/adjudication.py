@@ -73,6 +73,11 @@ def verdicts(pairs: DataFrame, answers: DataFrame, *, final: bool = False) -> Da
     )
 
 
+def _is_object(text: str) -> Column:
+    read = F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT"))
+    return F.coalesce(read & F.endswith(strip(F.col(text)), F.lit("}")), F.lit(False))  # what follows an object is not read
+
+
 def _entry(**given: Column) -> Column:
     names = [f.split(":")[0] for f in ENTRY.removeprefix("struct<").removesuffix(">").split(",")]
     return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).cast(ENTRY)
@@ -83,15 +88,16 @@ def reconcile(pairs: DataFrame, steps: DataFrame, results: DataFrame, final: Dat
 
     steps are (fact_id_a, fact_id_b, step, text, error_type), what a planner says at steps 1 to `most`; results are
     (tool, query, fact_id, output), what the tools give. The look ends with the first step that finishes, fails, or
-    names no known tool; a call that gives nothing counts as a call. Then final, as the answers of verdicts, decides.
+    names no known tool; a text that is no JSON object fails; a call that gives nothing counts as a call. Then final, as
+    the answers of verdicts, decides.
     """
     keys = list(PAIR)
     asked = pairs.select(*PAIR).distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    said = steps.select(*PAIR, F.col("step").cast("int").alias("step"), F.from_json("text", DECISION).alias("d"), F.col("error_type").alias("e"), F.lit(True).alias("there"))
+    said = steps.select(*PAIR, F.col("step").cast("int").alias("step"), F.from_json("text", DECISION).alias("d"), F.col("error_type").alias("e"), _is_object("text").alias("object"), F.lit(True).alias("there"))
     d = F.col("d")
     calls = F.coalesce(d["action"] == "use_tool", F.lit(False))
     known = F.coalesce(d["tool"].isin(*TOOLS), F.lit(False))
-    error = F.when(F.col("there").isNull(), "missing").when(F.col("e").isNotNull(), F.substring("e", 1, 200)).when(calls & ~known, F.concat(F.lit("invalid tool "), F.coalesce(d["tool"], F.lit("none"))))
+    error = F.when(F.col("there").isNull(), "missing").when(F.col("e").isNotNull(), F.substring("e", 1, 200)).when(~F.col("object"), "no JSON object").when(calls & ~known, F.concat(F.lit("invalid tool "), F.coalesce(d["tool"], F.lit("none"))))
     planned = asked.join(said, [*keys, "step"], "left").withColumn("error", error).withColumn("ends", F.col("error").isNotNull() | ~calls)
     before = W.partitionBy(*keys).orderBy("step").rowsBetween(W.unboundedPreceding, -1)
     taken = planned.withColumn("over", F.coalesce(F.max(F.col("ends").cast("int")).over(before), F.lit(0))).where("over = 0")

@@ -4,6 +4,9 @@ A group of up to BLOCK facts is solved in one task. A larger one is cut into the
 and a cell into parts of about BLOCK facts; two cells meet only if, by their pivots' distance and their radii,
 facts of them can be within the distance limit. Pairs of parts meet in tasks of bounded size, where
 distances are one matrix product, and only the nearest k of a fact leave a task. No pair is a row.
+
+Embeddings that are null or empty, or hold null or non-finite components, take no part; facts meet only those whose
+embedding is as long as theirs. The same key in two groups names two facts.
 """
 
 from collections.abc import Iterator
@@ -46,17 +49,23 @@ def _dealt(rows: DataFrame, group: tuple[str, ...], reach: float | None) -> tupl
         return rows.where("asks").withColumns(one), rows.where("found").withColumns(one)
     marked = rows.join(large.drop("n"), by, "left")
     small = marked.where("large IS NULL").drop("large").withColumns(one)
-    chosen = marked.where("large").orderBy(F.xxhash64("id"), "id").select("embedding").limit(PIVOTS).collect()
-    pivots = _unit(pd.Series([r["embedding"] for r in chosen]))
+    # Pivots of each length of embeddings (there are few lengths), padded to the longest; a fact goes to one of its own length.
+    lengths = [r[0] for r in large.select("_length").distinct().collect()]
+    chosen = [r["embedding"] for n in sorted(lengths) for r in marked.where(F.col("large") & (F.col("_length") == n)).orderBy(F.xxhash64("id"), "id").select("embedding").limit(PIVOTS).collect()]
+    size = np.array([len(e) for e in chosen])
+    pivots = np.zeros((len(chosen), size.max()))
+    for n in lengths:
+        pivots[size == n, :n] = _unit(pd.Series([e for e in chosen if len(e) == n]))
 
     texts = {name for name, kind in rows.dtypes if kind == "string"}
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                x = _unit(f["embedding"])
-                cell = (x @ pivots.T - (pivots**2).sum(axis=1) / 2).argmax(axis=1)
-                yield f.astype({c: object for c in f.columns if c in texts}).assign(cell=cell.astype("int32"), apart=np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1)))
+            for n, g in f.groupby("_length"):
+                x, own = _unit(g["embedding"]), np.nonzero(size == n)[0]
+                at = pivots[own, :n]
+                near = (x @ at.T - (at**2).sum(axis=1) / 2).argmax(axis=1)
+                yield g.astype({c: object for c in g.columns if c in texts}).assign(cell=own[near].astype("int32"), apart=np.sqrt(((x - at[near]) ** 2).sum(axis=1)))
 
     kept = marked.where("large").drop("large")
     placed = durable(kept.mapInPandas(place, StructType([*kept.schema.fields, StructField("cell", IntegerType()), StructField("apart", DoubleType())])))
@@ -78,11 +87,12 @@ def _dealt(rows: DataFrame, group: tuple[str, ...], reach: float | None) -> tupl
 def nearest(facts: DataFrame, *, k: int = NEAREST, most: float | None = MOST_DISTANT, group: tuple[str, ...] = ("project_id", "fact_kind"), key: str = "fact_id", of: Column | None = None, among: Column | None = None) -> DataFrame:
     """group, fact, other, distance, rank: the k nearest, and of those the ones not over `most`.
 
-    `of` and `among` choose the facts that ask and those that are found. Facts without an
-    embedding take no part. Ties go to the smaller key.
+    `of` and `among` choose the facts that ask and those that are found. Ties go to the smaller key.
     """
-    rows = facts.where(F.col("embedding").isNotNull()).select(
-        *group, F.col(key).alias("id"), "embedding", (F.lit(True) if of is None else of).alias("asks"), (F.lit(True) if among is None else among).alias("found")
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    named, group = group, (*group, "_length")
+    rows = facts.where((F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(True))).select(
+        *named, F.size("embedding").alias("_length"), F.col(key).alias("id"), "embedding", (F.lit(True) if of is None else of).alias("asks"), (F.lit(True) if among is None else among).alias("found")
     )
     left, right = _dealt(rows, group, None if most is None else float(np.sqrt(2 * most)))
     kind, keys = dict(rows.dtypes), [*group, "cell", "part", "other_cell", "other_part"]
@@ -105,6 +115,6 @@ def nearest(facts: DataFrame, *, k: int = NEAREST, most: float | None = MOST_DIS
 
     schema = ", ".join([*(f"{c} {kind[c]}" for c in group), f"fact {kind['id']}, other {kind['id']}, distance double"])
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
-    rank = F.row_number().over(W.partitionBy("fact").orderBy("distance", "other"))
-    best = met.withColumn("rank", rank).where(F.col("rank") <= k)
+    rank = F.row_number().over(W.partitionBy(*group, "fact").orderBy("distance", "other"))
+    best = met.withColumn("rank", rank).where(F.col("rank") <= k).drop("_length")
     return best if most is None else best.where(F.col("distance") <= most)

@@ -1,6 +1,11 @@
 """The precheck: a rule table that decides about a pair of facts without a model.
 
 Facts are normalised once each, before pairs are made; the rules then only compare columns.
+
+Most pairs of a block do not meet in time. `open_pairs` never makes them: periods are laid over slots of time, facts meet in
+the first slot that both are in, and what cannot be compared is left out by the join itself. `outcome_counts` makes no pair of
+facts at all: facts that the rules cannot tell apart but for their interval are one class with a number, classes
+meet by slots, and pairs of intervals that lie apart are counted by running totals over their ends.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +16,14 @@ from factloom.functions.periods import relation
 from factloom.functions.qualifiers import differing, significant
 from factloom.functions.text import norm
 from factloom.operators.normalise import by_dictionary, with_period, with_value
+from factloom.operators.running import running
 from factloom.sources.shared import durable
 
 #: Facts of a block that meet in one part, about; and up to how many large blocks their sizes are broadcast.
 BLOCK, MOST_BROADCAST = 2000, 100_000
+#: Days of a slot of time; a period is in each slot that it touches.
+SLOT = 120
+BLOCKED = ["project_id", "kind", "e", "t"]
 CONCRETE = ("currency", "percent", "mass", "length", "area", "duration", "ratio")
 
 
@@ -107,27 +116,145 @@ def detail(a: Column, b: Column) -> Column:
     )
 
 
+def _ready(facts: DataFrame, key: str) -> DataFrame:
+    """id, cmp and the block of each fact, normalised and kept."""
+    return durable(
+        comparable(facts).select(F.col(key).alias("id"), "cmp", "project_id", F.col("cmp.kind").alias("kind"), F.col("cmp.entity").alias("e"), F.col("cmp.attribute").alias("t"))
+    )
+
+
+def _met(left: DataFrame, right: DataFrame, block: list[str], sides: tuple[str, str]) -> DataFrame:
+    """Rows of left and right that share a block; a block of many rows is cut into parts, and each pair of parts meets apart."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def parted(rows: DataFrame, own: str, named: str, side: str) -> DataFrame:
+        hot = durable(rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(named)).where(F.col(named) > 1))
+        many = hot.count()
+        cut = rows.join(F.broadcast(hot) if many <= MOST_BROADCAST else hot, block, "left").na.fill(1, [named]) if many else rows.withColumn(named, F.lit(1))
+        kept = [F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in block]
+        return cut.select(*block, *kept, F.pmod(F.xxhash64("id"), F.col(named)).cast("int").alias(own), named), hot if many else None
+
+    a, hot_a = parted(left, "row", "rows", sides[0])
+    b, hot_b = parted(right, "col", "cols", sides[1])
+    if hot_b is not None:
+        a = a.join(hot_b, block, "left").na.fill(1, ["cols"])
+    if hot_a is not None:
+        b = b.join(hot_a, block, "left").na.fill(1, ["rows"])
+    cols, rows = (every("cols") if hot_b is not None else F.lit(0)), (every("rows") if hot_a is not None else F.lit(0))
+    return a.withColumn("col", cols).drop("rows", "cols").join(b.withColumn("row", rows).drop("rows", "cols"), [*block, "row", "col"]).drop("row", "col")
+
+
 def pairs_in_blocks(facts: DataFrame, key: str = "fact_id") -> DataFrame:
-    """Pairs a < b of facts with the same kind, entity, attribute and project, decided.
+    """Pairs a < b of facts with the same kind, entity, attribute and project, decided, those that are not comparable too.
 
-    Other pairs are not comparable by the first three rules, so no outcome but that is lost. Facts are
-    normalised once and kept; a block of many facts is cut into parts, and each pair of parts meets
-    apart, so that no block is one task.
+    Other pairs are not comparable by the first three rules, so no outcome but that is lost.
     """
-    block = ["project_id", "kind", "e", "t"]
-    ready = durable(
-        comparable(facts).select(F.col(key).alias("id"), "cmp", "project_id", F.col("cmp.kind").alias("kind"), F.col("cmp.entity").alias("e"), F.col("cmp.attribute").alias("t"))
-    )
-    hot = durable(ready.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"))
-    many = hot.count()
-    if many:
-        parted = ready.join(F.broadcast(hot) if many <= MOST_BROADCAST else hot, block, "left").na.fill(1, ["parts"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    else:
-        parted = ready.withColumns({"parts": F.lit(1), "part": F.lit(0)})
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    of = lambda s: (F.col("id").alias(f"{key}_{s}"), F.col("cmp").alias(f"cmp_{s}"), *block)
-    left = parted.select(*of("a"), F.col("part").alias("row"), every.alias("col"))
-    right = parted.select(*of("b"), F.col("part").alias("col"), every.alias("row"))
+    ready = _ready(facts, key)
     # The conditions are computed once, so that the rules read columns.
-    joined = left.join(right, [*block, "row", "col"]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
-    return joined.withColumn("check", decide(F.col("cmp_a"), F.col("cmp_b"))).select("project_id", f"{key}_a", f"{key}_b", "check.*")
+    joined = _met(ready, ready, BLOCKED, ("a", "b")).where("id_a < id_b")
+    return joined.withColumn("check", decide(F.col("cmp_a"), F.col("cmp_b"))).select("project_id", F.col("id_a").alias(f"{key}_a"), F.col("id_b").alias(f"{key}_b"), "check.*")
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """rows once for each slot of time that their period touches; first is the first of them."""
+    at = lambda c: F.floor(F.datediff(F.col(f"cmp.period.{c}"), F.lit("1970-01-01").cast("date")) / SLOT)
+    return rows.withColumn("first", at("start_date")).withColumn("slot", F.explode(F.sequence(F.col("first"), F.greatest("first", at("end_date")))))
+
+
+def _dated() -> Column:
+    return F.col("cmp.period.start_date").isNotNull() & F.col("cmp.period.end_date").isNotNull()
+
+
+def _not_apart(a: str, b: str) -> Column:
+    """In the first slot that both are in: their periods meet."""
+    day = lambda s, c: F.col(f"cmp_{s}.period.{c}")
+    return (F.col("slot") == F.greatest(f"first_{a}", f"first_{b}")) & (day(a, "start_date") <= day(b, "end_date")) & (day(b, "start_date") <= day(a, "end_date"))
+
+
+def open_pairs(facts: DataFrame, key: str = "fact_id") -> DataFrame:
+    """The pairs of pairs_in_blocks that corroborate or need adjudication; no other pair becomes a row."""
+    ready = _ready(facts, key)
+    slots = _slots(ready.where(_dated()))
+    dated = _met(slots, slots, [*BLOCKED, "slot"], ("a", "b")).where((F.col("id_a") < F.col("id_b")) & _not_apart("a", "b")).select("project_id", "id_a", "cmp_a", "id_b", "cmp_b")
+    # A period that is not known meets every other.
+    undated = _met(ready.where(~_dated()), ready, BLOCKED, ("u", "x"))
+    u, x = F.struct(F.col("id_u").alias("id"), F.col("cmp_u").alias("cmp")), F.struct(F.col("id_x").alias("id"), F.col("cmp_x").alias("cmp"))
+    known = F.col("cmp_x.period.start_date").isNotNull() & F.col("cmp_x.period.end_date").isNotNull()
+    up = F.col("id_u") < F.col("id_x")
+    told = undated.where(up | (known & (F.col("id_x") < F.col("id_u")))).select("project_id", F.when(up, u).otherwise(x).alias("p"), F.when(up, x).otherwise(u).alias("q"))
+    both = dated.unionByName(told.select("project_id", F.col("p.id").alias("id_a"), F.col("p.cmp").alias("cmp_a"), F.col("q.id").alias("id_b"), F.col("q.cmp").alias("cmp_b")))
+    checked = both.withColumn("check", decide(F.col("cmp_a"), F.col("cmp_b"))).where("check.outcome <> 'not_comparable'")
+    return checked.select("project_id", F.col("id_a").alias(f"{key}_a"), F.col("id_b").alias(f"{key}_b"), "check.*")
+
+
+def _intervals_apart(ready: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, apart: how many pairs of facts of the two classes of each pair have intervals without a common value.
+
+    Of two such intervals one ends before the other begins, so these are, for each begin, the ends before it. At one
+    value an open end comes before a closed begin, that before a closed end, and that before an open begin.
+    """
+    ends = ready.where("cmp.value.comparable").join(classes.select(*_CLASS_KEYS, "c"), _CLASS_KEYS).select("c", F.col("cmp.value.interval").alias("i"))
+    place = F.explode(
+        F.array(
+            F.struct(F.col("i.low").alias("at"), F.when(F.col("i.low_closed"), 1).otherwise(3).alias("turn"), F.lit(0).alias("ends"), F.lit(1).alias("begins")),
+            F.struct(F.col("i.high").alias("at"), F.when(F.col("i.high_closed"), 2).otherwise(0).alias("turn"), F.lit(1).alias("ends"), F.lit(0).alias("begins")),
+        )
+    )
+    counted = ends.select("c", place.alias("p")).groupBy("c", "p.at", "p.turn").agg(F.sum("p.ends").alias("ends"), F.sum("p.begins").alias("begins"))
+    sides = pairs.select("pair", F.explode(F.array_distinct(F.array("c_a", "c_b"))).alias("c"), "c_a", "c_b")
+    side = lambda c, s: F.when(F.col("c") == F.col(f"c_{s}"), F.col(c)).otherwise(0)
+    events = counted.join(sides, "c").groupBy("pair", "at", "turn").agg(
+        F.sum(side("ends", "a")).alias("ends_a"), F.sum(side("begins", "a")).alias("begins_a"), F.sum(side("ends", "b")).alias("ends_b"), F.sum(side("begins", "b")).alias("begins_b"),
+        F.first(F.col("c_a") == F.col("c_b")).alias("same"),
+    )
+    passed = running(events, ["pair"], ["at", "turn"], {"passed_a": "ends_a", "passed_b": "ends_b"})
+    return passed.groupBy("pair").agg(F.sum(F.col("begins_b") * F.col("passed_a") + F.when(F.col("same"), 0).otherwise(F.col("begins_a") * F.col("passed_b"))).alias("apart"))
+
+
+#: What tells facts of a block apart for the rules, but for the interval.
+_CLASS = {
+    "start": "cmp.period.start_date", "end": "cmp.period.end_date", "label": "cmp.label", "dimension": "cmp.value.dimension", "currency": "cmp.value.currency",
+    "state": "cmp.value.state", "comparable": "cmp.value.comparable", "resolved": "cmp.resolved",
+}
+_CLASS_KEYS = [*BLOCKED, "class"]
+
+
+def outcome_counts(facts: DataFrame, key: str = "fact_id") -> DataFrame:
+    """project_id, outcome, reason, n: the pairs of pairs_in_blocks, counted, without a row for any of them.
+
+    Keys are unique in a project.
+    """
+    stated = F.array_sort(F.map_entries("cmp.qualifiers"))
+    named = F.struct(*[F.col(c).alias(n) for n, c in _CLASS.items()], stated.alias("qualifiers"))
+    # A string, so that classes with nulls are equal too.
+    ready = durable(_ready(facts, key).withColumn("class", F.sha2(F.to_json(F.struct(named.alias("k"))), 256)))
+    # Any interval will do for the rules up to the last one, which is counted apart.
+    point = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(True).alias("low_closed"), F.lit(True).alias("high_closed"))
+    one = F.any_value("cmp").alias("cmp")
+    classes = ready.groupBy(*_CLASS_KEYS).agg(F.count(F.lit(1)).alias("n"), one)
+    classes = durable(classes.withColumn("cmp", F.col("cmp").withField("value.interval", point)).withColumn("c", F.monotonically_increasing_id()).withColumn("id", F.col("c")))
+    slots = _slots(classes.where(_dated()))
+    columns = [*BLOCKED, *(f"{c}_{s}" for s in "ab" for c in ("c", "n", "cmp"))]
+    dated = _met(slots, slots, [*BLOCKED, "slot"], ("a", "b")).where((F.col("c_a") < F.col("c_b")) & _not_apart("a", "b")).select(*columns)
+    undated = _met(classes.where(~_dated()), classes, BLOCKED, ("a", "b"))
+    known = F.col("cmp_b.period.start_date").isNotNull() & F.col("cmp_b.period.end_date").isNotNull()
+    undated = undated.where((F.col("c_a") < F.col("c_b")) | (known & (F.col("c_a") != F.col("c_b")))).select(*columns)
+    inside = classes.where("n > 1").select(*BLOCKED, *[F.col(c).alias(f"{c}_{s}") for s in "ab" for c in ("c", "n", "cmp")])
+    weight = F.when(F.col("c_a") == F.col("c_b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    met = dated.unionByName(undated).unionByName(inside).withColumn("check", decide(F.col("cmp_a"), F.col("cmp_b")))
+    by_value = (F.col("kind") == "quantitative") & F.col("check.reason").isin("intervals overlap", "an entity was inferred, not stated")
+    met = durable(met.select("project_id", "c_a", "c_b", weight.alias("n"), "check.outcome", "check.reason", by_value.alias("by_value")).withColumn("pair", F.monotonically_increasing_id()))
+    apart = _intervals_apart(ready, classes, met.where("by_value")).withColumnRenamed("apart", "_apart")
+    split = met.where("by_value").join(apart, "pair", "left").withColumn("_apart", F.coalesce("_apart", F.lit(0)))
+    parts = [
+        met.where("NOT by_value").select("project_id", "outcome", "reason", "n"),
+        split.select("project_id", "outcome", "reason", (F.col("n") - F.col("_apart")).alias("n")),
+        split.select("project_id", F.lit("needs_adjudication").alias("outcome"), F.lit("intervals do not overlap").alias("reason"), F.col("_apart").alias("n")),
+        # All pairs, less those that meet: the rest is apart in time.
+        classes.groupBy(*BLOCKED).agg(F.sum("n").alias("n")).select("project_id", F.lit("not_comparable").alias("outcome"), F.lit("periods do not meet").alias("reason"), F.expr("n * (n - 1) div 2").alias("n")),
+        met.select("project_id", F.lit("not_comparable").alias("outcome"), F.lit("periods do not meet").alias("reason"), (-F.col("n")).alias("n")),
+    ]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy("project_id", "outcome", "reason").agg(F.sum("n").alias("n")).where("n > 0")

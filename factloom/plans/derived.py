@@ -172,3 +172,18 @@ def vector_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.lit("p").alias("project_id"), F.col("vec_id").alias("fact_id"), F.col("label").alias("fact_kind"), (F.col("vec_id") % 20).alias("document_id"), "embedding", (F.col("vec_id") % 20 * 50 + F.floor(F.col("vec_id") / 20) % 50).cast("int").alias("chunk_index")
     )
+
+
+def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact for each embedding, in three projects; each id names a fact in all of them. Some embeddings are null, cut short, or hold a null."""
+    c, e = F.col, F.col("embedding")
+    odd = F.when(c("vec_id") % 41 == 7, F.lit(None)).when(c("vec_id") % 29 == 3, F.slice(e, 1, 8)).when(c("vec_id") % 37 == 5, F.concat(F.array(F.lit(None).cast("float")), F.slice(e, 2, 63))).otherwise(e)
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("p"), (c("vec_id") % 3).cast("string")).alias("project_id"), F.floor(c("vec_id") / 3).alias("fact_id"), (c("label") % 5).alias("fact_kind"), odd.alias("embedding")
+    )
+
+
+PROJECT_FACTS = """
+pf AS (
+  SELECT 'p' || (vec_id % 3) AS project_id, vec_id // 3 AS fact_id, label % 5 AS fact_kind,
+    CASE WHEN vec_id % 29 = 3 THEN embedding[1:8] ELSE embedding END::DOUBLE[] AS e FROM embeddings WHERE vec_id % 41 <> 7 AND (vec_id % 37 <> 5 OR vec_id % 29 = 3))"""

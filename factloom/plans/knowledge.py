@@ -163,14 +163,14 @@ def page_figures(spark: SparkSession, d: str) -> DataFrame:
 # Evidence.
 
 _CUT = """
-q AS (SELECT document_id, page, t, page % 4 AS rule, substr(t, length(t) // 4 + 1, length(t) // 2) AS cut FROM (SELECT document_id, page, trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS t FROM pg) WHERE length(t) >= 12),
+q AS (SELECT document_id, page, t, page % 4 AS rule, substr(t, length(t) // 4 + 1, length(t) // 2) AS cut FROM (SELECT document_id, page, trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS t FROM pg) WHERE length(t) >= 1),
 w AS (SELECT *, string_split(trim(cut), ' ') AS ws FROM q)"""
 
 
 def _quoted(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     """Pages with the middle of their text, and that middle as evidence: as it is, with blanks doubled, with a word put in, or backwards."""
     plain = F.trim(F.regexp_replace("text", "[ \\t]+", " "))
-    pages = document_pages(spark, d).select("document_id", F.col("page_number").alias("page"), plain.alias("text")).where(F.length("text") >= 12)
+    pages = document_pages(spark, d).select("document_id", F.col("page_number").alias("page"), plain.alias("text")).where(F.length("text") >= 1)
     cut = F.col("text").substr(F.floor(F.length("text") / 4).cast("int") + 1, F.floor(F.length("text") / 2).cast("int"))
     words = F.split(F.trim(cut), " ")
     odd = F.concat_ws(" ", F.element_at(words, 1), F.lit("zzzz"), F.element_at(words, -1))

@@ -11,7 +11,7 @@ from factloom.functions.units import magnitude, unit_info
 from factloom.operators import candidates, chunking, clusters, compare, concepts, evaluation, extraction, grounding, precheck, relationships, routing, search, tables, verification
 from factloom.operators.normalise import by_dictionary, with_period, with_value
 from factloom.plans import knowledge
-from factloom.plans.derived import document_pages, event_logs, line_facts, table, vector_facts
+from factloom.plans.derived import document_pages, event_logs, line_facts, project_facts, table, vector_facts
 from factloom.streaming.ingest import drain, log_windows, read_stream, state_folder, take_new
 
 KNN_MOST = 0.75
@@ -116,7 +116,12 @@ def significant_qualifiers(spark: SparkSession, d: str) -> DataFrame:
 
 def precheck_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of facts in a block, by what the rules make of them."""
-    return precheck.pairs_in_blocks(line_facts(spark, d)).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return precheck.outcome_counts(line_facts(spark, d)).groupBy("outcome", "reason").agg(F.sum("n").alias("n"))
+
+
+def open_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of facts in a block that corroborate or are left open."""
+    return precheck.open_pairs(line_facts(spark, d)).select("fact_id_a", "fact_id_b", "outcome", "reason")
 
 
 def knn_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +129,12 @@ def knn_candidates(spark: SparkSession, d: str) -> DataFrame:
     return near.select("fact", "other", "rank", F.round("distance", 9).alias("distance"))
 
 
+def candidates_by_project(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest eight of the same kind in each of three projects, whose facts share ids."""
+    near = candidates.nearest(project_facts(spark, d), k=8, most=KNN_MOST)
+    return near.select("project_id", "fact", "other", "rank", F.round("distance", 9).alias("distance"))
+
+
 def knn_other_kind(spark: SparkSession, d: str) -> DataFrame:
     """The nearest three of other kinds for facts of kind 0."""
     near = candidates.nearest(vector_facts(spark, d), k=3, most=None, group=("project_id",), of=F.col("fact_kind") == 0, among=F.col("fact_kind") != 0)
@@ -148,9 +159,8 @@ def edges_by_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def disputed_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Disputed edges between facts of the first ten documents."""
-    facts = vector_facts(spark, d).where("document_id < 10")
-    return relationships.disputes(edges(spark, d), facts).select("fact_id_a", "fact_id_b")
+    """Disputed edges between facts."""
+    return relationships.disputes(edges(spark, d), vector_facts(spark, d)).select("fact_id_a", "fact_id_b")
 
 
 def disputed_edges_all(spark: SparkSession, d: str) -> DataFrame:
@@ -320,7 +330,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grounding_benchmark, grounding_reasons, route_pages, document_profile, chunk_offsets, plan_batches, page_phases, anchor_lines, normalize_units, half_steps,
-        value_intervals, normalize_periods, period_relations, comparator_phrases, assumption_flags, significant_qualifiers, precheck_outcomes, knn_candidates,
+        value_intervals, normalize_periods, period_relations, comparator_phrases, assumption_flags, significant_qualifiers, precheck_outcomes, open_pairs, knn_candidates, candidates_by_project,
         knn_other_kind, edges_deduped, edges_by_document, disputed_edges, disputed_edges_all, facts_page, facts_by_status, relationships_by_type, hybrid_search, evidence_passages,
         evaluation_overall, evaluation_per_document, evaluation_timeline, survivorship, mean_embedding, assign_clusters, concept_decisions, concept_upsert,
         duplicate_documents, cascade_delete, verify_states, dual_reading, read_twice, correction_diff, accounting_figures, tool_trace, answer_citations,

@@ -1,7 +1,7 @@
 """The same queries in SQL, for comparison."""
 
 from factloom.plans import knowledge
-from factloom.plans.derived import LINE_FACTS, LOGS, PAGES
+from factloom.plans.derived import LINE_FACTS, LOGS, PAGES, PROJECT_FACTS
 
 _PATTERN = """lower(trim(regexp_replace(translate(translate(regexp_replace({}, '-[ \\t]*\\n[ \\t]*', '', 'g'), '‘’‚‛“”–—−  ', '''''''''""---  '), '​‌‍﻿', ''), '\\s+', ' ', 'g')))"""
 
@@ -41,13 +41,13 @@ chunks AS (
     coalesce(CASE WHEN length(before) <= 700 THEN before WHEN instr(t, ' ') > 0 THEN trim(substr(t, instr(t, ' ') + 1)) ELSE trim(t) END, '') AS context FROM ct)"""
 _PAIR = """
 pairs AS (
-  SELECT a.fact_kind AS kind, a.d0 AS a0, a.d1 AS a1, b.d0 AS b0, b.d1 AS b1, a.basis <> b.basis AS x_basis, a.audited <> b.audited AS x_audited, a.state = b.state AS same_state,
+  SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, a.fact_kind AS kind, a.d0 AS a0, a.d1 AS a1, b.d0 AS b0, b.d1 AS b1, a.basis <> b.basis AS x_basis, a.audited <> b.audited AS x_audited, a.state = b.state AS same_state,
     a.dim AS da, b.dim AS db, a.currency AS ca, b.currency AS cb, a.resolved AND b.resolved AS resolved,
     NOT (a.base_high < b.base_low OR b.base_high < a.base_low OR (a.base_high = b.base_low AND NOT (a.high_closed AND b.low_closed))
       OR (b.base_high = a.base_low AND NOT (b.high_closed AND a.low_closed))) AS meet
   FROM facts a JOIN facts b ON a.fact_kind = b.fact_kind AND a.entity = b.entity AND a.attribute = b.attribute AND a.fact_id < b.fact_id),
 checked AS (
-  SELECT CASE
+  SELECT fact_id_a, fact_id_b, CASE
     WHEN a1 < b0 OR b1 < a0 THEN 'not_comparable/periods do not meet'
     WHEN NOT (a0 = b0 AND a1 = b1) THEN 'needs_adjudication/periods meet but differ'
     WHEN x_basis OR x_audited THEN 'needs_adjudication/significant qualifiers differ: ' || concat_ws(', ', CASE WHEN x_audited THEN 'audited' END, CASE WHEN x_basis THEN 'basis' END)
@@ -104,7 +104,16 @@ WITH {LINE_FACTS} SELECT fact_id, {_FLAGS} AS flags, round(CASE WHEN {_NFLAGS} =
     "significant_qualifiers": f"WITH {LINE_FACTS} SELECT basis, audited, count(*)::BIGINT AS n FROM facts GROUP BY ALL",
     "precheck_outcomes": f"""
 WITH {LINE_FACTS}, {_PAIR} SELECT split_part(verdict, '/', 1) AS outcome, split_part(verdict, '/', 2) AS reason, count(*)::BIGINT AS n FROM checked GROUP BY ALL""",
+    "open_pairs": f"""
+WITH {LINE_FACTS}, {_PAIR} SELECT fact_id_a, fact_id_b, split_part(verdict, '/', 1) AS outcome, split_part(verdict, '/', 2) AS reason FROM checked WHERE verdict NOT LIKE 'not_comparable/%'""",
     "knn_candidates": f"WITH {_RANKED} SELECT fact, other, rank, round(distance, 9) AS distance FROM kept",
+    "candidates_by_project": f"""
+WITH {PROJECT_FACTS},
+r AS (
+  SELECT a.project_id, a.fact_id AS fact, b.fact_id AS other, list_cosine_distance(a.e, b.e) AS distance
+  FROM pf a JOIN pf b ON a.project_id = b.project_id AND a.fact_kind = b.fact_kind AND len(a.e) = len(b.e) AND a.fact_id <> b.fact_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY project_id, fact ORDER BY distance, other)::INTEGER AS rank FROM r)
+SELECT project_id, fact, other, rank, round(distance, 9) AS distance FROM k WHERE rank <= 8 AND distance <= 0.75""",
     "knn_other_kind": """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 r AS (
@@ -115,7 +124,7 @@ SELECT fact, other, rank, round(distance, 9) AS distance FROM r WHERE rank <= 3"
     "edges_by_document": f"""
 WITH {_RANKED}, x AS (SELECT fact_id_a, fact_id_b, fact_id_a % 20 AS document_id FROM edges UNION SELECT fact_id_a, fact_id_b, fact_id_b % 20 FROM edges)
 SELECT document_id, count(*)::BIGINT AS n_edges FROM x GROUP BY 1""",
-    "disputed_edges": f"WITH {_RANKED} SELECT fact_id_a, fact_id_b FROM edges WHERE type = 'contradicts' AND fact_id_a % 20 < 10 AND fact_id_b % 20 < 10",
+    "disputed_edges": f"WITH {_RANKED} SELECT fact_id_a, fact_id_b FROM edges WHERE type = 'contradicts'",
     "facts_page": f"""
 WITH {LINE_FACTS} SELECT fact_id FROM facts WHERE fact_kind = 'quantitative' AND status = 'verified' ORDER BY created_at DESC, fact_id LIMIT 200 OFFSET 200""",
     "facts_by_status": f"WITH {LINE_FACTS} SELECT 'p' AS project_id, status AS verification_status, count(*)::BIGINT AS n FROM facts GROUP BY ALL",

@@ -37,21 +37,22 @@ def test_verdicts(spark):
 def test_the_look_for_context(spark):
     use = lambda tool, q="q": json.dumps({"action": "use_tool", "tool": tool, "query": q, "fact_id": None, "rationale": "r"})
     stop = json.dumps({"action": "finish", "tool": None, "query": None, "fact_id": None, "rationale": "enough"})
-    plans = {1: [use("search_facts"), use("search_evidence_text"), use("search_facts", "gone"), use("search_facts")], 2: [stop, use("search_facts")], 3: [use("guess")], 4: [use("search_facts"), ("rate_limit",)], 5: [], 6: [use("search_facts"), stop]}
+    plans = {1: [use("search_facts"), use("search_evidence_text"), use("search_facts", "gone"), use("search_facts")], 2: [stop, use("search_facts")], 3: [use("guess")], 4: [use("search_facts"), ("rate_limit",)], 5: [], 6: [use("search_facts"), stop], 7: [use("search_facts"), "I would stop here"], 8: ["[1]"], 9: ['{"action": "finish"} or so']}
     steps = [(p, 0, k + 1, *((None, s[0]) if isinstance(s, tuple) else (s, None))) for p, given in plans.items() for k, s in enumerate(given)]
     results = spark.createDataFrame([("search_facts", "q", None, "x" * 5000), ("search_evidence_text", "q", None, "found")], "tool string, query string, fact_id string, output string")
     pairs = spark.createDataFrame([(p, 0) for p in plans], PAIR)
     final = spark.createDataFrame([(p, 0, payload("unrelated" if p == 2 else "contradicts", needs_more_context=True), None) for p in plans if p != 6], ANSWER)
     out = {r["fact_id_a"]: r for r in adjudication.reconcile(pairs, spark.createDataFrame(steps, f"{PAIR}, step int, text string, error_type string"), results, final).collect()}
-    assert {p: (r["tool_calls"], r["budget_exhausted"], len(r["trail"])) for p, r in out.items()} == {1: (3, True, 4), 2: (0, False, 2), 3: (0, False, 2), 4: (1, False, 3), 5: (0, False, 2), 6: (1, False, 3)}
+    assert {p: (r["tool_calls"], r["budget_exhausted"], len(r["trail"])) for p, r in out.items()} == {1: (3, True, 4), 2: (0, False, 2), 3: (0, False, 2), 4: (1, False, 3), 5: (0, False, 2), 6: (1, False, 3), 7: (1, False, 3), 8: (0, False, 2), 9: (0, False, 2)}
+    assert [out[p]["trail"][-2]["error"] for p in (7, 8, 9)] == ["no JSON object"] * 3 and out[7]["trail"][1]["action"] is None
     assert [len(e["result"] or "") for e in out[1]["trail"]] == [2000, 5, 0, 0] and out[1]["findings"] == "[search_facts] " + "x" * 5000 + "\n\n[search_evidence_text] found\n\n[search_facts] "
     assert [e["error"] for e in out[3]["trail"]][0] == "invalid tool guess" and out[4]["trail"][1]["error"] == "rate_limit" and out[5]["trail"][0]["error"] == "missing"
     assert out[2]["findings"] == "(no additional context could be found)" and out[2]["trail"][0]["rationale"] == "enough"
     assert [(e["action"], e["verdict"], e["step"]) for e in out[1]["trail"]][-1] == ("final_classification", "contradicts", 4) and out[6]["error"] == "missing"
     first = spark.createDataFrame([(p, 0, payload("corroborates", needs_more_context=p < 6), None) for p in plans], ANSWER)
     edges = {r["fact_id_a"]: (r["type"], len(r["trail"])) for r in adjudication.adjudicate(pairs, first, spark.createDataFrame(steps, f"{PAIR}, step int, text string, error_type string"), results, final).collect()}
-    assert edges == {1: ("contradicts", 4), 2: ("unrelated", 2), 3: ("contradicts", 2), 4: ("contradicts", 3), 5: ("contradicts", 2), 6: ("corroborates", 0)}
-    assert {r["fact_id_a"] for r in adjudication.adjudicate(pairs, final).collect()} == {1, 3, 4, 5}  # unrelated at once makes no edge
+    assert edges == {1: ("contradicts", 4), 2: ("unrelated", 2), 3: ("contradicts", 2), 4: ("contradicts", 3), 5: ("contradicts", 2), 6: ("corroborates", 0), **{p: ("corroborates", 0) for p in (7, 8, 9)}}
+    assert {r["fact_id_a"] for r in adjudication.adjudicate(pairs, final).collect()} == {1, 3, 4, 5, 7, 8, 9}  # unrelated at once makes no edge
 
 
 def test_a_verification_is_applied(spark):
