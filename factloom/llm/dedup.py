@@ -10,8 +10,10 @@
 4. Candidates whose sizes and joint estimate allow a link are confirmed on their full sets.
 5. Components of these links. A large bucket that still holds more than one component is compared
    in blocks inside tasks, between components only, so that no link is lost and no list of pairs
-   is made; only confirmed links leave a task. Blocks of the bucket's largest component meet those of the
-   others, not each other. Each pair is compared in the first band it shares.
+   is made. Blocks of the bucket's largest component meet those of the others, not each other. Each pair is compared in
+   the first band it shares. First registers alone meet, and tell which classes of a pair of blocks have a likely
+   partner there; only these are joined with their full sets, and only confirmed links leave a task. A block holds
+   BLOCK classes at most, about, and BLOCK_ITEMS shingles, so that long texts make small blocks.
 6. Components of all links.
 
 Shingles are held as 64-bit hashes.
@@ -38,7 +40,7 @@ from factloom.llm.graph import components
 
 #: Estimates under it are not confirmed; at 0.8 an estimate has a deviation of 0.032.
 LOWEST_ESTIMATE = 0.66
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK, BLOCK_ITEMS = 32, 1024, 1 << 20
 #: Classes of more rows than HOT_ROWS are joined by broadcast: the largest of them, HOT_CLASSES rows of some dozen bytes at most.
 #: No class that is left to the shuffle then holds more than one in HOT_CLASSES of all rows.
 HOT_ROWS, HOT_CLASSES = 1000, 20_000
@@ -127,14 +129,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between components in one pair of blocks of a bucket (block_a, block_b)."""
+def _likely(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows of another component that its registers are like, each pair in the first band it shares."""
     regs = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(-1, sketch.M)
     keys = np.stack([sketch.bands(r) for r in regs])
-    n, comp, rep, blk = (rows[c].to_numpy() for c in ("n", "comp", "rep", "blk"))
-    sets = [np.asarray(s) for s in rows["items"]]
+    n, comp, blk = (rows[c].to_numpy() for c in ("n", "comp", "blk"))
     bucket, across = rows["bucket"].iat[0], rows["block_a"].iat[0] != rows["block_b"].iat[0]
-    out = []
     for i in range(len(rows) - 1):
         j = np.arange(i + 1, len(rows))
         j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
@@ -147,9 +147,27 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
             j = j[(regs[j] == regs[i]).mean(axis=1) >= LOWEST_ESTIMATE - 0.1]
         if len(j):
             est = sketch.joint_estimate(np.broadcast_to(regs[i], (len(j), sketch.M)), regs[j], np.full(len(j), n[i]), n[j])
-            for k in j[est >= LOWEST_ESTIMATE]:
-                if linked(len(np.intersect1d(sets[i], sets[k], assume_unique=True)), n[i], n[k], percent):
-                    out.append((rep[i], rep[k]))
+            j = j[est >= LOWEST_ESTIMATE]
+        if len(j):
+            yield i, j
+
+
+def block_partners(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of one pair of blocks of a bucket (block_a, block_b) that have a likely partner in it."""
+    wanted = np.zeros(len(rows), bool)
+    for i, j in _likely(rows, percent):
+        wanted[i] = wanted[j] = True
+    return rows.loc[wanted, ["bucket", "rep", "comp", "blk", "block_a", "block_b"]]
+
+
+def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between components in one pair of blocks of a bucket, confirmed on full sets."""
+    rep, n, out = rows["rep"].to_numpy(), rows["n"].to_numpy(), []
+    for i, j in _likely(rows, percent):
+        own = np.asarray(rows["items"].iat[i])
+        for k in j:
+            if linked(len(np.intersect1d(own, np.asarray(rows["items"].iat[k]), assume_unique=True)), n[i], n[k], percent):
+                out.append((rep[i], rep[k]))
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
@@ -205,13 +223,13 @@ def near_rows(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame
         .select("bucket", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
     )
     # The largest component of a bucket is its main one; its classes need not meet each other.
-    counted = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-    parts = lambda c: F.ceil(c / BLOCK).cast("int")
+    counted = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
+    parts = lambda c, items: F.greatest(F.ceil(c / BLOCK), F.ceil(items / BLOCK_ITEMS)).cast("int")
     open_buckets = (
         counted.groupBy("bucket")
-        .agg(F.max(F.struct("m", (-F.col("comp")).alias("minus"))).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("comps"))
+        .agg(F.max(F.struct("m", (-F.col("comp")).alias("minus"), "items")).alias("top"), F.sum("m").alias("all"), F.sum("items").alias("items"), F.count(F.lit(1)).alias("comps"))
         .where("comps > 1")
-        .select("bucket", (-F.col("top.minus")).alias("main"), parts(F.col("top.m")).alias("mains"), parts(F.col("all") - F.col("top.m")).alias("rests"))
+        .select("bucket", (-F.col("top.minus")).alias("main"), parts(F.col("top.m"), F.col("top.items")).alias("mains"), parts(F.col("all") - F.col("top.m"), F.col("items") - F.col("top.items")).alias("rests"))
     )
     is_main, h = F.col("comp") == F.col("main"), F.xxhash64("rep")
     blk = F.when(is_main, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("rests"))).cast("int")
@@ -220,10 +238,13 @@ def near_rows(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame
         labelled.join(open_buckets, "bucket")
         .select("bucket", "rep", "comp", blk.alias("blk"), F.explode(others).alias("other"))
         .select("bucket", "rep", "comp", "blk", F.least("blk", "other").alias("block_a"), F.greatest("blk", "other").alias("block_b"))
-        .join(reps.select("rep", "n", "regs"), "rep")
-        .join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
     )
-    second = placed.groupBy("bucket", "block_a", "block_b").applyInPandas(lambda f: block_links(f, percent), "u long, v long")
+    registers, met = reps.select("rep", "n", "regs"), ("bucket", "block_a", "block_b")
+    partners = durable(
+        placed.join(registers, "rep").groupBy(*met).applyInPandas(lambda f: block_partners(f, percent), "bucket long, rep long, comp long, blk int, block_a int, block_b int")
+    )
+    whole = partners.join(registers, "rep").join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+    second = whole.groupBy(*met).applyInPandas(lambda f: block_links(f, percent), "u long, v long")
     final = components(first.union(second))
 
     return labelled_rows(signed, reps, final)

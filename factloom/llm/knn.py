@@ -13,6 +13,9 @@
 5. What a group needs is dealt into blocks of about `block_rows` by hash, its queries are copied
    to each block; a block is solved in one task with a matrix product, and the best k of a query
    over its blocks are its result.
+6. Where the bounds leave out little (groups need more than MERGE of all rows on average), small groups would
+   copy the vectors often for nothing: groups are then merged, up to as many queries as fill MERGED bytes, and blocks are
+   of that size too, so that neither side is copied more often than a task's memory asks for.
 
 Only pivots and summaries reach the driver; their number is the parameter n_pivots. How much is
 left out depends on the data: clustered vectors leave most cells unasked; of vectors spread evenly
@@ -22,7 +25,7 @@ Components are whole numbers held as doubles. Products are exact: in doubles whi
 under 2**53, in Python's integers beyond; scores are held to the range of a long.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
-nor do those of another length than the commonest (ties: the longest). A repeated vec_id is as
+a query meets the vectors of its own length, and each length is searched by itself (lengths are few). A repeated vec_id is as
 many candidates; as a query it counts once, with its smallest vector. Ties go to the smaller
 vec_id. Fewer than k candidates are all returned. No rows give no rows; other columns are left out.
 """
@@ -30,6 +33,7 @@ vec_id. Fewer than k candidates are all returned. No rows give no rows; other co
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,14 +49,15 @@ MOST_BROADCAST = 200_000
 SALTED = 100_000
 #: Rings of a cell for each doubling of the distance, and the highest of them.
 PER_OCTAVE, LAST_RING = 8, 400
+#: Share of the rows that groups need from which on they are merged, and bytes of a merged group's vectors, about.
+MERGE, MERGED = 0.5, 1 << 24
 
 
 def whole_vectors(embeddings: DataFrame, *, scale: int = 1024) -> DataFrame:
     """vec_id and v, floor(scale * x) of every component, of the vectors that take part."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = embeddings.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where((F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(True)))
-    common = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return good.where(F.size("embedding") == (common["d"] if common else 0)).select(
+    return good.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v")
     )
 
@@ -193,12 +198,12 @@ def route(vectors: DataFrame, is_query: Column, *, k: int = 10, n_pivots: int |
 def blocks_of(r: Routed, block_rows: int) -> DataFrame:
     """grp, part, blocks: into how many blocks what a group needs is dealt; the rings tell how much that is at most."""
     many = r.asks.join(F.broadcast(r.rings), "cell").where("radius >= least").groupBy("grp", "part").agg(F.sum("n").alias("n"))
-    return many.select("grp", "part", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    return many.select("grp", "part", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
 
 
 def copied(r: Routed, blocks: DataFrame) -> DataFrame:
     """grp, part, blk, vec_id, v: a row for each group that needs a vector."""
-    asks = r.asks.join(blocks, ["grp", "part"]).withColumnRenamed("cell", "_cell")
+    asks = r.asks.join(blocks.drop("n"), ["grp", "part"]).withColumnRenamed("cell", "_cell")
     wanted = (F.col("cell") == F.col("_cell")) & (F.col("apart") >= F.col("least"))
     row = F.xxhash64("vec_id", "v", "copy")
     if r.asks.count() <= MOST_BROADCAST:
@@ -211,10 +216,35 @@ def copied(r: Routed, blocks: DataFrame) -> DataFrame:
     return met.select("grp", "part", F.pmod(row, F.col("blocks")).cast("int").alias("blk"), "vec_id", "v")
 
 
+def merged(r: Routed, groups: int) -> Routed:
+    """The same with so many groups, dealt by hash."""
+    into = F.pmod(F.xxhash64("grp", "part"), F.lit(groups)).cast("int")
+    own = lambda df: df.withColumn("grp", into).withColumn("part", F.lit(0))
+    asks = own(r.asks).groupBy("grp", "part", "cell").agg(F.min("least").alias("least"))
+    return Routed(r.placed, own(r.queries), durable(asks), r.rings, r.cells)
+
+
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, n_pivots: int | None = None, block_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each of vectors (vec_id, v) that is_query holds for, its best k others."""
+    lengths = sorted(r[0] for r in vectors.select(F.size("v")).distinct().collect())
+    given = {"k": k, "n_pivots": n_pivots, "block_rows": block_rows, "block_queries": block_queries}
+    found = [_top_k(vectors.where(F.size("v") == n), n, is_query, **given) for n in lengths] or [_top_k(vectors, 1, is_query, **given)]
+    if len(found) == 1:
+        return found[0]
+    # An id that stands in several lengths is a query in that of its smallest vector alone.
+    own = vectors.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.size(F.min("v")).alias("_length"))
+    of = [f.withColumn("_length", F.lit(n)) for f, n in zip(found, lengths)]
+    return reduce(DataFrame.unionByName, of).join(own, ["query_id", "_length"], "left_semi").drop("_length")
+
+
+def _top_k(vectors: DataFrame, length: int, is_query: Column, *, k: int, n_pivots: int | None, block_rows: int, block_queries: int) -> DataFrame:
     routed = route(vectors, is_query, k=k, n_pivots=n_pivots, block_queries=block_queries)
     blocks, keys = durable(blocks_of(routed, block_rows)), ("grp", "part", "blk")
+    needed, groups = blocks.agg(F.sum("n"), F.count(F.lit(1))).first()
+    most = max(1, MERGED // (8 * length * block_queries))  # groups that one merged group takes up
+    if groups > 1 and most > 1 and needed > MERGE * groups * sum(routed.cells.values()):
+        routed = merged(routed, -(-groups // most))
+        blocks = durable(blocks_of(routed, max(block_rows, MERGED // (8 * length))))
     wanted = routed.queries.join(blocks, ["grp", "part"]).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, "query_id", "v")
     found = wanted.groupBy(*keys).cogroup(copied(routed, blocks).groupBy(*keys)).applyInPandas(lambda q, x: best_of(q, x, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

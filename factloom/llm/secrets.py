@@ -40,16 +40,20 @@ LEAST, SEPARATORS, LEAST_EXCESS = 20, "/_=-", 16_000
 
 
 def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """text, random (boolean): n random strings of three alphabets and n ordinary identifiers, by rule."""
+    """text, random (boolean): n random strings of four alphabets and n ordinary identifiers, by rule.
+
+    Ordinary are UUIDs, digests whose groups are parted by dashes and fingerprints, too: they name things and hide nothing.
+    """
     ids = spark.range(n, numPartitions=1)
     digest = F.unhex(F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256))
     base64 = F.base64(digest)
-    random = F.when(F.col("id") % 3 == 0, F.lower(F.hex(digest))).when(F.col("id") % 3 == 1, base64).otherwise(
-        F.upper(F.regexp_replace(base64, "[^A-Za-z0-9]", ""))
-    )
+    bare, one = F.regexp_replace(base64, "[^A-Za-z0-9]", ""), F.col("id") % 4
+    random = F.when(one == 0, F.lower(F.hex(digest))).when(one == 1, base64).when(one == 2, F.upper(bare)).otherwise(F.lower(bare))
     word = lambda k: F.get(F.array(*map(F.lit, WORDS)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int"))
     a, b, c = word(1), word(2), word(3)
-    k = F.col("id") % 10
+    k = F.col("id") % 13
+    code = F.lower(F.hex(F.unhex(F.sha2(F.concat(F.lit("name"), F.col("id").cast("string")), 256))))
+    grouped = lambda *ends: F.concat_ws("-", *[F.substring(code, a + 1, b - a) for a, b in zip((0, *ends), ends)])
     day = F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(F.xxhash64("id"), F.lit(15_000)).cast("int")).cast("string")
     ordinary = (
         F.when(k == 0, F.concat_ws("_", a, b, c))
@@ -61,6 +65,9 @@ def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
         .when(k == 6, F.repeat(F.get(F.array(*map(F.lit, "=-_+/")), (F.col("id") / 10 % 5).cast("int")), 30))
         .when(k == 7, F.repeat(day, 2))
         .when(k == 8, F.pmod(F.xxhash64("id"), F.lit(10**17)).cast("string"))
+        .when(k == 9, grouped(8, 12, 16, 20, 32))
+        .when(k == 10, F.upper(grouped(8, 12, 16, 20, 32)))
+        .when(k == 11, grouped(7, 15, 23, 31, 39, 47))
         .otherwise(F.repeat(F.substring(F.concat(a, b), 1, 1), 20))
     )
     return ids.select(random.alias("text"), F.lit(True).alias("random")).unionByName(
@@ -72,7 +79,7 @@ def _kind_of(ch: str) -> str:
     return "upper" if "A" <= ch <= "Z" else "lower" if "a" <= ch <= "z" else "digit" if "0" <= ch <= "9" else "sign"
 
 
-def train(samples: DataFrame, *, share: float = 0.5) -> list[int]:
+def train(samples: DataFrame, *, share: float = 0.8) -> list[int]:
     """Log ratio of each pair of characters of ALPHABET, random over ordinary, in thousandths.
 
     share is the weight of the bigram against that of the classes. What reaches the driver is

@@ -9,7 +9,9 @@ The vocabulary is a public one of byte pieces in order of rank; every single byt
 every text can be cut. A piece's cost is -ln of its chance by Zipf's law, ln((rank + 1) * H), in
 whole millionths of a nat; ties are for fewer pieces. Nothing is trained.
 
-Each Python worker keeps a trie of its own, and starts a new one when it is full. No rows are shuffled.
+Each Python worker keeps a trie of its own, and starts a new one when it is full. A pre-token of more than LONG bytes shares its
+prefix with nothing: it is not put into the trie, but cut with the scores of its last bytes alone, as many as the longest
+piece has, so its memory is that of its text. No rows are shuffled.
 
 Defined results: a null or empty text has no tokens; repeated rows are counted each; a very long
 pre-token is cut like any other; other columns are left out.
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from factloom.llm.pretokens import pretokens
 
 
+#: Bytes of a pre-token from which on it stays out of the trie.
+LONG = 1_000
+
+
 def costs(path: str) -> dict[bytes, int]:
     """Cost of each piece of a file of base64 pieces and ranks."""
     with open(path, "rb") as f:
@@ -41,6 +47,7 @@ class Trie:
     def __init__(self, cost: dict[bytes, int], most: int = 1_000_000):
         self.cost, self.most = cost, most
         self.longest = max(map(len, cost))
+        self.prefixes = {p[:n] for p in cost for n in range(1, len(p))}
         self.clear()
 
     def clear(self) -> None:
@@ -53,6 +60,8 @@ class Trie:
         if self.nodes > self.most:
             self.clear()
         raw = token.encode("utf-8", "surrogatepass")
+        if len(raw) > LONG:
+            return self.rolled(raw)
         path, node = [self.root], self.root
         for d, b in enumerate(raw, 1):
             child = node[0].get(b)
@@ -71,6 +80,25 @@ class Trie:
         known = self.terminal[token] = (node[2], node[1])
         return known
 
+    def rolled(self, raw: bytes) -> tuple[int, int]:
+        """The same for one long token: a ring of the scores of the places that pieces can still reach."""
+        cost, prefixes, size = self.cost, self.prefixes, self.longest + 1
+        ring: list = [None] * size  # (cost, pieces) of the best cut up to each place
+        ring[0] = (0, 0)
+        for at in range(len(raw)):
+            (done, n), ring[at % size] = ring[at % size], None
+            for end in range(at + 1, min(at + self.longest, len(raw)) + 1):
+                piece = raw[at:end]
+                own = cost.get(piece)
+                if own is not None:
+                    to, found = end % size, (done + own, n + 1)
+                    if ring[to] is None or found < ring[to]:
+                        ring[to] = found
+                if piece not in prefixes:
+                    break
+        best = ring[len(raw) % size]
+        return best[1], best[0]
+
 
 @functools.cache
 def trie(path: str) -> Trie:

@@ -2,8 +2,8 @@
 
 The n-grams and the hashing run as SQL functions and Spark ML's HashingTF; training and scoring are Spark ML's
 LogisticRegression. The labelled table is small by its nature: a few hundred URLs that a person
-has judged. A default one is built here by rule, from stems that occur in more than one host, so
-that what is learnt carries over to hosts that were not seen.
+has judged. The default one joins well-known hosts (factloom.llm.hosts), each with several paths, and made-up ones of
+stems that occur in more than one host, so that what is learnt carries over to hosts that were not seen.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule and is
 judged by the model on no n-grams, which is its intercept. Very long urls are read whole. Rows
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import WORDS, ascii_lower, packed, unpacked
+from factloom.llm.hosts import ALLOWED, BLOCKED, stems
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -47,10 +48,10 @@ STEPS = (1, 4, 9)
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, host, label (1: block) by rule: about a thousand rows, whatever is judged.
+    """url, host, stem, label (1: block): about two thousand rows, whatever is judged.
 
-    Hosts of two stems are as many of one label as of the other; besides them stand ordinary words,
-    alone and in pairs, so that what is in neither list of stems is allowed.
+    Well-known hosts come with their stem. Made-up hosts of two stems are as many of one label as of the other; besides them
+    stand ordinary words, alone and in pairs, so that what is in no list is allowed.
     """
     tops, signs, subs = ("com", "org", "net", "info"), ("-", ""), ("", "www.", "m.", "blog.")
     named = [(1.0, f"{a}{signs[(i + n) % 2]}{BAD[(i + n) % len(BAD)]}", BAD_PATHS) for i, a in enumerate(BAD) for n in STEPS]
@@ -58,11 +59,15 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     plain = [w for w in WORDS if w.isascii()]
     named += [(0.0, f"{a}{plain[(7 * i + 1) % len(plain)] if i % 2 else ''}", GOOD_PATHS) for i, a in enumerate(plain)]
     rows = []
+    known = [(label, stem, host) for label, lines in ((1.0, BLOCKED), (0.0, ALLOWED)) for stem, found in stems(lines).items() for host in found]
+    for i, (label, stem, host) in enumerate(known):
+        some = ((BAD_PATHS if label else GOOD_PATHS)[i % 4], "/", *(ANY_PATHS[(i + k) % len(ANY_PATHS)] for k in (0, 3, 5)))
+        rows += [(f"https://{subs[(i + k) % 3]}{host}{path}", host, f"{stem}/{label:.0f}", label) for k, path in enumerate(some)]
     for i, (label, name, paths) in enumerate(named):
         host = f"{name}.{tops[i % 4]}"
         some = (paths[i % len(paths)], *(ANY_PATHS if i < 3 * (len(BAD) + len(GOOD)) else [ANY_PATHS[(i + k) % len(ANY_PATHS)] for k in (0, 3, 5)]))
-        rows += [(f"https://{subs[(i + k) % 4]}{host}{path}", host, label) for k, path in enumerate(some)]
-    return spark.createDataFrame(rows, "url string, host string, label double")
+        rows += [(f"https://{subs[(i + k) % 4]}{host}{path}", host, None, label) for k, path in enumerate(some)]
+    return spark.createDataFrame(rows, "url string, host string, stem string, label double")
 
 
 def host_of(url: Column) -> Column:
@@ -103,7 +108,7 @@ def _features(df: DataFrame, n_features: int) -> DataFrame:
     )
 
 
-def train(labelled: DataFrame, *, n_features: int = 4096, reg: float = 0.01) -> LogisticRegressionModel | None:
+def train(labelled: DataFrame, *, n_features: int = 16384, reg: float = 0.01) -> LogisticRegressionModel | None:
     """A model from url and label (1: block); None if not both labels occur."""
     rows = labelled.where(F.col("url").isNotNull() & F.col("label").isin(0.0, 1.0)).select(
         host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label")

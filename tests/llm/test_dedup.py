@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from factloom.llm import dedup, graph, sketch
 from factloom.llm.common import table
@@ -60,9 +61,41 @@ def test_hot_groups(spark, monkeypatch):
     assert {tuple(r) for r in dedup.near_duplicates(df, size=5).collect()} == want
     monkeypatch.setattr(dedup, "SMALL", 4)  # the blocks do nearly all
     monkeypatch.setattr(dedup, "BLOCK", 30)
+    monkeypatch.setattr(dedup, "BLOCK_ITEMS", 2_000)  # a dozen texts
     assert {tuple(r) for r in dedup.near_duplicates(df, size=5).collect()} == want
 
 
+def test_partners_and_links_of_a_block():
+    """Registers tell who needs its set; links are what all pairs between components give."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(i % 9):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(300)) for _ in range(10)]
+    shingler = sketch.Shingler(5)
+    sets = [shingler(t) for t in texts]
+    regs = [sketch.registers(s) for s in sets]
+    bucket = int(sketch.bands(regs[0])[0])
+    rows = pd.DataFrame({"bucket": bucket, "rep": range(50), "n": [len(s) for s in sets], "comp": range(50), "blk": [i % 2 for i in range(50)], "block_a": 0, "block_b": 1, "regs": [r.tobytes() for r in regs], "items": [s.view(np.int64) for s in sets]})
+    partners = dedup.block_partners(rows.drop(columns="items"), 80)
+    assert not set(partners["rep"]) & set(range(40, 50))
+    links = {tuple(x) for x in dedup.block_links(rows, 80).values.tolist()}
+    first = [sketch.bands(r) for r in regs]
+    want = set()
+    for i in range(50):
+        for j in range(i + 1, 50):
+            same = np.nonzero(first[i] == first[j])[0]
+            if i % 2 != j % 2 and len(same) and first[i][same[0]] == bucket:
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                    want.add((i, j))
+    assert links == want and {x for pair in want for x in pair} <= set(partners["rep"])
+
+
 def test_edges(spark):
     docs = [(5, None), (6, ""), (7, " \n"), (8, "One two"), (9, "one TWO"), (10, "É one"), (11, "é one"), (12, "a b c d e"), (13, "a b c d e"), (14, "z " * 60_000), (15, "z " * 70_000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n long")

@@ -15,7 +15,7 @@ def brute(rows, k=10):
     out = set()
     for q, e in good:
         if q % 100 == 0:
-            s = sorted((-sum(a * b for a, b in zip(e, f)), i) for i, f in good if i != q)[:k]
+            s = sorted((-sum(a * b for a, b in zip(e, f)), i) for i, f in good if i != q and len(f) == len(e))[:k]
             out |= {(q, r, i, -v) for r, (v, i) in enumerate(s, 1)}
     return out
 
@@ -31,7 +31,7 @@ def test_edges_and_small_blocks(spark):
     rows += [(1000 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(300)]  # one hot vector
     rows += [(2000, None), (2001, [1.0, None, 1.0, 1.0]), (2002, [float("nan")] * 4), (2100, [float("inf")] * 4), (2101, []), (2102, [1.0])]
     df = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<float>, score int")
-    rows = [(r["vec_id"], r["embedding"]) for r in df.collect() if r["vec_id"] != 2102]
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     out = knn.top_k(knn.whole_vectors(df), F.col("vec_id") % 100 == 0, n_pivots=8, block_rows=50, block_queries=2)
     assert {tuple(r) for r in out.collect()} == brute(rows)
     assert knn.top_k(knn.whole_vectors(df.limit(0)), F.col("vec_id") % 100 == 0).count() == 0
@@ -101,3 +101,25 @@ def test_many_groups_of_queries(spark):
     df = spark.createDataFrame([(i, e, "x", 1) for i, e in rows], "vec_id long, embedding array<double>, cell string, row int")
     out = knn.top_k(knn.whole_vectors(df), F.col("vec_id") % 100 == 0, n_pivots=20, block_rows=100, block_queries=5)
     assert {tuple(r) for r in out.collect()} == brute(rows)
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(7)
+    rows = [(100 * i if i % 4 == 0 else i, [float(c) for c in rng.normal(size=2 + i % 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in knn.top_k(knn.whole_vectors(df), F.col("vec_id") % 100 == 0, n_pivots=5).collect()} == brute(rows)
+    both = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0]), (1, [1.0, 1.0]), (2, [2.0]), (3, [3.0])], "vec_id long, embedding array<double>")
+    out = knn.top_k(knn.whole_vectors(both), F.col("vec_id") == 0).collect()
+    assert [(r["vec_id"], r["rank"]) for r in sorted(out, key=lambda r: r["rank"])] == [(3, 1), (2, 2)]  # its smallest vector is the short one
+
+
+def test_groups_are_merged_where_bounds_leave_out_little(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    rows = [(i, [float(c) for c in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
+    vectors = knn.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    routed = knn.route(vectors, F.col("vec_id") % 5 == 0, n_pivots=8, block_queries=8)
+    needed = lambda r: knn.blocks_of(r, 100).agg(F.sum("n")).first()[0]
+    one = knn.merged(routed, 1)
+    assert needed(routed) > 5 * needed(one) and needed(one) <= 600
+    assert one.queries.select("grp", "part").distinct().count() == 1 and one.queries.count() == 120

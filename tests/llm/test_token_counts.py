@@ -1,5 +1,8 @@
 """Token counts against a plain forward pass over each pre-token alone."""
 
+import random
+import tracemalloc
+
 import public_tokenizers
 import regex
 
@@ -45,3 +48,21 @@ def test_full_trie_starts_anew():
     small, large = token_counts.Trie(cost, most=5), token_counts.Trie(cost)
     for t in (" the", " then", " theory", "<|x|>", " the"):
         assert small.count(t) == large.count(t)
+
+
+def test_long_pre_tokens_stay_out_of_the_trie():
+    t, rng = token_counts.Trie(token_counts.costs(FILE)), random.Random(1)
+    for n in (1, 2, 50, 400):
+        for letters in ("etaoin", "x", "abcdefghijklmnopqrstuvwxyz", "0123456789", "日本é"):
+            token = "".join(rng.choice(letters) for _ in range(n))
+            assert t.rolled(token.encode()) == t.count(token) == forward(token, t.cost)[::-1]
+    nodes, known = t.nodes, len(t.terminal)
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(100_000))
+    tracemalloc.start()
+    n, cost = t.count(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (t.nodes, len(t.terminal)) == (nodes, known) and cost > 0
+    assert peak < 500_000  # the text and the ring
+    many, _ = t.count(long * 50)  # five million letters
+    assert abs(many - 50 * n) <= 50 and (t.nodes, len(t.terminal)) == (nodes, known)
