@@ -18,8 +18,13 @@ REASONING = ("entity_match", "attribute_match", "period_relation", "unit_scale_n
 TOOLS = ("search_facts", "search_evidence_text", "get_surrounding_context")
 PAYLOAD = "relationship_type string, reconciliation_basis string, explanation string, confidence double, needs_more_context boolean, missing_context string, " + ", ".join(f"{c} string" for c in REASONING)
 DECISION = "action string, tool string, query string, fact_id string, rationale string"
-TRAIL = "array<struct<step:int,action:string,tool:string,query:string,fact_id:string,rationale:string,result:string,error:string,verdict:string,basis:string,budget_exhausted:boolean>>"
-ENTRY = TRAIL.removeprefix("array<").removesuffix(">")
+#: What an entry of a trail may tell. Step 0 is that of the rules: method, and their reason or, as JSON, the detail that decided.
+ENTRY_FIELDS = {
+    "step": "int", "action": "string", "tool": "string", "query": "string", "fact_id": "string", "rationale": "string", "result": "string", "error": "string", "verdict": "string", "basis": "string",
+    "budget_exhausted": "boolean", "method": "string", "reason": "string", "detail": "string",
+}
+ENTRY = f"struct<{','.join(f'{n}:{kind}' for n, kind in ENTRY_FIELDS.items())}>"
+TRAIL = f"array<{ENTRY}>"
 PAIR = ("fact_id_a", "fact_id_b")
 
 
@@ -79,8 +84,12 @@ def _is_object(text: str) -> Column:
 
 
 def _entry(**given: Column) -> Column:
-    names = [f.split(":")[0] for f in ENTRY.removeprefix("struct<").removesuffix(">").split(",")]
-    return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).cast(ENTRY)
+    return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in ENTRY_FIELDS]).cast(ENTRY)
+
+
+def by_rules(**told: Column) -> Column:
+    """Step 0 of a trail, as a trail of its own."""
+    return F.array(_entry(step=F.lit(0), method=F.lit("deterministic_precheck"), **told)).cast(TRAIL)
 
 
 def reconcile(pairs: DataFrame, steps: DataFrame, results: DataFrame, final: DataFrame, *, most: int = TOOL_CALLS) -> DataFrame:

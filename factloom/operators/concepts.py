@@ -41,12 +41,25 @@ def decide(pairs: DataFrame) -> DataFrame:
     )
 
 
-def with_answers(decided: DataFrame, answers: DataFrame) -> DataFrame:
+def resolve(pairs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Distinct label pairs (project_id, kind, label_a, label_b), each resolved once: with method, same, canonical_name.
+
+    answers are (kind, label_a, label_b, same_concept, answered_name, error), what a model says of open pairs; kind is a
+    part of the question, as two labels may be one entity and two attributes.
+    """
+    decided = decide(pairs.select("project_id", "kind", "label_a", "label_b").distinct())
+    if answers is None:
+        answers = decided.sparkSession.createDataFrame([], "kind string, label_a string, label_b string, same_concept boolean, answered_name string, error string")
+    keys = ["kind", "label_a", "label_b"]
+    return with_answers(decided, answers.dropDuplicates(keys), keys)
+
+
+def with_answers(decided: DataFrame, answers: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """decided, the open ones by answers (label_a, label_b, same_concept, answered_name, error).
 
     Without an answer, or with an error, nothing is merged.
     """
-    joined = decided.join(answers, ["label_a", "label_b"], "left")
+    joined = decided.join(answers, keys or ["label_a", "label_b"], "left")
     failed = F.col("same_concept").isNull() | F.col("error").isNotNull()
     is_open = F.col("method") == "model"
     same = F.when(is_open, F.when(failed, False).otherwise(F.col("same_concept"))).otherwise(F.col("same"))

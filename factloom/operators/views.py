@@ -125,3 +125,10 @@ class Project:
         from factloom.operators.evaluation import overall
 
         return overall(self["facts"], self["verification_logs"])
+
+    def evidence(self, fact_id: str | None = None) -> DataFrame:
+        """Facts, or one, with the boxes of their evidence; the tables `words` and `pages` tell the layout."""
+        from factloom.operators import evidence
+
+        facts = self["facts"] if fact_id is None else self.fact(fact_id)
+        return evidence.view(facts, self["documents"], self["chunks"], self["words"], self["pages"])

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import render, repair
-from factloom.operators import adjudication, clusters, extraction, grounding, provider, relationships, routing, search, tables, verification, views
+from factloom.operators import adjudication, candidates, clusters, compare, evidence, extraction, grounding, provider, relationships, routing, search, tables, verification, views
 from factloom.operators.evaluation import verdict_breakdown as breakdown
 from factloom.plans.derived import LINE_FACTS, LOGS, PAGES, document_pages, event_logs, line_facts, table, vector_facts
 
@@ -231,11 +231,54 @@ def batch_chunks(spark: SparkSession, d: str) -> DataFrame:
     return grounding.batch_chunk(asked, chunks).select(c("document_id").alias("conv_id"), "turn", "chunk_index")
 
 
+# Boxes of evidence: the words of a page stand nine to a line; a fact is the middle of its page.
+
+_LAID = """
+wd AS (SELECT document_id, page, i - 1 AS place, (i - 1) // 9 AS line, w, 20.0 + 60.0 * ((i - 1) % 9) AS x0, 16.0 * ((i - 1) // 9) AS y0 FROM (
+  SELECT document_id, page, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT document_id, page, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS ws FROM pg)) WHERE w <> ''),
+wo AS (SELECT *, (coalesce(sum(length(w) + 1) OVER (PARTITION BY document_id, page ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS b FROM wd),
+tx AS (SELECT document_id, page, string_agg(w, ' ' ORDER BY place) AS t, count(*) AS n FROM wd GROUP BY ALL),
+ev AS (SELECT document_id, page, t, array_to_string(string_split(t, ' ')[n // 3 + 1:n // 3 + 12], ' ') AS said FROM tx),
+sp AS (SELECT document_id, page, t, CASE page % 3 WHEN 2 THEN NULL ELSE trim(CASE page % 3 WHEN 0 THEN said ELSE substr(said, 1, 80) END) END AS span FROM ev),
+fs AS (SELECT * FROM sp WHERE span IS NOT NULL AND span <> ''),
+gp AS (SELECT document_id, page, length(span) AS l, unnest(string_split(t, span)[1:-2]) AS p, generate_subscripts(string_split(t, span)[1:-2], 1) AS i FROM fs),
+ap AS (SELECT document_id, page, l, (sum(length(p)) OVER (PARTITION BY document_id, page ORDER BY i) + (i - 1) * l)::BIGINT AS f FROM gp)"""
+
+
+def page_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words of pages with boxes, by rule."""
+    words = document_pages(spark, d).select("document_id", "page_number", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("place", "word"))
+    line, column = F.floor(F.col("place") / 9), F.col("place") % 9
+    x0, y0 = 20.0 + 60.0 * column, 16.0 * line
+    return words.where("word <> ''").select("document_id", "page_number", "place", line.alias("line"), "word", x0.alias("x0"), y0.alias("y0"), (x0 + 5.0 * F.length("word")).alias("x1"), (y0 + 12.0).alias("y1"))
+
+
+@query(f"""WITH {PAGES},{_LAID}
+SELECT document_id, page::INTEGER AS page_number, count(*)::BIGINT AS n_boxes, round(sum(x0), 6)::DOUBLE AS lefts, round(sum(x1), 6)::DOUBLE AS rights, max(y1)::DOUBLE AS lowest FROM (
+  SELECT a.document_id, a.page, a.f, o.line, min(o.x0) AS x0, max(o.x0 + 5.0 * length(o.w)) AS x1, max(o.y0 + 12.0) AS y1
+  FROM ap a JOIN wo o ON o.document_id = a.document_id AND o.page = a.page AND o.b < a.f + a.l AND o.b + length(o.w) > a.f GROUP BY ALL) GROUP BY ALL""")
+def evidence_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by the boxes of their middle: found by its anchor, by its evidence after an anchor that is not there, or not at all."""
+    words = page_words(spark, d)
+    told = F.array_sort(F.collect_list(F.struct("place", F.lower("word").alias("w"))))
+    said = words.groupBy("document_id", "page_number").agg(F.transform(told, lambda x: x["w"]).alias("ws"))
+    middle = F.array_join(F.slice("ws", F.floor(F.size("ws") / 3).cast("int") + 1, 12), "  ")
+    rule = F.col("page_number") % 3
+    facts = said.select(
+        F.concat_ws("-", "document_id", "page_number").alias("fact_id"), "document_id", "page_number", F.when(rule == 0, F.translate(middle, "aeinrst", "AEINRST")).otherwise("zz not there zz").alias("matched_text"),
+        F.when(rule == 1, F.regexp_replace(middle, "  ", " ")).otherwise("nor this zz").alias("evidence_text"),
+    )
+    found = evidence.boxes(facts, words).join(facts.select("fact_id", "document_id", "page_number"), "fact_id").select("document_id", "page_number", F.explode("boxes").alias("b"))
+    return found.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("n_boxes"), F.round(F.sum("b.x0"), 6).alias("lefts"), F.round(F.sum("b.x1"), 6).alias("rights"), F.max("b.y1").alias("lowest"))
+
+
 # Adjudication: a pair is two events in a row of one user; answers are written by rule.
 
-_PAIRS = """
+_EVENT_PAIRS = """
 e AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events),
-pr AS (SELECT a, b, a + b AS n FROM e WHERE b IS NOT NULL),
+pr AS (SELECT a, b, a + b AS n FROM e WHERE b IS NOT NULL)"""
+#: What the models say of pairs pr (a, b, n).
+_SAID = """
 v AS (
   SELECT *, ['corroborates', 'contradicts', 'reconciled_by_context', 'unrelated', 'bogus'][n % 5 + 1] AS type, greatest(0.0, least(1.0, (n % 13) / 5 - 0.4)) AS conf, n % 3 = 0 AS more,
     CASE WHEN n % 17 = 0 THEN 'missing' WHEN n % 19 = 0 THEN 'timeout' WHEN n % 5 = 4 THEN 'invalid' END AS error FROM pr),
@@ -245,6 +288,7 @@ st AS (
       SELECT *, list_transform([1, 2, 3], lambda s: CASE WHEN (n + s) % 11 = 0 THEN 'none' WHEN (n + s) % 5 = 0 THEN 'finish' WHEN (n + s) % 7 = 0 THEN 'guess' ELSE 'call' END) AS kinds FROM v WHERE more AND error IS NULL))),
 lk AS (SELECT a, b, n, least(stop - 1, 3) AS calls, CASE WHEN stop <= 3 THEN 1 ELSE 0 END + least(stop - 1, 3) + 1 AS entries FROM st),
 fv AS (SELECT *, ['contradicts', 'unrelated', 'reconciled_by_context', 'corroborates'][n % 4 + 1] AS type2 FROM lk)"""
+_PAIRS = f"{_EVENT_PAIRS},{_SAID}"
 
 
 def _answers(pairs: DataFrame, types: tuple, confidence: Column, more: Column) -> DataFrame:
@@ -262,9 +306,14 @@ def adjudicated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     """pairs, first answers, steps, results of tools and final answers."""
     from pyspark.sql import Window as W
 
-    n = F.col("n")
     nxt = F.lead("event_id").over(W.partitionBy("user_id").orderBy("event_id"))
     pairs = table(spark, d, "events").select(F.col("event_id").alias("fact_id_a"), nxt.alias("fact_id_b")).where("fact_id_b IS NOT NULL").withColumn("n", F.col("fact_id_a") + F.col("fact_id_b"))
+    return pairs, *said_of(pairs)
+
+
+def said_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What models say of pairs (fact_id_a, fact_id_b, n), by rule: first answers, steps, results of tools and final answers."""
+    spark, n = pairs.sparkSession, F.col("n")
     first = _answers(pairs, ("corroborates", "contradicts", "reconciled_by_context", "unrelated", "bogus"), n % 13 / 5 - 0.4, n % 3 == 0).where(n % 17 != 0)
     first = first.select("fact_id_a", "fact_id_b", F.when(n % 19 != 0, F.col("text")).alias("text"), F.when(n % 19 == 0, "timeout").alias("error_type"))
     at = n + F.col("step")
@@ -273,7 +322,7 @@ def adjudicated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     steps = pairs.withColumn("step", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where(at % 11 != 0).select("fact_id_a", "fact_id_b", "step", decision.alias("text"), F.lit(None).cast("string").alias("error_type"))
     results = spark.createDataFrame([(t, f"q{k}", None, f"{t} {k} " * 200) for t in adjudication.TOOLS for k in range(4)], "tool string, query string, fact_id string, output string")
     final = _answers(pairs, ("contradicts", "unrelated", "reconciled_by_context", "corroborates"), F.lit(0.7), F.lit(True)).withColumn("error_type", F.lit(None).cast("string"))
-    return pairs, first, steps, results, final.drop("n")
+    return first, steps, results, final.drop("n")
 
 
 @query(f"""WITH {_PAIRS}
@@ -303,6 +352,58 @@ def adjudicator_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return said.groupBy(F.coalesce("error", "type").alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("needs_more_context", F.lit(False))).alias("n_more"))
 
 
+# Comparison from nearest facts to edges: embeddings are facts; of their entities e0 and e1 are found to be one.
+
+_COMPARED = f"""
+em AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % 3 AS x FROM embeddings),
+near AS (SELECT a.vec_id AS f, b.vec_id AS o, list_cosine_distance(a.e, b.e) AS d FROM em a JOIN em b ON a.vec_id <> b.vec_id AND a.vec_id % 2 = b.vec_id % 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY d, o) AS k FROM near),
+cp AS (SELECT DISTINCT least(f, o) AS a, greatest(f, o) AS b FROM rk WHERE k <= 8 AND d <= 0.75),
+ck AS (
+  SELECT a, b, CASE WHEN s.x <> t.x AND (s.x = 2 OR t.x = 2) THEN 'not_comparable' WHEN a % 3 = b % 3 THEN 'corroborates' ELSE 'needs_adjudication' END AS outcome
+  FROM cp JOIN em s ON s.vec_id = a JOIN em t ON t.vec_id = b),
+pr AS (SELECT a, b, a + b AS n FROM ck WHERE outcome = 'needs_adjudication'),{_SAID},
+ed AS (
+  SELECT a, b, 'corroborates' AS type, NULL AS basis, 0.95::DOUBLE AS confidence, 1 AS entries FROM ck WHERE outcome = 'corroborates'
+  UNION ALL SELECT a, b, type, CASE WHEN type = 'reconciled_by_context' THEN 'period' END, conf, 1 FROM v WHERE error IS NULL AND NOT more AND type <> 'unrelated'
+  UNION ALL SELECT a, b, type2, CASE WHEN type2 = 'reconciled_by_context' THEN 'period' END, 0.7::DOUBLE, 1 + entries FROM fv)"""
+
+
+def compared(spark: SparkSession, d: str) -> compare.Comparison:
+    """Two projects of facts, compared with all that models say of their pairs."""
+    c = F.col
+    none = F.lit(None).cast("string")
+    facts = table(spark, d, "embeddings").select(
+        F.concat(F.lit("p"), (c("vec_id") % 2).cast("string")).alias("project_id"), c("vec_id").alias("fact_id"), (c("vec_id") % 20).alias("document_id"), F.lit("quantitative").alias("fact_kind"), "embedding",
+        F.concat(F.lit("revenue of e"), c("label") % 3).alias("entity"), F.when(c("vec_id") % 5 == 0, "Sales of the year").otherwise("the year sales").alias("attribute"), F.lit(True).alias("entity_resolved"),
+        F.struct(F.lit("eq").alias("comparator"), (c("vec_id") % 3).cast("double").alias("number"), F.lit(None).cast("double").alias("number_high"), F.lit("units").alias("unit"), none.alias("state"), none.alias("text")).alias("value"),
+        F.struct(F.lit("FY24").alias("raw_label")).alias("period"), F.create_map(F.lit("basis"), F.lit("actual")).alias("qualifiers"), F.lit("verified").alias("verification_status"),
+    )
+    pairs = relationships.ordered(candidates.nearest(facts, k=8, most=0.75).select("fact", "other")).distinct().withColumn("n", c("fact_id_a") + c("fact_id_b"))
+    e = lambda k: f"revenue of e{k}"
+    labels = spark.createDataFrame([("entity", e(0), e(1), True, e(1), None), ("entity", e(0), e(2), True, "all", "timeout")], "kind string, label_a string, label_b string, same_concept boolean, answered_name string, error string")
+    first, steps, results, final = said_of(pairs)
+    none = spark.createDataFrame([], "fact_id_a long, fact_id_b long")
+    return compare.compare_document(facts, none, compare.Answers(first, labels, steps, results, final), most=0.75)
+
+
+@query(f"""WITH {_COMPARED} SELECT a AS fact_id_a, b AS fact_id_b, type, basis, round(confidence, 9) AS confidence, entries::INTEGER AS entries FROM ed""")
+def compared_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that a comparison makes, with the number of entries of their trails."""
+    return compared(spark, d).edges.select("fact_id_a", "fact_id_b", "type", "basis", F.round("confidence", 9).alias("confidence"), F.size("trail").alias("entries"))
+
+
+@query(f"""WITH {_COMPARED}, pj AS (SELECT 'p' || (a % 2) AS project_id, * FROM ck),
+x AS (SELECT project_id, count(*)::BIGINT AS candidate_pairs, count(*) FILTER (outcome = 'corroborates')::BIGINT AS precheck_corroborates, count(*) FILTER (outcome = 'not_comparable')::BIGINT AS precheck_not_comparable FROM pj GROUP BY 1),
+y AS (SELECT 'p' || (a % 2) AS project_id, count(*) FILTER (error IS NULL)::BIGINT AS adjudicated, count(*) FILTER (error IS NOT NULL)::BIGINT AS adjudication_errors, count(*) FILTER (error IS NULL AND more)::BIGINT AS reconciled FROM v GROUP BY 1),
+t AS (SELECT project_id, string_agg(type || '=' || n, ',' ORDER BY type) AS by_type FROM (SELECT 'p' || (a % 2) AS project_id, type, count(*) AS n FROM ed GROUP BY ALL) GROUP BY 1)
+SELECT project_id, (SELECT count(*) FROM em WHERE 'p' || (vec_id % 2) = x.project_id)::BIGINT AS facts_considered, x.* EXCLUDE (project_id), y.* EXCLUDE (project_id), by_type FROM x JOIN y USING (project_id) JOIN t USING (project_id)""")
+def comparison_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of that comparison, for each project."""
+    out = compared(spark, d).statistics
+    return out.withColumn("by_type", F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
 _LINE = f"""{LINE_FACTS}, fl AS (
   SELECT DISTINCT ON (fact_id) *, CASE WHEN n = floor(n) THEN n::BIGINT::VARCHAR ELSE rtrim(printf('%.2f', n), '0') END AS figure, CASE state WHEN 'sent back' THEN ' Sent  back' WHEN 'accepted' THEN 'Accepted' ELSE state END AS shown FROM facts)"""
 

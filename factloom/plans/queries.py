@@ -13,6 +13,7 @@ from factloom.operators.normalise import by_dictionary, with_period, with_value
 from factloom.plans import knowledge
 from factloom.plans.derived import document_pages, event_logs, line_facts, project_facts, table, vector_facts
 from factloom.streaming.ingest import drain, log_windows, read_stream, state_folder, take_new
+from factloom.streaming import profiles
 
 KNN_MOST = 0.75
 
@@ -351,6 +352,15 @@ def stream_new_documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(store).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+def streamed_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as a stream of documents that arrive by id; those of a kind are a project: their clusters and the profile after the last."""
+    docs = read_stream(spark, d, "embeddings").select(F.col("label").alias("project_id"), F.col("vec_id").alias("document_id"), F.col("vec_id").alias("created_at"), F.col("embedding").alias("doc_embedding"))
+    store = f"{state_folder(spark)}/placed"
+    profiles.run(profiles.placements(docs, join=0.3), store, state_folder(spark))
+    placed = spark.read.parquet(store)
+    return placed.select("project_id", "document_id", "sub_cluster_id", F.round("similarity", 9).alias("similarity"), "off_domain", "place", F.col("profile.document_count").alias("documents_after"))
+
+
 def comparator_repair(spark: SparkSession, d: str) -> DataFrame:
     """Comparators of quantities after the words before them are read."""
     words = F.array(*map(F.lit, ("over ", "at least ", "fewer than ", "up to ", "roughly ", "between ", "no more than ", "", "north of ", "shy of ")))
@@ -410,5 +420,5 @@ def compare_vectors(spark: SparkSession, d: str) -> DataFrame:
     return decided.groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES |= {f.__name__: f for f in (stream_log_windows, stream_new_documents, comparator_repair, finalise_candidates, fact_lines, compare_vectors)}
+QUERIES |= {f.__name__: f for f in (stream_log_windows, stream_new_documents, streamed_profiles, comparator_repair, finalise_candidates, fact_lines, compare_vectors)}
 QUERIES |= knowledge.QUERIES
