@@ -8,12 +8,13 @@ from factloom.functions.periods import period, relation
 from factloom.functions.render import fact_line
 from factloom.functions.repair import repair_comparators
 from factloom.functions.units import magnitude, unit_info
-from factloom.operators import candidates, chunking, clusters, compare, concepts, evaluation, extraction, grounding, precheck, relationships, routing, search, tables, verification
+from factloom.operators import candidates, chunking, clusters, compare, concepts, evaluation, extraction, graph_index, grounding, precheck, relationships, routing, search, tables, verification
 from factloom.operators.normalise import by_dictionary, with_period, with_value
 from factloom.plans import knowledge
 from factloom.plans.derived import document_pages, event_logs, line_facts, project_facts, table, vector_facts
-from factloom.streaming.ingest import drain, log_windows, read_stream, state_folder, take_new
+from factloom.sources.shared import durable
 from factloom.streaming import profiles
+from factloom.streaming.ingest import drain, log_windows, read_stream, state_folder, take_new
 
 KNN_MOST = 0.75
 
@@ -136,6 +137,14 @@ def candidates_by_project(spark: SparkSession, d: str) -> DataFrame:
     return near.select("project_id", "fact", "other", "rank", F.round("distance", 9).alias("distance"))
 
 
+def graph_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """About the ten nearest of every fact whose id is divisible by 50, by an index of all facts in shards of 512."""
+    facts = vector_facts(spark, d)
+    index = durable(graph_index.build(facts, group=("project_id",), shard=512))
+    near = graph_index.search(index, facts.where("fact_id % 50 = 0"), group=("project_id",))
+    return near.select("fact", "other", "rank", F.round("distance", 9).alias("distance"))
+
+
 def knn_other_kind(spark: SparkSession, d: str) -> DataFrame:
     """The nearest three of other kinds for facts of kind 0."""
     near = candidates.nearest(vector_facts(spark, d), k=3, most=None, group=("project_id",), of=F.col("fact_kind") == 0, among=F.col("fact_kind") != 0)
@@ -331,7 +340,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grounding_benchmark, grounding_reasons, route_pages, document_profile, chunk_offsets, plan_batches, page_phases, anchor_lines, normalize_units, half_steps,
-        value_intervals, normalize_periods, period_relations, comparator_phrases, assumption_flags, significant_qualifiers, precheck_outcomes, open_pairs, knn_candidates, candidates_by_project,
+        value_intervals, normalize_periods, period_relations, comparator_phrases, assumption_flags, significant_qualifiers, precheck_outcomes, open_pairs, knn_candidates, candidates_by_project, graph_candidates,
         knn_other_kind, edges_deduped, edges_by_document, disputed_edges, disputed_edges_all, facts_page, facts_by_status, relationships_by_type, hybrid_search, evidence_passages,
         evaluation_overall, evaluation_per_document, evaluation_timeline, survivorship, mean_embedding, assign_clusters, concept_decisions, concept_upsert,
         duplicate_documents, cascade_delete, verify_states, dual_reading, read_twice, correction_diff, accounting_figures, tool_trace, answer_citations,
