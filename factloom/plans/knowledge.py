@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import render, repair
-from factloom.operators import adjudication, candidates, clusters, compare, evidence, extraction, grounding, postings, provider, relationships, routing, search, tables, verification, views
+from factloom.operators import adjudication, candidates, clusters, compare, evidence, extraction, grounding, postings, provider, relationships, routing, search, table_finder, tables, verification, views
 from factloom.operators.evaluation import verdict_breakdown as breakdown
 from factloom.plans.derived import LINE_FACTS, LOGS, PAGES, document_pages, event_logs, line_facts, table, vector_facts
 from factloom.streaming.ingest import state_folder
@@ -71,6 +71,27 @@ def data_tables(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_ROWS}, full_rows AS (SELECT k, list_transform(rows, lambda r: list_transform([1, 2, 3], lambda j: coalesce(r[j], ''))) AS rows FROM ta WHERE len(rows) >= 2)
+SELECT k AS page, len(rows)::INTEGER AS n_rows, md5(array_to_string(list_transform(rows, lambda r: array_to_string(r, '|')), chr(10))) AS cells FROM full_rows""")
+def found_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' tables, drawn on pages below a sentence, and found again from the boxes of their words."""
+    c = F.col
+    lines = order_tables(spark, d).select("page", F.posexplode("rows").alias("row", "cells")).select("page", "row", F.posexplode("cells").alias("column", "cell"))
+    parts = lines.select("page", "row", "column", F.posexplode(F.split("cell", "\n")).alias("part", "text"))
+    line = c("row") * 2 + c("part") + 1
+    y0 = 60.0 + 30.0 * c("row") + 11.0 * c("part")
+    text = F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("­"), F.lit("")))
+    drawn = parts.select(c("page").alias("page_number"), line.alias("line"), (50.0 + 150.0 * c("column")).alias("x"), y0.alias("y0"), text.alias("text"))
+    above = order_tables(spark, d).select(c("page").alias("page_number"), F.lit(0).alias("line"), F.lit(50.0).alias("x"), F.lit(20.0).alias("y0"), F.lit("the lines of this order, one below the other, by their number, with all that they cost").alias("text"))
+    words = drawn.unionByName(above).select("page_number", "line", "x", "y0", F.col("text"), F.posexplode(F.split("text", " ")).alias("place", "word"))
+    # A word stands where the text before it ends.
+    before = F.length(F.array_join(F.slice(F.split("text", " "), F.lit(1), c("place")), " ")) + F.when(c("place") > 0, 1).otherwise(0)
+    x0 = c("x") + 5.0 * before
+    boxed = words.select(F.lit("d").alias("document_id"), "page_number", "place", "line", "word", x0.alias("x0"), "y0", (x0 + 5.0 * F.length("word")).alias("x1"), (c("y0") + 10.0).alias("y1"))
+    tables_ = table_finder.find_tables(boxed)
+    return tables_.select(c("page_number").alias("page"), F.size("rows").alias("n_rows"), F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").cast("binary")).alias("cells"))
+
+
 def table_page_rows(spark: SparkSession, d: str) -> DataFrame:
     """Pages of orders with what classify_page reads; every third has no table, but lines full of digits."""
     page = F.col("page")
