@@ -7,6 +7,7 @@ from factloom.functions import render, repair
 from factloom.operators import adjudication, candidates, clusters, compare, evidence, extraction, grounding, postings, provider, relationships, routing, search, table_finder, tables, verification, views
 from factloom.operators.evaluation import verdict_breakdown as breakdown
 from factloom.plans.derived import LINE_FACTS, LOGS, PAGES, document_pages, event_logs, line_facts, table, vector_facts
+from factloom.sources import snapshots
 from factloom.streaming.ingest import state_folder
 
 QUERIES, SQL = {}, {}
@@ -253,6 +254,35 @@ def batch_chunks(spark: SparkSession, d: str) -> DataFrame:
     return grounding.batch_chunk(asked, chunks).select(c("document_id").alias("conv_id"), "turn", "chunk_index")
 
 
+# Snapshots: embeddings are the facts of three projects, saved and loaded again.
+
+
+@query("""
+WITH f AS (SELECT 'project ' || (label % 3) AS name, vec_id, vec_id % 20 AS d, label FROM embeddings)
+SELECT name, count(DISTINCT d)::BIGINT AS n_documents, count(*)::BIGINT AS n_facts, (count(*) - 1)::BIGINT AS n_edges, sum(vec_id)::BIGINT AS refs, sum(label)::DOUBLE AS numbers FROM f GROUP BY 1""")
+def snapshot_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What a saved and loaded snapshot holds of each project: documents, facts that find their document, edges that find both facts."""
+    from pyspark.sql import Window as W
+
+    c = F.col
+    name = F.concat(F.lit("project "), (c("label") % 3).cast("string"))
+    rows = table(spark, d, "embeddings").select(name.alias("name"), F.md5(name).alias("project_id"), c("vec_id").cast("string").alias("fact_id"), F.concat(F.lit("d"), (c("vec_id") % 20).cast("string")).alias("document_id"), "label", "vec_id")
+    nxt = F.lead("fact_id").over(W.partitionBy("project_id").orderBy("vec_id"))
+    value = F.struct(F.lit("eq").alias("comparator"), c("label").cast("double").alias("number"))
+    tables_ = {
+        "documents": rows.select("project_id", "document_id", F.concat("document_id", F.lit(".pdf")).alias("filename")).distinct(), "facts": rows.select("project_id", "fact_id", "document_id", value.alias("value")),
+        "fact_relationships": rows.select("project_id", F.concat(F.lit("r"), "fact_id").alias("relationship_id"), c("fact_id").alias("fact_id_a"), nxt.alias("fact_id_b")).where("fact_id_b IS NOT NULL"),
+    }
+    at = f"{state_folder(spark)}/snapshot"
+    snapshots.save(rows.select("project_id", "name").distinct(), tables_, at)
+    got = snapshots.load(spark, at)
+    facts = got["facts"].join(got["documents"].select("project_id", "document_id"), ["project_id", "document_id"])
+    ends = relationships.detail(got["fact_relationships"].select("project_id", "fact_id_a", "fact_id_b"), facts.select("fact_id", "ref"))
+    counts = facts.groupBy("project_id").agg(F.count_distinct("document_id").alias("n_documents"), F.count(F.lit(1)).alias("n_facts"), F.sum(c("ref").cast("long")).alias("refs"), F.sum("value.number").alias("numbers"))
+    edges = ends.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    return got["projects"].join(counts, "project_id").join(edges, "project_id").select("name", "n_documents", "n_facts", "n_edges", "refs", "numbers")
+
+
 # Lexical search: questions are cut from the benchmark's passages, some with wildcards, and asked of all lines of documents.
 
 
