@@ -78,3 +78,9 @@ def grounding(evidence: Column, source: Column) -> Column:
         .when((F.length(e) < 24) & (occurrences(s, e) > 4), "too generic")
     )
     return F.struct(reason.isNull().alias("passed"), reason.alias("reason"))
+
+
+def is_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else."""
+    read = F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT"))
+    return F.coalesce(read & F.endswith(strip(text), F.lit("}")), F.lit(False))  # what follows an object is not read

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.functions.render import fence
-from factloom.functions.text import strip
+from factloom.functions.text import is_object, strip
 from factloom.functions.values import plain_number
 from factloom.operators.search import MOST_RESULT, TOOL_CALLS
 from factloom.schemas import RELATIONS
@@ -78,11 +78,6 @@ def verdicts(pairs: DataFrame, answers: DataFrame, *, final: bool = False) -> Da
     )
 
 
-def _is_object(text: str) -> Column:
-    read = F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT"))
-    return F.coalesce(read & F.endswith(strip(F.col(text)), F.lit("}")), F.lit(False))  # what follows an object is not read
-
-
 def _entry(**given: Column) -> Column:
     return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in ENTRY_FIELDS]).cast(ENTRY)
 
@@ -102,7 +97,7 @@ def reconcile(pairs: DataFrame, steps: DataFrame, results: DataFrame, final: Dat
     """
     keys = list(PAIR)
     asked = pairs.select(*PAIR).distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    said = steps.select(*PAIR, F.col("step").cast("int").alias("step"), F.from_json("text", DECISION).alias("d"), F.col("error_type").alias("e"), _is_object("text").alias("object"), F.lit(True).alias("there"))
+    said = steps.select(*PAIR, F.col("step").cast("int").alias("step"), F.from_json("text", DECISION).alias("d"), F.col("error_type").alias("e"), is_object(F.col("text")).alias("object"), F.lit(True).alias("there"))
     d = F.col("d")
     calls = F.coalesce(d["action"] == "use_tool", F.lit(False))
     known = F.coalesce(d["tool"].isin(*TOOLS), F.lit(False))

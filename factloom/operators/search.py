@@ -4,13 +4,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factloom.functions.text import is_object, strip
 from factloom.functions.values import plain_number
+from factloom.operators.relationships import DISPUTES
 from factloom.operators.views import with_document_name
 from factloom.schemas import ANSWERING
 
 #: Results of a search; characters around a hit; steps and tool calls of the loops.
 FOUND, PASSAGES, BEFORE, AFTER, CONTEXT = 8, 5, 160, 200, 1800
 STEPS, TOOL_CALLS, MOST_RESULT, TOOL_FACTS = 5, 3, 2000, 6
+#: What an answer says without facts, and after a failure.
+NO_FACTS = "This project has no verified facts that address that question."
+FAILED = "The answer could not be synthesised. The relevant facts are cited below."
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -111,3 +116,41 @@ def citations(answers: DataFrame, marked: DataFrame) -> DataFrame:
     joined = marked.join(wanted, "answer_id").withColumn("_hit", F.array_contains("found", F.col("marker")) & F.col("error").isNull())
     some = F.max("_hit").over(W.partitionBy("answer_id"))
     return joined.withColumn("_some", some).where(F.col("_hit") | ~F.col("_some")).select("answer_id", "marker", "fact_id")
+
+
+def synthesise(questions: DataFrame, gathered: DataFrame, edges: DataFrame, answers: DataFrame) -> DataFrame:
+    """questions (answer_id) with answer, error, citations (marker, fact_id) and disagreements (marker_a, marker_b, type, basis, explanation).
+
+    gathered are the facts of each answer (answer_id and what markers reads), answers what a model says (answer_id, text, error_type): an
+    object of answer and cited_markers. A question without facts is told so, whatever a model says. After an error, or a text
+    that is no object, the answer says that it failed and all its facts are cited; else those that are listed or named as
+    [F1] in the answer, markers of no fact left out. Disagreements are the disputed edges with both ends among the facts.
+    """
+    marked = markers(gathered)
+    said = F.from_json("text", "answer string, cited_markers array<string>")
+    told = answers.dropDuplicates(["answer_id"]).select("answer_id", said.alias("_said"), F.col("error_type").alias("_e"), is_object(F.col("text")).alias("_object"), F.lit(True).alias("_there"))
+    some = gathered.select("answer_id").distinct().withColumn("_facts", F.lit(True))
+    known = questions.select("answer_id").join(some, "answer_id", "left").join(told, "answer_id", "left")
+    error = F.when(F.col("_facts").isNull(), None).when(F.col("_there").isNull(), "missing").when(F.col("_e").isNotNull(), F.col("_e")).when(~F.col("_object"), "no JSON object")
+    read = known.withColumn("error", error.cast("string")).withColumn(
+        "answer", F.when(F.col("_facts").isNull(), NO_FACTS).when(F.col("error").isNotNull(), FAILED).otherwise(strip(F.coalesce("_said.answer", F.lit(""))))
+    )
+    found = F.array_distinct(F.concat(F.coalesce("_said.cited_markers", F.array().cast("array<string>")), F.regexp_extract_all("answer", F.lit(r"\[(F\d+)\]"), F.lit(1))))
+    wanted = read.select("answer_id", "error", found.alias("_found"))
+    number = F.substring("marker", 2, 9).cast("int")
+    cited = marked.join(wanted, "answer_id").where(F.col("error").isNotNull() | F.array_contains("_found", F.col("marker")))
+    # The facts of one answer are few: what a search gathers.
+    listed = cited.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), "marker", "fact_id"))).alias("_c"))
+    side = lambda s: marked.select("answer_id", F.col("fact_id").alias(f"fact_id_{s}"), F.col("marker").alias(f"marker_{s}"), number.alias(f"_{s}"))
+    disputed = edges.where(F.col("type").isin(*DISPUTES)).join(side("a"), "fact_id_a").join(side("b"), ["answer_id", "fact_id_b"])
+    apart = disputed.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("_a", "_b", "marker_a", "marker_b", "type", "basis", "explanation"))).alias("_d"))
+    names = ("marker_a", "marker_b", "type", "basis", "explanation")
+    return (
+        read.join(listed, "answer_id", "left")
+        .join(apart, "answer_id", "left")
+        .select(
+            "answer_id", "answer", "error",
+            F.coalesce(F.transform("_c", lambda c: F.struct(c["marker"].alias("marker"), c["fact_id"].alias("fact_id"))), F.array()).alias("citations"),
+            F.coalesce(F.transform("_d", lambda x: F.struct(*[x[n].alias(n) for n in names])), F.array()).alias("disagreements"),
+        )
+    )

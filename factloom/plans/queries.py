@@ -325,6 +325,19 @@ def tool_trace(spark: SparkSession, d: str) -> DataFrame:
     return search.tool_trace(steps, known).select("conversation", "step", "action", "outcome")
 
 
+def synthesised_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as questions, answered from their lines; some fail, some have no facts; two lines of some orders are disputed."""
+    key = F.col("o_orderkey")
+    facts = line_facts(spark, d).dropDuplicates(["fact_id"]).withColumn("answer_id", F.substring_index("fact_id", "-", 1).cast("long"))
+    asked = table(spark, d, "orders").select(F.explode(F.array(key, -key - 1)).alias("answer_id"))
+    said = F.to_json(F.struct(F.concat(F.lit(" as [F"), (key % 4 + 1).cast("string"), F.lit("] says ")).alias("answer"), F.array(F.lit("F2"), F.lit("F99")).alias("cited_markers")))
+    answers = table(spark, d, "orders").where(key % 7 != 0).select(key.alias("answer_id"), F.when(key % 11 == 0, "no object").otherwise(said).alias("text"), F.when(key % 5 == 0, "timeout").alias("error_type"))
+    ends = facts.groupBy("answer_id").agg(F.min("fact_id").alias("fact_id_a"), F.max("fact_id").alias("fact_id_b")).where((F.col("answer_id") % 3 == 0) & (F.col("fact_id_a") != F.col("fact_id_b")))
+    edges_ = ends.select("fact_id_a", "fact_id_b", F.when(F.col("answer_id") % 2 == 0, "contradicts").otherwise("corroborates").alias("type"), F.lit(None).cast("string").alias("basis"), F.lit("e").alias("explanation"))
+    out = search.synthesise(asked, facts, edges_, answers)
+    return out.select("answer_id", "answer", F.coalesce("error", F.lit("")).alias("error"), F.array_join(F.transform("citations", lambda c: c["marker"]), ",").alias("cited"), F.size("disagreements").alias("disagreements"))
+
+
 def answer_citations(spark: SparkSession, d: str) -> DataFrame:
     """Orders as answers that cite some of their lines."""
     facts = line_facts(spark, d).dropDuplicates(["fact_id"]).withColumn("answer_id", F.substring_index("fact_id", "-", 1).cast("long"))
@@ -343,7 +356,7 @@ QUERIES = {
         value_intervals, normalize_periods, period_relations, comparator_phrases, assumption_flags, significant_qualifiers, precheck_outcomes, open_pairs, knn_candidates, candidates_by_project, graph_candidates,
         knn_other_kind, edges_deduped, edges_by_document, disputed_edges, disputed_edges_all, facts_page, facts_by_status, relationships_by_type, hybrid_search, evidence_passages,
         evaluation_overall, evaluation_per_document, evaluation_timeline, survivorship, mean_embedding, assign_clusters, concept_decisions, concept_upsert,
-        duplicate_documents, cascade_delete, verify_states, dual_reading, read_twice, correction_diff, accounting_figures, tool_trace, answer_citations,
+        duplicate_documents, cascade_delete, verify_states, dual_reading, read_twice, correction_diff, accounting_figures, tool_trace, synthesised_answers, answer_citations,
     )
 }
 

@@ -203,6 +203,14 @@ t AS (
   SELECT *, row_number() OVER w AS place, coalesce(sum((action = 'conclude')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over_ FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id AS conversation, turn AS step, action, CASE WHEN action = 'conclude' THEN 'concluded' WHEN action = 'get_relationships' AND fact NOT IN (SELECT vec_id * 2 FROM embeddings) THEN 'unknown fact' ELSE 'ran' END AS outcome
 FROM t WHERE place <= 5 AND over_ = 0""",
+    "synthesised_answers": f"""
+WITH {LINE_FACTS}, o AS (SELECT DISTINCT split_part(fact_id, '-', 1)::BIGINT AS k, fact_id FROM facts), c AS (SELECT k, count(*) AS n FROM o GROUP BY 1),
+q AS (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders),
+e AS (SELECT q.k, n, CASE WHEN n IS NULL THEN '' WHEN q.k % 7 = 0 THEN 'missing' WHEN q.k % 5 = 0 THEN 'timeout' WHEN q.k % 11 = 0 THEN 'no JSON object' ELSE '' END AS error FROM q LEFT JOIN c USING (k))
+SELECT k AS answer_id, error,
+  CASE WHEN n IS NULL THEN 'This project has no verified facts that address that question.' WHEN error <> '' THEN 'The answer could not be synthesised. The relevant facts are cited below.' ELSE 'as [F' || (k % 4 + 1) || '] says' END AS answer,
+  coalesce(array_to_string(list_transform(list_filter(range(1, n + 1), lambda i: error <> '' OR i = 2 OR i = k % 4 + 1), lambda i: 'F' || i), ','), '') AS cited,
+  CASE WHEN n >= 2 AND k % 6 = 0 THEN 1 ELSE 0 END::INTEGER AS disagreements FROM e""",
     "answer_citations": f"""
 WITH {LINE_FACTS}, o AS (SELECT DISTINCT split_part(fact_id, '-', 1)::BIGINT AS answer_id, fact_id FROM facts),
 c AS (SELECT answer_id, count(*) AS k FROM o GROUP BY 1)
