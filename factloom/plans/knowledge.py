@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import render, repair
-from factloom.operators import adjudication, candidates, clusters, compare, evidence, extraction, grounding, postings, provider, relationships, routing, search, table_finder, tables, verification, views
+from factloom.operators import adjudication, candidates, clusters, compare, concepts, evidence, extraction, grounding, postings, provider, relationships, routing, search, table_finder, tables, verification, views
 from factloom.operators.evaluation import verdict_breakdown as breakdown
+from factloom.operators.normalise import with_period
 from factloom.plans.derived import LINE_FACTS, LOGS, PAGES, document_pages, event_logs, line_facts, table, vector_facts
 from factloom.sources import snapshots
 from factloom.streaming.ingest import state_folder
@@ -729,3 +730,71 @@ def clause_comparators(spark: SparkSession, d: str) -> DataFrame:
     return repair.repair_comparators(facts).groupBy("value.comparator").agg(F.count(F.lit(1)).alias("n"), F.sum(c("value.number").cast("int")).alias("total"))
 
 
+
+
+# Upserts, lists and labels that no query above reaches.
+
+_EDGES = "rl AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, ['corroborates', 'contradicts', 'unrelated'][o_orderkey % 3 + 1] AS type, (o_orderkey % 10) / 10.0 AS conf FROM orders)"
+
+
+def _typed_edges(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        k.alias("fact_id_a"), (k + 1).alias("fact_id_b"), _choose(k % 3, "corroborates", "contradicts", "unrelated").alias("type"), (k % 10 / 10).alias("confidence"), F.timestamp_seconds(k).alias("created_at")
+    )
+
+
+@query(f"""WITH {_EDGES} SELECT CASE WHEN a % 4 = 0 THEN 'reconciled_by_context' ELSE type END AS type, count(*)::BIGINT AS n, round(sum(CASE WHEN a % 4 = 0 THEN 0.25 ELSE conf END), 6)::DOUBLE AS confidence FROM rl GROUP BY 1""")
+def upserted_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges after every fourth was found anew, twice; the later one stays."""
+    old = _typed_edges(spark, d)
+    some = old.where(F.col("fact_id_a") % 4 == 0)
+    again = lambda kind, confidence, at: some.withColumns({"type": F.lit(kind), "confidence": F.lit(confidence), "created_at": F.timestamp_seconds(F.lit(at))})
+    done = relationships.upsert(old, again("unrelated", 0.9, 1).unionByName(again("reconciled_by_context", 0.25, 2)))
+    return done.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
+@query(f"""WITH {_EDGES} SELECT row_number() OVER (ORDER BY conf DESC, a, b)::INTEGER AS place, a AS fact_id_a, b AS fact_id_b FROM rl WHERE type = 'contradicts' AND conf >= 0.5""")
+def listed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Contradictions of some confidence, by falling confidence."""
+    from pyspark.sql import Window as W
+
+    found = relationships.listed(_typed_edges(spark, d), kind="contradicts", least=0.5)
+    return found.select(F.row_number().over(W.orderBy(F.desc("confidence"), "fact_id_a", "fact_id_b")).alias("place"), "fact_id_a", "fact_id_b")
+
+
+@query("""
+SELECT filename, count(*)::BIGINT AS n, min({'w': w, 'n': name}).n AS first FROM (
+  SELECT CASE WHEN c_custkey % 25 = 24 THEN '(none)' ELSE 'file ' || (c_custkey % 25) END AS filename, c_name AS name, c_custkey % 7 AS w FROM customer) GROUP BY 1""")
+def ontology_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as concepts, by the document that showed them first: how many, and the first; one document is gone."""
+    c = F.col
+    concepts_ = table(spark, d, "customer").select(F.lit("p").alias("project_id"), F.lit("entity").alias("kind"), c("c_name").alias("canonical_name"), (c("c_custkey") % 25).cast("string").alias("first_seen_document_id"), F.timestamp_seconds(c("c_custkey") % 7).alias("first_seen_at"))
+    documents = concepts_.select(c("first_seen_document_id").alias("document_id")).distinct().where("document_id <> '24'").withColumn("filename", F.concat(F.lit("file "), "document_id"))
+    out = concepts.ontology(concepts_, documents)
+    return out.select(F.coalesce("filename", F.lit("(none)")).alias("filename"), F.size("concepts").cast("long").alias("n"), F.element_at("concepts", 1)["canonical_name"].alias("first"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey % 5 AS r, year(o_orderdate)::INTEGER AS y, count(*)::BIGINT AS n FROM orders GROUP BY ALL)
+SELECT CASE r WHEN 0 THEN 'FY' || y || ' to FY' || (y + 2) WHEN 1 THEN 'between CY' || y || ' and CY' || (y + 3) WHEN 2 THEN 'for the year ended March 31, ' || y WHEN 3 THEN 'nine months ended December 31, ' || y ELSE 'quarter ended December 31, ' || y END AS label,
+  ['multi_year', 'multi_year', 'fiscal_year', 'partial_year', 'quarter'][r + 1] AS kind,
+  CASE r WHEN 0 THEN (y - 1) || '-04-01' WHEN 1 THEN y || '-01-01' WHEN 2 THEN (y - 1) || '-04-01' WHEN 3 THEN y || '-04-01' ELSE y || '-10-01' END AS start_date,
+  CASE r WHEN 0 THEN (y + 2) || '-03-31' WHEN 1 THEN (y + 3) || '-12-31' WHEN 2 THEN y || '-03-31' ELSE y || '-12-31' END AS end_date, n FROM o""")
+def odd_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of several years and of parts of years, made from the years of orders."""
+    y, r = F.year("o_orderdate"), F.col("o_orderkey") % 5
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    label = F.when(r == 0, said("FY", y, " to FY", y + 2)).when(r == 1, said("between CY", y, " and CY", y + 3)).when(r == 2, said("for the year ended March 31, ", y)).when(r == 3, said("nine months ended December 31, ", y))
+    counted = table(spark, d, "orders").select(F.coalesce(label, said("quarter ended December 31, ", y)).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return with_period(counted, F.col("label"), "p").select("label", "p.kind", F.col("p.start_date").cast("string").alias("start_date"), F.col("p.end_date").cast("string").alias("end_date"), "n")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
+SELECT conv_id, turn, greatest(1, length(t) // 4)::INTEGER AS tokens FROM c""")
+def token_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated tokens of every message."""
+    from factloom.functions.text import estimate_tokens
+
+    return table(spark, d, "conversations").select("conv_id", "turn", estimate_tokens(F.coalesce("text", F.lit(""))).cast("int").alias("tokens"))
