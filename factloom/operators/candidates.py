@@ -43,6 +43,8 @@ def _dealt(rows: DataFrame, group: tuple[str, ...], reach: float | None) -> tupl
 
     reach is the largest distance of unit vectors that counts, None for any.
     """
+    if "_length" not in rows.columns:
+        rows, group = rows.withColumn("_length", F.size("embedding")), (*group, "_length")
     by, one = list(group), {"cell": F.lit(-1), "part": F.lit(0), "other_cell": F.lit(-1), "other_part": F.lit(0)}
     large = _checked(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).withColumn("large", F.lit(True)))
     if not large.count():

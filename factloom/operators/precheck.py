@@ -222,12 +222,12 @@ _CLASS_KEYS = [*BLOCKED, "class"]
 def outcome_counts(facts: DataFrame, key: str = "fact_id") -> DataFrame:
     """project_id, outcome, reason, n: the pairs of pairs_in_blocks, counted, without a row for any of them.
 
-    Keys are unique in a project.
+    Rows that share a key are no pair. A key names one fact, so there are few of them, and these are made and taken off.
     """
     stated = F.array_sort(F.map_entries("cmp.qualifiers"))
     named = F.struct(*[F.col(c).alias(n) for n, c in _CLASS.items()], stated.alias("qualifiers"))
     # A string, so that classes with nulls are equal too.
-    ready = durable(_ready(facts, key).withColumn("class", F.sha2(F.to_json(F.struct(named.alias("k"))), 256)))
+    ready = durable(_ready(facts, key).withColumn("at", F.monotonically_increasing_id()).withColumn("class", F.sha2(F.to_json(F.struct(named.alias("k"))), 256)))
     # Any interval will do for the rules up to the last one, which is counted apart.
     point = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(True).alias("low_closed"), F.lit(True).alias("high_closed"))
     one = F.any_value("cmp").alias("cmp")
@@ -254,6 +254,11 @@ def outcome_counts(facts: DataFrame, key: str = "fact_id") -> DataFrame:
         classes.groupBy(*BLOCKED).agg(F.sum("n").alias("n")).select("project_id", F.lit("not_comparable").alias("outcome"), F.lit("periods do not meet").alias("reason"), F.expr("n * (n - 1) div 2").alias("n")),
         met.select("project_id", F.lit("not_comparable").alias("outcome"), F.lit("periods do not meet").alias("reason"), (-F.col("n")).alias("n")),
     ]
+    own = [*BLOCKED, "id"]
+    again = ready.join(ready.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*own), own)
+    side = lambda s: again.select(*own, F.col("cmp").alias(f"cmp_{s}"), F.col("at").alias(f"at_{s}"))
+    same = side("a").join(side("b"), own).where("at_a < at_b").withColumn("check", decide(F.col("cmp_a"), F.col("cmp_b")))
+    parts.append(same.select("project_id", "check.outcome", "check.reason", F.lit(-1).cast("long").alias("n")))
     whole = parts[0]
     for more in parts[1:]:
         whole = whole.unionByName(more)

@@ -41,13 +41,13 @@ chunks AS (
     coalesce(CASE WHEN length(before) <= 700 THEN before WHEN instr(t, ' ') > 0 THEN trim(substr(t, instr(t, ' ') + 1)) ELSE trim(t) END, '') AS context FROM ct)"""
 _PAIR = """
 pairs AS (
-  SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, a.fact_kind AS kind, a.d0 AS a0, a.d1 AS a1, b.d0 AS b0, b.d1 AS b1, a.basis <> b.basis AS x_basis, a.audited <> b.audited AS x_audited, a.state = b.state AS same_state,
+  SELECT a.fact_kind AS kind, a.d0 AS a0, a.d1 AS a1, b.d0 AS b0, b.d1 AS b1, a.basis <> b.basis AS x_basis, a.audited <> b.audited AS x_audited, a.state = b.state AS same_state,
     a.dim AS da, b.dim AS db, a.currency AS ca, b.currency AS cb, a.resolved AND b.resolved AS resolved,
     NOT (a.base_high < b.base_low OR b.base_high < a.base_low OR (a.base_high = b.base_low AND NOT (a.high_closed AND b.low_closed))
       OR (b.base_high = a.base_low AND NOT (b.high_closed AND a.low_closed))) AS meet
   FROM facts a JOIN facts b ON a.fact_kind = b.fact_kind AND a.entity = b.entity AND a.attribute = b.attribute AND a.fact_id < b.fact_id),
 checked AS (
-  SELECT fact_id_a, fact_id_b, CASE
+  SELECT CASE
     WHEN a1 < b0 OR b1 < a0 THEN 'not_comparable/periods do not meet'
     WHEN NOT (a0 = b0 AND a1 = b1) THEN 'needs_adjudication/periods meet but differ'
     WHEN x_basis OR x_audited THEN 'needs_adjudication/significant qualifiers differ: ' || concat_ws(', ', CASE WHEN x_audited THEN 'audited' END, CASE WHEN x_basis THEN 'basis' END)
@@ -61,6 +61,7 @@ checked AS (
     WHEN da = 'currency' AND ca <> cb THEN 'needs_adjudication/different currencies'
     WHEN meet THEN CASE WHEN resolved THEN 'corroborates/intervals overlap' ELSE 'needs_adjudication/an entity was inferred, not stated' END
     ELSE 'needs_adjudication/intervals do not overlap' END AS verdict FROM pairs)"""
+_NAMED_PAIR = _PAIR.replace("SELECT a.fact_kind", "SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, a.fact_kind", 1).replace("SELECT CASE", "SELECT fact_id_a, fact_id_b, CASE", 1)
 _FLAGS = """concat_ws(',', CASE WHEN NOT resolved THEN 'entity_inferred' END, CASE WHEN fact_kind = 'quantitative' AND comparator IS NULL THEN 'comparator_unspecified' END,
   CASE WHEN period_kind IN ('fiscal_year', 'quarter', 'half') THEN 'fy_convention_assumed' END)"""
 _NFLAGS = "((NOT resolved)::INTEGER + (fact_kind = 'quantitative' AND comparator IS NULL)::INTEGER + (period_kind IN ('fiscal_year', 'quarter', 'half'))::INTEGER)"
@@ -105,7 +106,7 @@ WITH {LINE_FACTS} SELECT fact_id, {_FLAGS} AS flags, round(CASE WHEN {_NFLAGS} =
     "precheck_outcomes": f"""
 WITH {LINE_FACTS}, {_PAIR} SELECT split_part(verdict, '/', 1) AS outcome, split_part(verdict, '/', 2) AS reason, count(*)::BIGINT AS n FROM checked GROUP BY ALL""",
     "open_pairs": f"""
-WITH {LINE_FACTS}, {_PAIR} SELECT fact_id_a, fact_id_b, split_part(verdict, '/', 1) AS outcome, split_part(verdict, '/', 2) AS reason FROM checked WHERE verdict NOT LIKE 'not_comparable/%'""",
+WITH {LINE_FACTS}, {_NAMED_PAIR} SELECT fact_id_a, fact_id_b, split_part(verdict, '/', 1) AS outcome, split_part(verdict, '/', 2) AS reason FROM checked WHERE verdict NOT LIKE 'not_comparable/%'""",
     "knn_candidates": f"WITH {_RANKED} SELECT fact, other, rank, round(distance, 9) AS distance FROM kept",
     "candidates_by_project": f"""
 WITH {PROJECT_FACTS},
