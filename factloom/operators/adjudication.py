@@ -103,6 +103,8 @@ def reconcile(pairs: DataFrame, steps: DataFrame, results: DataFrame, final: Dat
     known = F.coalesce(d["tool"].isin(*TOOLS), F.lit(False))
     error = F.when(F.col("there").isNull(), "missing").when(F.col("e").isNotNull(), F.substring("e", 1, 200)).when(~F.col("object"), "no JSON object").when(calls & ~known, F.concat(F.lit("invalid tool "), F.coalesce(d["tool"], F.lit("none"))))
     planned = asked.join(said, [*keys, "step"], "left").withColumn("error", error).withColumn("ends", F.col("error").isNotNull() | ~calls)
+    # Dealt into all partitions, which are not merged: a step is a few bytes, but with what its tool gives it is some thousand.
+    planned = planned.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     before = W.partitionBy(*keys).orderBy("step").rowsBetween(W.unboundedPreceding, -1)
     taken = planned.withColumn("over", F.coalesce(F.max(F.col("ends").cast("int")).over(before), F.lit(0))).where("over = 0")
     outputs = results.select(F.col("tool").alias("_tool"), F.col("query").alias("_query"), F.col("fact_id").alias("_fact"), "output").dropDuplicates(["_tool", "_query", "_fact"])
