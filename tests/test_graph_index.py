@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import candidates, graph_index
 from factloom.plans import queries
+from factloom.plans.derived import vector_facts
 
 SCHEMA = "project_id string, fact_kind string, fact_id long, embedding array<double>"
 
@@ -74,3 +75,28 @@ def test_query_recall(spark, table):
     got = {(r["fact"], r["other"]) for r in queries.QUERIES["graph_candidates"](spark, d).collect()}
     want = {(r["fact"], r["other"]) for r in candidates.nearest(queries.vector_facts(spark, d), k=10, most=None, group=("project_id",), of=F.col("fact_id") % 50 == 0).collect()}
     assert len(want) == 400 and len(got & want) >= 0.9 * len(want), len(got & want)
+
+
+def test_shards_are_built_apart_and_searched_together(spark, sf, monkeypatch):
+    facts = vector_facts(spark, sf).withColumn("fact_kind", F.lit(0))
+    size = max(2, facts.count() // 5)
+    index = graph_index.build(facts, shard=size)
+    # A task for each shard: merged by bytes, all of them would be built in one.
+    assert index.rdd.getNumPartitions() >= 2 * index.select("shard").distinct().count()
+    index = index.localCheckpoint()
+    rows = lambda: sorted(map(tuple, graph_index.search(index, facts, k=4).collect()))
+    together = rows()
+    monkeypatch.setattr(graph_index, "TOGETHER", 1)
+    assert together and together == rows()
+
+
+def test_a_walk_over_known_distances_is_a_beam():
+    x = np.random.default_rng(8).normal(size=(500, 6))
+    graph = graph_index.Layers(range(500), x)
+    for n in range(500):
+        graph.add(n, 8, 32)
+    for q in graph.x[:20]:
+        apart = (1 - graph.x @ q).round(12)
+        walked = graph.walk(apart.tolist(), [graph.entry], 16, 0)
+        beam = graph.beam(q, [(float(apart[graph.entry]), graph.entry)], 16, 0)
+        assert [n for _, n in walked] == [n for _, n in beam]
