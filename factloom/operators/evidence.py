@@ -1,9 +1,9 @@
 """The evidence view: where a fact's evidence stands on its page, as boxes, one for each line that it touches.
 
-A page is a table of words with their boxes, as a reader of page layouts gives them. The words of a page, joined by single
-blanks in their order, are its text, and running offsets tell where each word begins. A span is looked for in that text, whatever
-its case and blanks, and each of its places is an interval of characters; words meet it by an interval join within the page;
-their boxes are merged by line. No page is compared with the facts of another.
+A page is one row of words with their boxes, as a reader of page layouts gives them (words that come as rows are gathered). The words
+of a page, joined by single blanks in their order, are its text. A span is looked for in that text, whatever its case and blanks;
+the blanks before each of its places tell which words it touches, and their boxes are merged by line. All that is done where the
+page and its facts meet: no word moves by itself, and no page is compared with the facts of another.
 
 The span that a fact was anchored to is looked for first; if the page does not have it, the beginning of the evidence is. A fact
 without either, or whose page has no words, has no boxes.
@@ -11,14 +11,18 @@ without either, or whose page has no words, has no boxes.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from factloom.functions.binding import let
 from factloom.functions.render import relative_boxes
-from factloom.functions.text import strip
+from factloom.functions.text import WHITE, strip
 
 #: Fixed value: characters of the evidence that are looked for where its anchor is not found.
 LOOKED_FOR = 80
 PAGE = ["document_id", "page_number"]
+WORD = ("place", "line", "word", "x0", "y0", "x1", "y1")
+#: What stands between words where they are counted; what a text of words has that are blank or hold blanks.
+MARK = "\u0001"
+ODD = f"[{WHITE}]|^{MARK}|{MARK}{MARK}|{MARK}$|^$"
 
 
 def plain(text: Column) -> Column:
@@ -26,19 +30,14 @@ def plain(text: Column) -> Column:
     return F.lower(strip(F.regexp_replace(text, r"\s+", " ")))
 
 
-def with_offsets(words: DataFrame) -> DataFrame:
-    """words (document_id, page_number, place, line, word, x0, y0, x1, y1) with begin and end, their places in the page's text."""
-    before = W.partitionBy(*PAGE).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    # Blank words go first, by a cheaper test, as the filter would have each word's form made twice.
-    said = words.where(strip(F.col("word")) != "").withColumn("word", plain(F.col("word")))
-    begin = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")
-    return said.withColumn("begin", begin).withColumn("end", F.col("begin") + F.length("word"))
+def paged(words: DataFrame) -> DataFrame:
+    """document_id, page_number, words: the words of each page in one row, in their order.
 
-
-def page_texts(words: DataFrame) -> DataFrame:
-    """document_id, page_number, page_text: the words of each page, joined; words are what with_offsets gives."""
-    told = F.array_sort(F.collect_list(F.struct("begin", "word")))
-    return words.groupBy(*PAGE).agg(F.array_join(F.transform(told, lambda w: w["word"]), " ").alias("page_text"))
+    words are rows (document_id, page_number, place, line, word, x0, y0, x1, y1), or are such pages already.
+    """
+    if "words" in words.columns:
+        return words
+    return words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*WORD))).alias("words"))
 
 
 def places(text: Column, span: Column) -> Column:
@@ -50,28 +49,54 @@ def places(text: Column, span: Column) -> Column:
     return F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
 
 
-def spans(facts: DataFrame, texts: DataFrame) -> DataFrame:
-    """fact_id, document_id, page_number, begin, end: each place of a fact's evidence on its page.
+def _touched(words: Column, text: Column, begin: Column, length: Column) -> Column:
+    """The words that a span of a text touches; the text is that of words with MARK between them, and the span begins and ends in words."""
+    marks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(MARK), F.lit("")))
+    return F.slice(words, marks(F.substring(text, F.lit(1), begin)) + 1, marks(F.substring(text, begin + 1, length)) + 1)
 
-    facts are (fact_id, document_id, page_number, matched_text, evidence_text).
-    """
-    anchor, evidence = plain(F.coalesce("matched_text", "evidence_text", F.lit(""))), plain(F.substring(F.coalesce("evidence_text", F.lit("")), 1, LOOKED_FOR))
-    has = lambda s: (F.col(s) != "") & F.contains("page_text", s)
-    asked = facts.select("fact_id", *PAGE, anchor.alias("anchor"), evidence.alias("evidence")).join(texts, PAGE)
-    named = asked.withColumn("span", F.when(has("anchor"), F.col("anchor")).when(has("evidence"), F.col("evidence"))).where("span IS NOT NULL")
-    found = named.select("fact_id", *PAGE, F.length("span").alias("length"), F.explode(places(F.col("page_text"), F.col("span"))).alias("begin"))
-    return found.select("fact_id", *PAGE, "begin", (F.col("begin") + F.col("length")).alias("end"))
+
+def _by_line(words: Column) -> Column:
+    """A box for each line of words, in reading order."""
+
+    def box(line: Column) -> Column:
+        of = lambda name, ws: F.transform(ws, lambda w: w[name])
+        merged = lambda ws: F.struct(F.array_min(of("x0", ws)).alias("x0"), F.array_min(of("y0", ws)).alias("y0"), F.array_max(of("x1", ws)).alias("x1"), F.array_max(of("y1", ws)).alias("y1"))
+        return let(F.filter(words, lambda w: w["line"].eqNullSafe(line)), merged)
+
+    return F.transform(F.array_distinct(F.transform(words, lambda w: w["line"])), box)
+
+
+def _boxes(words: Column, anchor: Column, evidence: Column) -> Column:
+    """The boxes of a fact on a page: of its anchor, or else of its evidence; null without either."""
+    told = lambda ws: F.array_join(F.transform(ws, lambda w: w["word"]), MARK)
+    marks = lambda ws, text: F.size(ws) == F.length(F.replace(text, F.lit(MARK), F.lit(f"{MARK}{MARK}"))) - F.length(text) + 1
+    form = lambda w: w.withField("word", F.translate(plain(w["word"]), MARK, "\u0002"))
+    formed = lambda ws: F.struct(ws.alias("words"), told(ws).alias("marked"))
+    # Most pages have neither blank words nor blanks in words: these are made plain at once, others word by word.
+    slow = let(F.transform(F.filter(words, lambda w: strip(w["word"]) != ""), form), formed)
+    laid = let(told(words), lambda t: F.when(marks(words, t) & ~F.rlike(t, F.lit(ODD)), F.struct(words.alias("words"), F.lower(t).alias("marked"))).otherwise(slow))
+    said = lambda p: F.struct(p["words"].alias("words"), p["marked"].alias("marked"), F.translate(p["marked"], MARK, " ").alias("text"), anchor.alias("anchor"), evidence.alias("evidence"))
+    has = lambda p, s: (p[s] != "") & F.contains(p["text"], p[s])
+    sought = lambda p: F.when(has(p, "anchor"), p["anchor"]).when(has(p, "evidence"), p["evidence"])
+
+    def found(p: Column, span: Column) -> Column:
+        return F.flatten(F.transform(places(p["text"], span), lambda at: let(_touched(p["words"], p["marked"], at, F.length(span)), _by_line)))
+
+    return let(let(laid, said), lambda p: let(sought(p), lambda span: found(p, span)))
 
 
 def boxes(facts: DataFrame, words: DataFrame) -> DataFrame:
-    """fact_id, boxes: of each fact with evidence on its page, a box for each line of each place, in reading order."""
-    placed = with_offsets(words)
-    asked = spans(facts, page_texts(placed)).withColumnsRenamed({"begin": "from", "end": "to"})
-    met = asked.join(placed, PAGE).where((F.col("begin") < F.col("to")) & (F.col("end") > F.col("from")))
-    lines = met.groupBy("fact_id", "from", "line").agg(F.min("place").alias("place"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    # A fact's boxes are the lines that its evidence touches.
-    every = F.array_sort(F.collect_list(F.struct("from", "place", "x0", "y0", "x1", "y1")))
-    return lines.groupBy("fact_id").agg(F.transform(every, lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"))).alias("boxes"))
+    """fact_id, document_id, page_number, boxes: of each fact with evidence on its page, a box for each line of each place, in reading order.
+
+    facts are (fact_id, document_id, page_number, matched_text, evidence_text), words what `paged` takes.
+    """
+    anchor, evidence = plain(F.coalesce("matched_text", "evidence_text", F.lit(""))), plain(F.substring(F.coalesce("evidence_text", F.lit("")), 1, LOOKED_FOR))
+    unmarked = lambda t: F.translate(t, MARK, "\u0002")
+    asked = facts.select("fact_id", *PAGE, unmarked(anchor).alias("anchor"), unmarked(evidence).alias("evidence"))
+    # Facts are shorter than their pages: these are not sorted.
+    met = paged(words).join(asked.hint("shuffle_hash"), PAGE)
+    found = F.filter(F.array(_boxes(F.col("words"), F.col("anchor"), F.col("evidence"))), lambda b: F.size(b) > 0)
+    return met.select("fact_id", *PAGE, F.explode(found).alias("boxes"))
 
 
 def view(facts: DataFrame, documents: DataFrame, chunks: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
@@ -82,7 +107,7 @@ def view(facts: DataFrame, documents: DataFrame, chunks: DataFrame, words: DataF
     """
     named = facts.join(documents.select("document_id", "filename"), "document_id", "left")
     told = named.join(chunks.select("document_id", "chunk_index", F.col("text").alias("_text")), ["document_id", "chunk_index"], "left")
-    sized = told.join(pages.select(*PAGE, "width", "height"), PAGE, "left").join(boxes(facts, words), "fact_id", "left")
+    sized = told.join(pages.select(*PAGE, "width", "height"), PAGE, "left").join(boxes(facts, words).select("fact_id", "boxes"), "fact_id", "left")
     none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
     box = F.coalesce(F.col("boxes").cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), none)
     return sized.select(
