@@ -9,6 +9,8 @@ The span that a fact was anchored to is looked for first; if the page does not h
 without either, or whose page has no words, has no boxes.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,8 @@ from factloom.functions.text import WHITE, strip
 LOOKED_FOR = 80
 PAGE = ["document_id", "page_number"]
 WORD = ("place", "line", "word", "x0", "y0", "x1", "y1")
-#: What stands between words where they are counted; what a text of words has that are blank or hold blanks.
+#: What stands between words where they are counted.
 MARK = "\u0001"
-ODD = f"[{WHITE}]|^{MARK}|{MARK}{MARK}|{MARK}$|^$"
 
 
 def plain(text: Column) -> Column:
@@ -49,6 +50,11 @@ def places(text: Column, span: Column) -> Column:
     return F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
 
 
+def _is_odd(text: Column) -> Column:
+    """Whether any of the words of a text, with MARK between them, is blank or holds a blank. Many plain searches are cheaper than one by a pattern."""
+    return functools.reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in (f"{MARK}{MARK}", *WHITE)], F.startswith(text, F.lit(MARK)) | F.endswith(text, F.lit(MARK)) | (text == ""))
+
+
 def _touched(words: Column, text: Column, begin: Column, length: Column) -> Column:
     """The words that a span of a text touches; the text is that of words with MARK between them, and the span begins and ends in words."""
     marks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(MARK), F.lit("")))
@@ -74,8 +80,8 @@ def _boxes(words: Column, anchor: Column, evidence: Column) -> Column:
     formed = lambda ws: F.struct(ws.alias("words"), told(ws).alias("marked"))
     # Most pages have neither blank words nor blanks in words: these are made plain at once, others word by word.
     slow = let(F.transform(F.filter(words, lambda w: strip(w["word"]) != ""), form), formed)
-    laid = let(told(words), lambda t: F.when(marks(words, t) & ~F.rlike(t, F.lit(ODD)), F.struct(words.alias("words"), F.lower(t).alias("marked"))).otherwise(slow))
-    said = lambda p: F.struct(p["words"].alias("words"), p["marked"].alias("marked"), F.translate(p["marked"], MARK, " ").alias("text"), anchor.alias("anchor"), evidence.alias("evidence"))
+    laid = let(told(words), lambda t: F.when(marks(words, t) & ~_is_odd(t), F.struct(words.alias("words"), F.lower(t).alias("marked"))).otherwise(slow))
+    said = lambda p: F.struct(p["words"].alias("words"), p["marked"].alias("marked"), F.replace(p["marked"], F.lit(MARK), F.lit(" ")).alias("text"), anchor.alias("anchor"), evidence.alias("evidence"))
     has = lambda p, s: (p[s] != "") & F.contains(p["text"], p[s])
     sought = lambda p: F.when(has(p, "anchor"), p["anchor"]).when(has(p, "evidence"), p["evidence"])
 
